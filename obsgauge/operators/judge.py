@@ -29,6 +29,16 @@ def _widened(covered: DataFrame, grace_s: float) -> DataFrame:
                           plus_seconds(F.col("end_ts"), grace_s).alias("_to"))
 
 
+def fire_times(firings: DataFrame) -> DataFrame:
+    """Firings counted per (rule, instant).
+
+    Attribution only looks at the instant, so verdicts are formed on this
+    table.  It has at most one row per rule and step however many series fire,
+    and the branches of a scorecard share its shuffle.
+    """
+    return firings.groupBy("rule", "fired_at").agg(F.count(F.lit(1)).alias("firings"))
+
+
 def attribute_firings(firings: DataFrame, covered: DataFrame, grace_s: float, bin_s: int = BIN_S) -> DataFrame:
     """(firing, incident) pairs: fired within the incident, widened by the grace on both sides.
 
@@ -41,16 +51,17 @@ def attribute_firings(firings: DataFrame, covered: DataFrame, grace_s: float, bi
 def detections(attributed: DataFrame) -> DataFrame:
     """Incidents a rule caught: seconds to detection and firings spent on it.
 
-    A rule that an incident does not expect does not detect it.  Firing before
-    the labelled start counts as 0 seconds.
+    Takes attributed firings or attributed fire times.  A rule that an
+    incident does not expect does not detect it.  Firing before the labelled
+    start counts as 0 seconds.
     """
     expected = F.coalesce(F.size("expected_alerts") <= 0, F.lit(True)) | F.coalesce(
         F.array_contains("expected_alerts", F.col("rule")), F.lit(False))
-    first = F.min("fired_at")
+    count = F.sum("firings") if "firings" in attributed.columns else F.count(F.lit(1))
     return (attributed.where(expected).groupBy("rule", "incident", "incident_start")
-            .agg(first.alias("first_fired"), F.count(F.lit(1)).alias("firings"))
+            .agg(F.min("fired_at").alias("_first"), count.alias("firings"))
             .select("rule", "incident",
-                    F.greatest(seconds_between(F.col("incident_start"), F.col("first_fired")), F.lit(0.0))
+                    F.greatest(seconds_between(F.col("incident_start"), F.col("_first")), F.lit(0.0))
                     .alias("ttd_s"), "firings"))
 
 
@@ -66,11 +77,11 @@ def false_positives(firings: DataFrame, covered: DataFrame, grace_s: float, bin_
                                "_from", "_to", bin_s, how="left_anti")
 
 
-def pages_per_week(firings: DataFrame, coverage: DataFrame, rules: Sequence[str] | None = None) -> DataFrame:
-    """Firings per covered hour × 168; 0 where nothing is covered."""
-    counts = firings.groupBy("rule").agg(F.count(F.lit(1)).alias("firings"))
+def pages_per_week(times: DataFrame, coverage: DataFrame, rules: Sequence[str] | None = None) -> DataFrame:
+    """Firings per covered hour × 168, from fire times; 0 where nothing is covered."""
+    counts = times.groupBy("rule").agg(F.sum("firings").alias("firings"))
     if rules is not None:
-        counts = _names(firings, rules).join(counts, "rule", "left").fillna({"firings": 0})
+        counts = _names(times, rules).join(counts, "rule", "left").fillna({"firings": 0})
     hours = coverage.select(F.col("covered_s") / 3600).scalar()
     return counts.withColumn("_h", hours).select("rule", "firings", F.when(
         F.col("_h") > 0, F.col("firings") / F.col("_h") * 168).otherwise(F.lit(0.0)).alias("pages_per_week"))
@@ -94,15 +105,15 @@ def scorecard(firings: DataFrame, incidents: DataFrame, segments: DataFrame, cov
               rules: Sequence[str], grace_s: float, bin_s: int = BIN_S) -> DataFrame:
     """One row per rule; false positives are counted here and listed by ``false_positives``."""
     cov = covered_incidents(incidents, segments, bin_s)
-    det = detections(attribute_firings(firings, cov, grace_s, bin_s))
+    times = fire_times(firings)
+    det = detections(attribute_firings(times, cov, grace_s, bin_s))
     det_by_rule = det.groupBy("rule").agg(_ids("incident").alias("detected"), F.avg("ttd_s").alias("mean_ttd_s"),
                                           F.avg("firings").alias("flappiness"))
     miss = missed(cov, det, rules).groupBy("rule").agg(_ids("incident").alias("missed"))
-    fps = false_positives(firings, cov, grace_s, bin_s).groupBy("rule").agg(
-        F.count(F.lit(1)).alias("false_positives"))
+    fps = false_positives(times, cov, grace_s, bin_s).groupBy("rule").agg(F.sum("firings").alias("false_positives"))
     blind = unverifiable(incidents, cov).agg(_ids("incident").alias("_u")).scalar()
     none = F.array().cast("array<string>")
-    return (pages_per_week(firings, coverage, rules)
+    return (pages_per_week(times, coverage, rules)
             .join(det_by_rule, "rule", "left").join(miss, "rule", "left").join(fps, "rule", "left")
             .withColumn("_u", blind)
             .withColumn("covered_s", coverage.select("covered_s").scalar())
@@ -119,21 +130,33 @@ def set_detections(detected: DataFrame) -> DataFrame:
     return detected.groupBy("incident").agg(F.min("ttd_s").alias("ttd_s"))
 
 
-def diff_lost(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select("incident").join(b, "incident", "left_anti")
+def compare_sets(detected: DataFrame, rules_a: Sequence[str], rules_b: Sequence[str]) -> DataFrame:
+    """Best time to detection per incident under two rule sets replayed together.
+
+    One grouping serves lost, gained and changed detections; a set that did
+    not detect the incident has NULL.
+    """
+    def best(rules: Sequence[str]) -> Column:
+        return F.min(F.when(F.col("rule").isin(list(rules)), F.col("ttd_s")))
+
+    return (detected.where(F.col("rule").isin([*rules_a, *rules_b])).groupBy("incident")
+            .agg(best(rules_a).alias("ttd_a_s"), best(rules_b).alias("ttd_b_s")))
+
+
+def diff_lost(compared: DataFrame) -> DataFrame:
+    return compared.where(F.col("ttd_a_s").isNotNull() & F.col("ttd_b_s").isNull()).select("incident")
 
 
-def diff_gained(a: DataFrame, b: DataFrame) -> DataFrame:
-    return diff_lost(b, a)
+def diff_gained(compared: DataFrame) -> DataFrame:
+    return compared.where(F.col("ttd_a_s").isNull() & F.col("ttd_b_s").isNotNull()).select("incident")
 
 
-def diff_ttd(a: DataFrame, b: DataFrame) -> DataFrame:
-    return (a.select("incident", F.col("ttd_s").alias("ttd_a_s"))
-            .join(b.select("incident", F.col("ttd_s").alias("ttd_b_s")), "incident")
+def diff_ttd(compared: DataFrame) -> DataFrame:
+    return (compared.where(F.col("ttd_a_s").isNotNull() & F.col("ttd_b_s").isNotNull())
             .withColumn("change_s", F.col("ttd_b_s") - F.col("ttd_a_s")))
 
 
-def diff_verdict(set_a: DataFrame, set_b: DataFrame, pages_a: DataFrame, pages_b: DataFrame,
+def diff_verdict(compared: DataFrame, pages: DataFrame, rules_a: Sequence[str], rules_b: Sequence[str],
                  coverage_a: DataFrame, coverage_b: DataFrame, max_ttd_regression_s: float = 0.0,
                  max_pages_per_week: float = 0.0) -> DataFrame:
     """One row: lost and worsened detections, pages of both sets, and whether B regresses.
@@ -141,18 +164,20 @@ def diff_verdict(set_a: DataFrame, set_b: DataFrame, pages_a: DataFrame, pages_b
     Budgets of 0 are off; a lost detection always regresses.  ``comparable``
     is false, and the verdict NULL, when the two runs covered different time.
     """
-    lost = diff_lost(set_a, set_b).agg(F.count(F.lit(1))).scalar()
-    slower = diff_ttd(set_a, set_b).where(F.col("change_s") > max_ttd_regression_s).agg(F.count(F.lit(1))).scalar()
+    a, b = F.col("ttd_a_s"), F.col("ttd_b_s")
+    moves = compared.agg(F.count_if(a.isNotNull() & b.isNull()).alias("lost"),
+                         F.count_if(b - a > max_ttd_regression_s).alias("slower"),
+                         F.lit(0).alias("_one"))
 
-    def pages(df: DataFrame):
-        return df.agg(F.coalesce(F.sum("pages_per_week"), F.lit(0.0))).scalar()
+    def total(rules: Sequence[str]) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("rule").isin(list(rules)), F.col("pages_per_week"))), F.lit(0.0))
 
+    paged = pages.agg(total(rules_a).alias("pages_a"), total(rules_b).alias("pages_b"), F.lit(0).alias("_one"))
     over = F.lit(max_pages_per_week > 0) & (F.col("pages_b") > max_pages_per_week)
     late = F.lit(max_ttd_regression_s > 0) & (F.col("slower") > 0)
-    return (coverage_a.select(F.col("covered_s"))
+    return (moves.join(paged, "_one")  # one row each
+            .withColumn("covered_s", coverage_a.select("covered_s").scalar())
             .withColumn("_other", coverage_b.select("covered_s").scalar())
             .withColumn("comparable", F.col("covered_s") == F.col("_other"))
-            .withColumn("lost", lost).withColumn("slower", slower)
-            .withColumn("pages_a", pages(pages_a)).withColumn("pages_b", pages(pages_b))
             .withColumn("regression", F.when(F.col("comparable"), (F.col("lost") > 0) | late | over))
-            .drop("_other"))
+            .select("covered_s", "comparable", "lost", "slower", "pages_a", "pages_b", "regression"))

@@ -15,13 +15,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def comparable(df: DataFrame) -> DataFrame:
-    """Counts as bigint, doubles to six digits, times as text: what both engines agree on."""
+def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Counts as bigint, doubles to a few digits, times as text: what both engines agree on."""
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double"), digits)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -30,13 +30,13 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, digits: int = 6):
     """Register a function of ``Tables`` as a query, with its SQL twin if there is one."""
 
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = lambda spark, folder: comparable(fn(Tables(spark, folder)))
+        QUERIES[name] = lambda spark, folder: comparable(fn(Tables(spark, folder)), digits)
         if sql is not None:
             ORACLE[name] = with_views(sql)
         return fn

@@ -11,7 +11,6 @@ from obsgauge.operators import rules as rule_ops
 from obsgauge.operators import scoring, traces
 from obsgauge.operators import spend as spend_ops
 from obsgauge.plans.catalogue import (
-    AGGREGATE_RULES,
     DEFAULT_RULES,
     ITEM_RULES,
     UNIT_IN_NAME,
@@ -620,6 +619,3 @@ def user_rule(t: Tables) -> DataFrame:
     points = t.points()
     check_criteria(own, points)
     return rule_ops.item_rollup({"metric": points}, [own]).drop("rule_id")
-
-
-_ = AGGREGATE_RULES
