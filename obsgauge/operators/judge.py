@@ -36,7 +36,7 @@ def fire_times(firings: DataFrame) -> DataFrame:
     table.  It has at most one row per rule and step however many series fire,
     and the branches of a scorecard share its shuffle.
     """
-    return firings.groupBy("rule", "fired_at").agg(F.count(F.lit(1)).alias("firings"))
+    return firings.where(F.col("fired_at").isNotNull()).groupBy("rule", "fired_at").agg(F.count(F.lit(1)).alias("firings"))
 
 
 def attribute_firings(firings: DataFrame, covered: DataFrame, grace_s: float, bin_s: int = BIN_S) -> DataFrame:

@@ -12,25 +12,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _references(spans: DataFrame) -> DataFrame:
+    """Distinct (trace, parent reference, service), with the earliest span time behind each."""
+    timed = F.min("ts") if "ts" in spans.columns else F.min(F.lit(None).cast("timestamp"))
+    return spans.groupBy("trace_id", "parent_span_id", "service").agg(timed.alias("ts"))
+
+
+def _resolve(refs: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    hit = (F.col("trace_id") == F.col("_t")) & (F.col("parent_span_id") == F.col("_s"))
+    return refs.join(known, hit, how).drop("_t", "_s")
+
+
 def parent_links(spans: DataFrame) -> DataFrame:
-    """One row per (trace, parent reference, service): ``parent_service`` is NULL when unresolved.
+    """References with a flag whether the trace holds the parent span."""
+    known = spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s")).distinct()
+    return _resolve(_references(spans), known.withColumn("_found", F.lit(True)), "left").withColumn(
+        "found", F.coalesce("_found", F.lit(False))).drop("_found")
+
 
-    ``ts`` is the earliest span time behind the row when spans carry a time.
+def caller_links(spans: DataFrame) -> DataFrame:
+    """Resolved references with the service of the parent span.
+
+    A span id seen twice belongs to its earliest sighting, then to the
+    smallest service.
     """
-    timed = "ts" in spans.columns
-    refs = spans.groupBy("trace_id", "parent_span_id", "service").agg(
-        (F.min("ts") if timed else F.lit(None).cast("timestamp")).alias("ts"))
-    # A span id seen twice belongs to its earliest sighting, then the smallest service.
-    owner = F.min(F.struct("ts", "service") if timed else F.struct("service"))["service"]
-    owners = spans.groupBy(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s")).agg(
-        owner.alias("parent_service"))
-    hit = (F.col("trace_id") == F.col("_t")) & (F.col("parent_span_id") == F.col("_s"))
-    return refs.join(owners, hit, "left").drop("_t", "_s")
+    first = F.min(F.struct("ts", "service") if "ts" in spans.columns else F.struct("service"))["service"]
+    owners = spans.groupBy(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s")).agg(first.alias("caller"))
+    refs = _references(spans.where(F.col("parent_span_id").isNotNull()))
+    return _resolve(refs, owners, "inner")
 
 
 def trace_participation(links: DataFrame) -> DataFrame:
     """Per (trace, service): does it hold a dangling reference, is the trace rootless, is any reference dangling?"""
-    dangling = F.col("parent_span_id").isNotNull() & F.col("parent_service").isNull()
+    dangling = F.col("parent_span_id").isNotNull() & ~F.col("found")
     per_service = links.groupBy("trace_id", "service").agg(
         F.max(F.col("parent_span_id").isNull()).alias("_root"),
         F.max(dangling).alias("dangling"),
@@ -70,9 +84,6 @@ def trace_health(spans: DataFrame, window: str | None = None, closed_before=None
 
 def service_dependency(spans: DataFrame) -> DataFrame:
     """Caller → callee edges, counted in traces; self calls and unresolved parents left out."""
-    links = parent_links(spans.select("trace_id", "span_id", "parent_span_id", "service",
-                                      *(["ts"] if "ts" in spans.columns else [])))
-    return (links.where(F.col("parent_service").isNotNull() & (F.col("parent_service") != F.col("service")))
-            .select("trace_id", F.col("parent_service").alias("caller"), F.col("service").alias("callee"))
-            .distinct()
+    return (caller_links(spans).where(F.col("caller") != F.col("service"))
+            .select("trace_id", "caller", F.col("service").alias("callee")).distinct()
             .groupBy("caller", "callee").agg(F.count(F.lit(1)).alias("traces")))

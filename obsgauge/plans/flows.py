@@ -156,14 +156,21 @@ class Backtest:
 
 def backtest_run(presence: DataFrame, samples: DataFrame, incidents: DataFrame,
                  alerts: Sequence[replay.AlertSpec], grid: series.Grid, keys: Sequence[str], errors: str,
-                 total: str, grace_s: float = 0.0) -> Backtest:
-    """Presence → replay of every alert in every segment → scorecards, all alerts in one job."""
+                 total: str, grace_s: float = 0.0, firings_path: str | None = None) -> Backtest:
+    """Presence → replay of every alert in every segment → scorecards, all alerts in one job.
+
+    With ``firings_path`` the firings are written there once and every verdict
+    reads them back; without it the verdicts share the replay within one job.
+    """
     names = [a.name for a in alerts]
     if len(set(names)) != len(names):
         raise ValueError("alert names must be distinct")
     segments = series.presence_segments(presence, grid)
     coverage = series.coverage(segments, grid)
     firings = replay.replay_alerts(samples, segments, alerts, grid, keys, errors, total)
+    if firings_path is not None:
+        firings.write.mode("overwrite").parquet(firings_path)
+        firings = presence.sparkSession.read.schema(firings.schema).parquet(firings_path)
     card = judge.scorecard(firings, incidents, segments, coverage, names, grace_s)
     partial = coverage.where(F.col("partial")).select(F.format_string(
         "telemetry covers %.0f s of the %.0f s window; verdicts apply to covered segments only",
