@@ -129,7 +129,10 @@ def normalize_diagnosis(raw: DataFrame, text: str = "raw", scenario: str = "scen
     after the object, missing parts and a confidence outside 0..1 are refused.
     """
     body = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
-    variant = F.try_parse_json(body)  # NULL for malformed text, and for text after the object
+    # As the one element of a list: NULL for malformed text and for text after the object.
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    alone = F.coalesce(F.schema_of_variant("_v").startswith("ARRAY<OBJECT"), F.lit(False)) & (
+        F.size(F.col("_v").cast("array<variant>")) == 1)
     parsed = F.from_json(body, DIAGNOSIS_SCHEMA)
     entities = F.coalesce(F.from_json(F.get_json_object(body, "$.root_cause_entities"), "array<string>"),
                           F.array().cast("array<string>"))
@@ -141,8 +144,7 @@ def normalize_diagnosis(raw: DataFrame, text: str = "raw", scenario: str = "scen
     def empty(c: Column) -> Column:
         return F.trim(F.coalesce(c, F.lit(""))) == ""
 
-    reject = (F.when(F.coalesce(F.schema_of_variant("_v"), F.lit("")).startswith("OBJECT") == F.lit(False),
-                     "not a JSON object")
+    reject = (F.when(~alone, "not a JSON object")
               .when(F.size("_unknown") > 0, F.concat(F.lit("unknown key: "), F.array_join(F.array_sort("_unknown"), ", ")))
               .when(F.col("_bad_entity"), "unknown key in root_cause_entities")
               .when(empty(F.col(scenario)), "scenario is empty")
@@ -150,7 +152,7 @@ def normalize_diagnosis(raw: DataFrame, text: str = "raw", scenario: str = "scen
               .when(F.coalesce(F.size("_d.root_cause_entities"), F.lit(0)) <= 0, "root_cause_entities is empty")
               .when(F.coalesce(blank, F.lit(False)), "root_cause_entities: kind and name are required")
               .when((confidence < 0) | (confidence > 1), "confidence out of 0..1"))
-    out = (raw.withColumn("_v", variant).withColumn("_d", parsed)
+    out = (raw.withColumn("_v", listed).withColumn("_d", parsed)
            .withColumn("_unknown", _unknown(body, DIAGNOSIS_KEYS)).withColumn("_bad_entity", bad_entity_keys)
            .withColumn("reject", reject))
     ok = F.col("reject").isNull()
