@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsgauge.functions.timebins import overlapping, plus_seconds, points_in_intervals, seconds_between
+from obsgauge.session import small_frame
 
 BIN_S = 6 * 3600
 
@@ -93,7 +94,7 @@ def flappiness(detected: DataFrame) -> DataFrame:
 
 
 def _names(like: DataFrame, rules: Sequence[str]) -> DataFrame:
-    return like.sparkSession.createDataFrame([(r,) for r in rules], "rule string")
+    return small_frame(like.sparkSession, [(r,) for r in rules], "rule string")
 
 
 def _ids(column: str) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsgauge.functions.attributes import IMPACT_WEIGHTS
+from obsgauge.session import small_frame
 
 TARGETS = ("resource", "span", "metric", "log")
 SOURCES = ("spec", "extension")
@@ -185,9 +186,10 @@ def catalogue_frame(spark: SparkSession, rules: Iterable[Rule] = DEFAULT_RULES)
         rows.append((r.rule_id, r.source, r.name, r.target, r.impact, IMPACT_WEIGHTS[r.impact],
                      "aggregate" if r.aggregate else "item", r.aggregate, r.criteria,
                      {k: str(v) for k, v in r.params.items()}, float(r.threshold_ratio), r.verify, r.template,
-                     (cal.param, cal.source, cal.kind, cal.aggregate, cal.value) if cal else None,
+                     {"param": cal.param, "source": cal.source, "kind": cal.kind, "aggregate": cal.aggregate,
+                      "value": cal.value} if cal else None,
                      r.cost_quantity))
-    return spark.createDataFrame(rows, CATALOGUE_SCHEMA)
+    return small_frame(spark, rows, CATALOGUE_SCHEMA)
 
 
 def rules_merge(base: DataFrame, override: DataFrame) -> DataFrame:

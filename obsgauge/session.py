@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Settings that change results or plans.  Cluster sizing (executors, memory,
 #: shuffle partitions) stays with the submitter; AQE coalesces small shuffles.
@@ -11,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Plans are built from many small expressions; recording a Python stack for each one triples build time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # A repeated attribute key keeps its last value instead of failing the job.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # Arbitrary stateful streaming needs the RocksDB provider.
@@ -31,3 +36,15 @@ def build_session(master: str | None = None, app: str = "obsgauge", **extra: str
 def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str | None:
     """The shared folder the cluster names; ``fallback`` only where none is set."""
     return spark.conf.get("spark.checkpoint.dir", None) or fallback
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A handful of rows known to the program as a local relation.
+
+    Its size is known while planning, so joins with it need neither a job nor
+    a guess; ``createDataFrame`` on a list would scan an RDD instead.
+    """
+    schema = T.StructType.fromDDL(ddl)
+    fields = [f.name for f in schema.fields]
+    table = pa.Table.from_pylist([dict(zip(fields, r)) for r in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)

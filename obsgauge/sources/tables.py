@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsgauge.functions.attributes import label_key, normalize_severity, service_of
+from obsgauge.session import SETTINGS, small_frame
 
 
 class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        for key in ("spark.sql.session.timeZone", "spark.python.sql.dataFrameDebugging.enabled"):
+            if spark.conf.get(key, None) != SETTINGS[key]:
+                spark.conf.set(key, SETTINGS[key])
         self.spark = spark
         self.folder = folder
 
@@ -143,7 +146,7 @@ class Tables:
                 ("inc-b", "2024-01-10 06:00:00", "2024-01-10 09:00:00", ["HighErr"]),
                 ("inc-c", "2024-01-20 00:00:00", "2024-01-21 00:00:00", ["OtherRule"]),
                 ("inc-d", "2024-03-01 00:00:00", "2024-03-01 01:00:00", [])]
-        df = self.spark.createDataFrame(rows, "incident string, s string, e string, expected_alerts array<string>")
+        df = small_frame(self.spark, rows, "incident string, s string, e string, expected_alerts array<string>")
         return df.select("incident", F.col("s").cast("timestamp").alias("start_ts"),
                          F.col("e").cast("timestamp").alias("end_ts"), "expected_alerts")
 
