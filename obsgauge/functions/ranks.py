@@ -1,4 +1,4 @@
-"""Exact order statistics per key, without gathering a key into one task.
+"""Exact order statistics per key, without gathering or sorting a whole key.
 
 Ranks follow two fixed index formulas (``lower_median`` and ``nearest_rank``)
 that neither ``percentile`` nor ``percentile_approx`` reproduces.  The work is
@@ -7,21 +7,27 @@ split so that it also holds for a key with billions of rows:
 1. count equal values (map-side combine);
 2. cut the value axis into bins by a monotone function of the value; the
    number of bins is bounded by the function, not by the data;
-3. cumulative counts over the bins of a key give each bin its rank offset;
-4. ranks inside a bin come from a window over (key, bin).
+3. cumulative counts over the bins of a key tell which few bins hold the
+   wanted ranks; only their values go on;
+4. each of these bins is cut again, evenly between its own smallest and
+   largest value, and only these slices are ordered by value.
 
-Keys must not be NULL.
+Rows with a NULL key are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bins per unit of log1p(|value|): about 0.1 % wide, some 30,000 bins up to 1e13.
 RESOLUTION = 1000.0
+#: Slices a chosen bin is cut into.
+SLICES = 1024
 
 Rank = Callable[[Column], Column]
 
@@ -46,8 +52,11 @@ def last_rank(n: Column) -> Column:
 
 
 def _value_counts(df: DataFrame, keys: list[str], value: Column, weight: Column) -> DataFrame:
+    # Stated here, the NULL checks that joins imply are the same in every branch,
+    # and the branches share one scan and one shuffle.
+    whole = reduce(and_, [F.col(c).isNotNull() for c in [*keys, "_v"]])
     return (df.select(*keys, value.cast("double").alias("_v"), weight.alias("_w"))
-            .where(F.col("_v").isNotNull())
+            .where(whole)
             .groupBy(*keys, "_v").agg(F.sum("_w").alias("_c")))
 
 
@@ -55,21 +64,35 @@ def _pick(counts: DataFrame, keys: list[str], wanted: Mapping[str, Rank]) -> Dat
     log = F.signum("_v") * F.log1p(F.abs("_v")) * F.lit(RESOLUTION)
     counts = counts.withColumn("_bin", F.floor(log).cast("bigint"))
     upto = (Window.unboundedPreceding, Window.currentRow)
-    by_value = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(*upto)
+
+    # Bins of a key in order: where do the wanted ranks fall?
     by_bin = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(*upto)
-    bins = (counts.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"))
-            .select(*keys, "_bin",
-                    (F.sum("_bc").over(by_bin) - F.col("_bc")).alias("_before"),
-                    F.sum("_bc").over(Window.partitionBy(*keys)).alias("n")))
-    hi = F.col("_before") + F.col("_in")
-    lo = hi - F.col("_c")
-    picks = []
+    bins = (counts.groupBy(*keys, "_bin")
+            .agg(F.sum("_c").alias("_bc"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+            .withColumn("_before", F.sum("_bc").over(by_bin) - F.col("_bc"))
+            .withColumn("n", F.sum("_bc").over(Window.partitionBy(*keys))))
+    hits = []
     for name, rank in wanted.items():
-        at = rank(F.col("n"))
-        picks.append(F.max(F.when((at > lo) & (at <= hi), F.col("_v"))).alias(name))
-    return (counts.withColumn("_in", F.sum("_c").over(by_value))
-            .join(bins, [*keys, "_bin"])
-            .groupBy(*keys).agg(F.max("n").alias("n"), *picks))
+        inside = rank(F.col("n")) - F.col("_before")
+        hits.append(F.when((inside > 0) & (inside <= F.col("_bc")),
+                           F.struct(F.lit(name).alias("stat"), inside.alias("rank"))))
+    chosen = (bins.withColumn("_hits", F.array_compact(F.array(*hits))).where(F.size("_hits") > 0)
+              .select(*keys, "_bin", "_lo", "_hi", "n", "_hits"))
+
+    # Values of the chosen bins, in slices.
+    span = F.col("_hi") - F.col("_lo")
+    cut = F.when(span > 0, F.floor((F.col("_v") - F.col("_lo")) / span * F.lit(SLICES))).otherwise(F.lit(0))
+    values = counts.join(chosen, [*keys, "_bin"]).withColumn("_slice", cut.cast("bigint"))
+    by_slice = Window.partitionBy(*keys, "_bin").orderBy("_slice").rowsBetween(*upto)
+    offsets = (values.groupBy(*keys, "_bin", "_slice").agg(F.sum("_c").alias("_sc"))
+               .select(*keys, "_bin", "_slice", (F.sum("_sc").over(by_slice) - F.col("_sc")).alias("_offset")))
+    by_value = Window.partitionBy(*keys, "_bin", "_slice").orderBy("_v").rowsBetween(*upto)
+    last = F.col("_offset") + F.col("_in")
+    found = (values.withColumn("_in", F.sum("_c").over(by_value)).join(offsets, [*keys, "_bin", "_slice"])
+             .select(*keys, "n", "_v", (last - F.col("_c")).alias("_from"), last.alias("_to"), F.inline("_hits"))
+             .where((F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("_to"))))
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *[
+        F.max(F.when(F.col("stat") == name, F.col("_v"))).alias(name) for name in wanted])
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: Mapping[str, Rank]) -> DataFrame:

@@ -75,12 +75,11 @@ def memory_verdict(samples: DataFrame, warmup_s: float = 7200) -> DataFrame:
 
     A run with fewer than four samples after the warm-up is judged whole.
     """
-    epoch = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     start = samples.groupBy("run").agg(F.min("ts").alias("_t0"))
     marked = samples.join(start, "run").withColumn("_late", F.col("ts") >= plus_seconds(F.col("_t0"), warmup_s))
     enough = marked.groupBy("run").agg((F.count_if("_late") >= MIN_AFTER_WARMUP).alias("warmup_excluded"))
     kept = (marked.join(enough, "run").where(F.col("_late") | ~F.col("warmup_excluded"))
-            .select("run", "ts", "rss", "warmup_excluded", epoch.alias("_at")))
+            .select("run", "ts", "rss", "warmup_excluded", seconds_between(F.col("_t0"), F.col("ts")).alias("_at")))
 
     def quarter(n):
         return F.greatest(F.floor(n / 4).cast("bigint"), F.lit(1).cast("bigint"))

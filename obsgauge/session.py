@@ -33,9 +33,9 @@ def build_session(master: str | None = None, app: str = "obsgauge", **extra: str
     return builder.getOrCreate()
 
 
-def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """The shared folder the cluster names; ``fallback`` only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or fallback
+def checkpoint_folder(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names, if it names one."""
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:

@@ -15,25 +15,28 @@ from obsgauge.sources.snapshots import write_gauges
 from obsgauge.streaming.windows import stream_rule_rollup
 
 
-def _checkpoint(spark: SparkSession, name: str, fallback: str | None) -> str:
-    root = checkpoint_folder(spark, fallback)
+def _checkpoint(spark: SparkSession, name: str, given: str | None) -> str:
+    """The folder a caller names, else one for this stream in the cluster's shared folder."""
+    if given is not None:
+        return given
+    root = checkpoint_folder(spark)
     if root is None:
         raise ValueError("spark.checkpoint.dir is not set and no checkpoint folder was given")
     return f"{root.rstrip('/')}/{name}"
 
 
-def start_table(df: DataFrame, path: str, name: str, checkpoint_root: str | None = None,
+def start_table(df: DataFrame, path: str, name: str, checkpoint: str | None = None,
                 every: str | None = None) -> StreamingQuery:
     """Append a stream to a Parquet folder; without ``every`` it takes what is there and stops."""
     writer = (df.writeStream.queryName(name).outputMode("append").format("parquet").option("path", path)
-              .option("checkpointLocation", _checkpoint(df.sparkSession, name, checkpoint_root)))
+              .option("checkpointLocation", _checkpoint(df.sparkSession, name, checkpoint)))
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()
 
 
-def run_available(df: DataFrame, path: str, name: str, checkpoint_root: str | None = None) -> DataFrame:
+def run_available(df: DataFrame, path: str, name: str, checkpoint: str | None = None) -> DataFrame:
     """Run a stream over all available input and read its table back."""
-    query = start_table(df, path, name, checkpoint_root)
+    query = start_table(df, path, name, checkpoint)
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -46,7 +49,7 @@ def late_rows(query: StreamingQuery) -> int:
 
 def export_gauges(signals: Mapping[str, DataFrame], rules: Sequence[Rule], path: str, name: str = "gauges",
                   aggregates: Callable[[SparkSession], Mapping[str, DataFrame]] | None = None,
-                  checkpoint_root: str | None = None, every: str | None = "30 seconds") -> StreamingQuery:
+                  checkpoint: str | None = None, every: str | None = "30 seconds") -> StreamingQuery:
     """Every tick: roll-up → rules → scores → current gauges, replacing those of the last tick.
 
     ``aggregates`` reads the tables the windowed streams write; their rules
@@ -65,6 +68,6 @@ def export_gauges(signals: Mapping[str, DataFrame], rules: Sequence[Rule], path:
         write_gauges(path, scoring.score_gauges(scoring.service_scores(results), scoring.findings(results, catalogue)))
 
     writer = (stream_rule_rollup(signals, item_rules).writeStream.queryName(name).outputMode("complete")
-              .foreachBatch(publish).option("checkpointLocation", _checkpoint(spark, name, checkpoint_root)))
+              .foreachBatch(publish).option("checkpointLocation", _checkpoint(spark, name, checkpoint)))
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.start()

@@ -80,6 +80,16 @@ def test_order_statistics_random(spark):
         assert (got[k]["med"], got[k]["p90"], got[k]["p1"], got[k]["max"]) == (s[(n - 1) // 2], at(90), at(1), s[-1])
 
 
+def test_order_statistics_of_a_narrow_range(spark):
+    # all values share one bin of the first cut
+    rng = random.Random(5)
+    vals = [1.7e9 + rng.random() * 100 for _ in range(999)] + [1.7e9 + 1] * 300
+    df = spark.createDataFrame([("k", v) for v in vals], "k string, v double").repartition(3)
+    r = order_statistics(df, ["k"], "v", {"m": lower_median, "p99": nearest_rank(99.0), "p2": nearest_rank(2.0)}).first()
+    s = sorted(vals)
+    assert (r["n"], r["m"], r["p99"], r["p2"]) == (1299, s[649], s[int(0.99 * 1299 + 0.5) - 1], s[int(0.02 * 1299 + 0.5) - 1])
+
+
 def test_runs_across_blocks(spark):
     rng = random.Random(3)
     positions = {k: sorted(rng.sample(range(4 * BLOCK), 4 * BLOCK - 9)) for k in ("x", "y")}

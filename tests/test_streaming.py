@@ -139,7 +139,7 @@ def test_export_gauges(tables, tmp_path):
     rules = [*ITEM_RULES, rule("EXT-MET-001")]
     q = export_gauges({"log": s_logs, "metric": s_points}, rules, str(tmp_path / "gauges"), every=None,
                       aggregates=lambda _s: {"exemplar_coverage": agg.exemplar_coverage(points)},
-                      checkpoint_root=str(tmp_path / "cp"))
+                      checkpoint=str(tmp_path / "cp"))
     q.awaitTermination()
     s = Scoring(tables.spark, {"log": logs, "metric": points}, rules)
     assert rows(tables.spark.read.parquet(str(tmp_path / "gauges"))) == rows(scoring.score_gauges(s.scores, s.findings))
