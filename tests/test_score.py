@@ -211,3 +211,12 @@ def test_result_does_not_depend_on_partitions(tables):
         assert run(7) == one
     finally:
         tables.spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_sketches_merge_within_five_percent(spark):
+    from obsgauge.operators import aggregates as agg
+
+    df = spark.range(40_000).select((F.col("id") % 4).alias("part"), (F.col("id") % 9_000).cast("string").alias("value"),
+                                    F.lit("k").alias("key"))
+    merged = agg.merge_sketches(agg.cardinality_sketches(df, ["key", "part"]), ["key"]).first()["estimate"]
+    assert abs(merged - 9_000) <= 450
