@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsgauge.functions.attributes import job_services, present, safe_label, score_category
-from obsgauge.operators.rules import _union
+from obsgauge.functions.timebins import bin_of
+from obsgauge.operators.rules import _union, item_rollup
 from obsgauge.plans.catalogue import Rule
 
 # Evidence kept per finding, and what stands in for a missing patch value.
@@ -137,10 +138,33 @@ def item_violations(signals: Mapping[str, DataFrame], rules: Sequence[Rule], ite
     return _union(parts)
 
 
-def item_evidence(signals: Mapping[str, DataFrame], rules: Sequence[Rule], k: int = MAX_EVIDENCE) -> DataFrame:
-    """First k violating items per (service, rule)."""
-    return _keep(item_violations(signals, rules),
-                 [F.col("ts"), F.col("kind"), F.length("item_id"), F.col("item_id")], k)
+def _evidence_bin(bin_s: int) -> Column:
+    """Time bin of an item; items without a time come first, as in the order of evidence."""
+    return F.coalesce(bin_of(F.col("ts"), bin_s), F.lit(-1 << 62))
+
+
+def _first_bins(signals: Mapping[str, DataFrame], rules: Sequence[Rule], k: int, bin_s: int) -> DataFrame:
+    """(service, rule, time bin) that can hold one of the first k violations of its service and rule."""
+    binned = {name: df.withColumn("_bin", _evidence_bin(bin_s)) for name, df in signals.items()}
+    counts = item_rollup(binned, rules, keys=("service", "_bin")).where(F.col("violations") > 0)
+    upto = Window.partitionBy("service", "rule_id").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.sum("violations").over(upto) - F.col("violations")
+    return counts.withColumn("_before", before).where(F.col("_before") < k).select("service", "rule_id", "_bin")
+
+
+def item_evidence(signals: Mapping[str, DataFrame], rules: Sequence[Rule], k: int = MAX_EVIDENCE,
+                  bin_s: int | None = 86400) -> DataFrame:
+    """First k violating items per (service, rule).
+
+    A count per time bin comes first and leaves only the bins the first k can
+    lie in, so just their violations are ordered instead of all of them.
+    ``bin_s=None`` orders everything, which is enough for short histories.
+    """
+    found = item_violations(signals, rules)
+    if bin_s is not None:
+        found = found.withColumn("_bin", _evidence_bin(bin_s)).join(
+            _first_bins(signals, rules, k, bin_s), ["service", "rule_id", "_bin"], "left_semi").drop("_bin")
+    return _keep(found, [F.col("ts"), F.col("kind"), F.length("item_id"), F.col("item_id")], k)
 
 
 def aggregate_evidence(rows: DataFrame, rules: Sequence[Rule], aggregate: str, order: Sequence[str],

@@ -16,8 +16,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Plans are built from many small expressions; recording a Python stack for each one triples build time.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # A repeated attribute key keeps its last value instead of failing the job.
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # Arbitrary stateful streaming needs the RocksDB provider.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -30,10 +30,20 @@ def value_text(value: Column) -> Column:
 
 
 def attribute_map(attrs: Column) -> Column:
-    """key/value list → map; a missing list is an empty map."""
+    """key/value list → map; a repeated key keeps its last value, a missing list is an empty map."""
     none = F.create_map().cast("map<string,string>")
-    return F.coalesce(F.map_from_entries(F.transform(attrs, lambda kv: F.struct(
-        kv["key"].alias("key"), value_text(kv["value"]).alias("value")))), none)
+    named = F.filter(attrs, lambda kv: kv["key"].isNotNull())
+    keys = F.transform(named, lambda kv: kv["key"])
+    once = F.array_distinct(keys)
+
+    def entry(kv: Column) -> Column:
+        return F.struct(kv["key"].alias("key"), value_text(kv["value"]).alias("value"))
+
+    plain = F.map_from_entries(F.transform(named, entry))
+    # Only lists with a repeated key take the slower way.
+    repeated = F.map_from_entries(F.transform(once, lambda k: entry(
+        F.element_at(F.filter(named, lambda kv: kv["key"] == k), -1))))
+    return F.coalesce(F.when(F.size(once) == F.size(keys), plain).otherwise(repeated), none)
 
 
 def _service(attrs: Column) -> Column:
@@ -63,7 +73,7 @@ def _scopes(payload: DataFrame, resources: str, scopes: str, items: str) -> Data
 def spans_from(payload: DataFrame) -> DataFrame:
     i = F.col("i")
     return _scopes(payload, "resourceSpans", "scopeSpans", "spans").select(
-        "service", "resource", "scope", _id(i["traceId"]).alias("trace_id"), _id(i["spanId"]).alias("span_id"),
+        "service", "resource", "scope", F.coalesce(_id(i["traceId"]), F.lit("")).alias("trace_id"), _id(i["spanId"]).alias("span_id"),
         _id(i["parentSpanId"]).alias("parent_span_id"), F.coalesce(i["name"], F.lit("")).alias("name"),
         span_kind_name(i["kind"]).alias("kind"), status_name(i["status"]["code"]).alias("status"),
         attribute_map(i["attributes"]).alias("attrs"), _time(i["startTimeUnixNano"]).alias("ts"),

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from obsgauge.operators import runhealth, scoring
+from obsgauge.operators import traces as trace_ops
 from obsgauge.plans.catalogue import rule
 from obsgauge.plans.flows import Scoring
 from obsgauge.sources import otlp, snapshots
@@ -59,6 +60,15 @@ def test_spans(traces):
     assert got["02"]["scope"]["name"] == "lib" and got["02"]["ts"].year == 2024
 
 
+def test_repeated_keys_keep_the_last_value(spark, tmp_path):
+    attrs = [*kv(a="1", b="2"), *kv(a="3"), {"value": {"stringValue": "no key"}}]
+    doc = {"resourceSpans": [trace_doc("s", span("aa", "01", attributes=attrs), span("", "02", "01"), span("", "01"))]}
+    df = otlp.read_otlp_traces(spark, write(tmp_path, "dup.json", doc))
+    assert df.where("trace_id = 'aa'").first()["attrs"] == {"a": "3", "b": "2"}
+    # spans without a trace id share one trace and still find their parents
+    assert rows(trace_ops.trace_health(df)) == [("s", 2, 0.0, 0.0)]
+
+
 def test_spans_score(spark, traces):
     rules = [rule(r) for r in ("RES-005", "EXT-RES-003", "SPA-004", "SPA-002", "EXT-SPA-002")]
     s = Scoring(spark, {"span": traces}, rules)
