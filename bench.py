@@ -3,7 +3,7 @@
 BENCH_SF_DIR   folder of the Parquet tables (default /root/testdata/sf0.1)
 BENCH_CPUS     cores of local[n] (default 8)
 BENCH_QUERIES  comma-separated names, or "all" (default: the headline list)
-BENCH_REPEAT   timed runs per query, the fastest counts (default 1)
+BENCH_REPEAT   timed runs per query, the fastest counts (default 2)
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
-    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     spark = build_session(f"local[{cpus}]", app="bench", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
         "spark.ui.showConsoleProgress": "false"})

@@ -161,7 +161,7 @@ def test_item_evidence_first_five(spark):
     shown = ["rank", "item_id", "ts", "kind"]
     assert rows(kept, *shown) == rows(scoring.item_evidence({"log": logs}, [rule("LOG-002")], bin_s=None), *shown)
     timeless = logs.withColumn("ts", F.when(F.col("item_id") != "6", F.col("ts")))
-    assert rows(scoring.item_evidence({"log": timeless}, [rule("LOG-002")]), "item_id") == [(str(i),) for i in (0, 1, 2, 3, 4)]
+    assert rows(scoring.item_evidence({"log": timeless}, [rule("LOG-002")]), "item_id") == [(str(i),) for i in (0, 1, 2, 3, 6)]
     assert rows(kept, "rank", "item_id") == [(i + 1, str(i)) for i in range(5)]
     redacted = scoring.evidence_lists(kept).select(redact_evidence(F.col("evidence")).alias("e")).first()["e"]
     assert len(redacted) == 5 and redacted[0]["attrs"] == {"k": "<redacted>"} and redacted[0]["summary"] == ""
