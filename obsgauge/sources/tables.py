@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsgauge.functions.attributes import label_key, normalize_severity, service_of
-from obsgauge.session import SETTINGS, small_frame
+from obsgauge.session import small_frame
 
 
 class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        for key in ("spark.sql.session.timeZone", "spark.python.sql.dataFrameDebugging.enabled"):
-            if spark.conf.get(key, None) != SETTINGS[key]:
-                spark.conf.set(key, SETTINGS[key])
+        # The tables' times carry no zone; the session's other settings are left alone.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.folder = folder
 
