@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsgauge.llm import byte_bpe, mixture
+from obsgauge.llm import byte_bpe, golay, mixture
 from obsgauge.llm.common import table
 
 QUERIES = {}
@@ -29,3 +29,8 @@ def op3_byte_bpe(spark, folder):
 def op4_mixture(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text", "source")
     return mixture.accounts(docs)
+
+
+@register
+def op5_simhash(spark, folder):
+    return golay.digest(table(spark, folder, "documents", "doc_id", "text"))
