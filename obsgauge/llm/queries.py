@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsgauge.llm import byte_bpe, golay, mixture
+from obsgauge.llm import byte_bpe, golay, line_chunks, mixture
 from obsgauge.llm.common import table
 
 QUERIES = {}
@@ -34,3 +34,8 @@ def op4_mixture(spark, folder):
 @register
 def op5_simhash(spark, folder):
     return golay.digest(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@register
+def op9_line_chunks(spark, folder):
+    return line_chunks.digest(table(spark, folder, "documents", "doc_id", "text"))
