@@ -103,15 +103,15 @@ def fingerprint_of():
     return simhash
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the SimHash of every row."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(kept columns, fp): the SimHash of every row."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def start():
         simhash = fingerprint_of()
-        return lambda key, text: (key, simhash(text))
+        return lambda text, *kept: (*kept, simhash(text))
 
-    return map_rows(docs.select(id_col, text_col), f"`{id_col}` {kind}, fp bigint", start)
+    return map_rows(docs.select(text_col, *keep), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "fp bigint"]), start)
 
 
 def golay_keys(distinct: DataFrame) -> DataFrame:
@@ -172,17 +172,31 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
+def grouped(distinct: DataFrame) -> DataFrame:
+    """(fp, label, ...) for a table of distinct fingerprints: rows of one label can reach each other by links."""
+    labels = components(links(distinct))
+    return distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): the smallest id that a row's fingerprint can reach by links, itself included."""
-    own = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    least = written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
-    labels = components(links(least))
-    of_group = least.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    smallest = of_group.groupBy("label").agg(F.min("least").alias("component"))
-    answer = written(of_group.join(smallest, "label").select("fp", "component"), "components")
+    own = written(fingerprints(docs, text_col, (id_col,)), "fingerprints")
+    groups = grouped(written(own.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct"))
+    smallest = groups.groupBy("label").agg(F.min("least").alias("component"))
+    answer = written(groups.join(smallest, "label").select("fp", "component"), "components")
     return own.join(answer, "fp").select(id_col, "fp", "component")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest id (then text hash) of each component, with all its columns; of equal rows one."""
+    rows = docs.withColumns({"__k1": F.xxhash64(F.lit(1), id_col, text_col), "__k2": F.xxhash64(F.lit(2), text_col, id_col)})
+    own = fingerprints(rows, text_col, (id_col, "__k1", "__k2"))
+    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__k1", "__k2")).alias("best")
+    groups = grouped(written(own.groupBy("fp").agg(best), "distinct"))
+    stay = written(groups.groupBy("label").agg(F.min("best").alias("best")).select("best.__k1", "best.__k2"), "representatives")
+    return rows.join(stay, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, the fingerprint as 16 hex digits, component_id."""
     return near_duplicates(docs).select(

@@ -137,6 +137,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.select(*columns, F.col("__n").cast("long").alias("__n_removed"))
 
 
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with shortened texts; the length column, if there is one, follows the text."""
+    out = dedup_lines(docs, id_col, text_col)
+    if length_col in docs.columns:
+        fresh = F.char_length(text_col).cast(docs.schema[length_col].dataType)
+        out = out.withColumn(length_col, F.when(F.col("__n_removed") > 0, fresh).otherwise(F.col(length_col)))
+    return out.drop("__n_removed")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, the kept text, its hash and how many lines went."""
     return dedup_lines(docs).select("doc_id", F.col("__n_removed").alias("n_removed"), F.col("text").alias("kept_text"))

@@ -46,21 +46,26 @@ def _unit(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def _sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """One narrow row a document: words, place in its source's order and bucket of that order."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"),
-                       n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(SEED), text_col).alias("th"))
+def _sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str, carry: bool) -> DataFrame:
+    """A row a document: words and place in its source's order; ``carry``: with the whole row.
+
+    ``src`` sorts as the sources do: a mark before each name, a later one for NULL.
+    """
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~")).alias("src"),
+        n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(SEED), text_col).alias("th"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     return rows.withColumn("u", _unit(F.lit(SEED), F.col("id"), F.col("th")))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(src, source_size, docs, target): one row a source, of the frame with (src, size)."""
     per = sizes.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    by_name = Window.orderBy(F.col("src").asc_nulls_last())
+    by_name = Window.orderBy("src")
     listed = F.array(*[F.lit(float(w)) for w in weights])
     per = per.withColumn("w", F.get(listed, (F.row_number().over(by_name) - 1) % len(weights)))
     everything = Window.partitionBy()
-    by_room = Window.orderBy("ratio", F.col("src").asc_nulls_last())
+    by_room = Window.orderBy("ratio", "src")
     per = per.withColumn("ratio", cap * F.col("source_size") / F.col("w"))
     # Were all sources before this one capped, the others' factor would be this; it holds at the first that needs no cap.
     per = (per.withColumn("all", F.sum("source_size").over(everything))
@@ -78,7 +83,7 @@ def quotas(goals: DataFrame, blocks: int) -> DataFrame:
     everything = Window.partitionBy()
     share = F.when(F.sum("target").over(everything) > 0, F.col("target") * blocks / F.sum("target").over(everything)).otherwise(0.0)
     g = goals.withColumn("share", share).withColumn("base", F.floor("share").cast("long"))
-    order = Window.orderBy((F.col("base") - F.col("share")).asc(), F.col("src").asc_nulls_last())
+    order = Window.orderBy((F.col("base") - F.col("share")).asc(), "src")
     g = (g.withColumn("missing", F.round(F.sum("share").over(everything)).cast("long") - F.sum("base").over(everything))
          .withColumn("got", F.col("base") + F.when(F.row_number().over(order) <= F.col("missing"), 1).otherwise(0)))
     # A source with a target has a block to itself even if its share is under half a block.
@@ -93,8 +98,7 @@ def splitting_tree(quota: DataFrame, shards: int) -> DataFrame:
     (blocks left, places left, taken per source): sampling without replacement,
     whose counts are multivariate hypergeometric.
     """
-    sources = F.array_sort(F.collect_list(F.struct(F.coalesce(F.lit(1) - F.col("src").isNotNull().cast("int"), F.lit(1)).alias("none"), "src",
-                                                   F.col("blocks").alias("n"))))
+    sources = F.array_sort(F.collect_list(F.struct("src", F.col("blocks").alias("n"))))
     level = quota.where("blocks > 0").groupBy().agg(sources.alias("of")).select(
         F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.lit(1).cast("long").alias("node"), "of")
     width = shards
@@ -111,17 +115,17 @@ def _halved(level: DataFrame) -> DataFrame:
     level = level.withColumn("places", F.expr("if(hi - lo > 1, total * (mid - lo) div (hi - lo), total)"))
     draw = F.expr("""
         aggregate(of,
-          named_struct('blocks', total, 'places', places, 'out', cast(array() as array<struct<none: int, src: string, n: bigint>>)),
+          named_struct('blocks', total, 'places', places, 'out', cast(array() as array<struct<src: string, n: bigint>>)),
           (a, s) -> aggregate(sequence(1L, s.n),
               named_struct('blocks', a.blocks, 'places', a.places, 'left', 0L),
               (b, k) -> if(pmod(xxhash64(node, b.blocks), 1000000007L) * 1.0D / 1000000007D * b.blocks < b.places,
                   named_struct('blocks', b.blocks - 1, 'places', b.places - 1, 'left', b.left + 1),
                   named_struct('blocks', b.blocks - 1, 'places', b.places, 'left', b.left)),
               b -> named_struct('blocks', b.blocks, 'places', b.places,
-                  'out', concat(a.out, array(named_struct('none', s.none, 'src', s.src, 'n', b.left)))))).out
+                  'out', concat(a.out, array(named_struct('src', s.src, 'n', b.left)))))).out
     """)
     drawn = level.withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, draw).otherwise(F.col("of")))
-    rest = F.expr("transform(of, (s, k) -> named_struct('none', s.none, 'src', s.src, 'n', s.n - left[k].n))")
+    rest = F.expr("transform(of, (s, k) -> named_struct('src', s.src, 'n', s.n - left[k].n))")
     halves = F.when(F.col("hi") - F.col("lo") > 1, F.array(
         F.struct(F.col("lo").alias("lo"), F.col("mid").alias("hi"), (F.col("node") * 2).alias("node"), F.col("left").alias("of")),
         F.struct(F.col("mid").alias("lo"), F.col("hi").alias("hi"), (F.col("node") * 2 + 1).alias("node"), rest.alias("of")))
@@ -136,55 +140,55 @@ def shard_of_block(tree: DataFrame, quota: DataFrame) -> DataFrame:
     blocks = quota.where("blocks > 0").select("src", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     order = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(SEED + 1), "src", "block"), "block")
     blocks = blocks.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
-    p, b = places.alias("p"), blocks.alias("b")
-    return b.join(p, F.col("b.src").eqNullSafe(F.col("p.src")) & (F.col("b.rank") == F.col("p.rank"))).select("b.src", "b.block", "p.shard")
+    return blocks.join(places, ["src", "rank"]).select("src", "block", "shard")
 
 
 def draws(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
           weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS,
-          blocks_per_shard: int = BLOCKS_PER_SHARD) -> tuple[DataFrame, DataFrame]:
+          blocks_per_shard: int = BLOCKS_PER_SHARD, carry: bool = False) -> tuple[DataFrame, DataFrame]:
     """(placed, blocks): every document with its source's numbers and its words per pass, and the blocks' shards.
 
-    placed: id, src, th, u, size, source_size, target, per_block, before (words
-    of the source before it), passes: array of (pass, taken, block); a pass that takes nothing is left out.
+    placed: id, src, th, size, source_size, target, passes: array of (pass, taken, block); a pass
+    that takes nothing is left out; with ``carry`` also row, the whole input row.
     """
-    sizes = written(_sizes(docs, id_col, source_col, text_col), "mix-sizes")
+    sizes = written(_sizes(docs, id_col, source_col, text_col, False), "mix-sizes")
     goals = written(targets(sizes, weights, cap), "mix-targets")
     quota = quotas(goals, shards * blocks_per_shard)
     blocks = written(shard_of_block(splitting_tree(quota, shards), quota), "mix-blocks")
-    g, q = goals.alias("g"), quota.alias("q")
-    plan = g.join(q, F.col("g.src").eqNullSafe(F.col("q.src"))).select(
-        "g.*", "q.blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / 1024)).alias("buckets"), F.round("target").cast("long").alias("goal"))
-    s, p = sizes.alias("s"), plan.alias("p")
-    placed = s.join(p, F.col("s.src").eqNullSafe(F.col("p.src"))).select(
-        "s.*", "p.source_size", "p.target", "p.goal", "p.blocks", F.floor(F.col("s.u") * F.col("p.buckets")).alias("bucket"))
-    sums = placed.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("start", F.sum("words").over(Window.partitionBy("src").orderBy("bucket")) - F.col("words"))
-    a, c = placed.alias("a"), sums.alias("c")
-    placed = a.join(c, F.col("a.src").eqNullSafe(F.col("c.src")) & (F.col("a.bucket") == F.col("c.bucket"))).select("a.*", "c.start")
+    plan = written(goals.join(quota, "src").select(
+        "src", "source_size", "target", "blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / 1024)).alias("buckets"),
+        F.round("target").cast("long").alias("goal")), "mix-plan")
+    bucket = F.floor(F.col("u") * F.col("buckets")).alias("bucket")
+    sums = sizes.join(plan, "src").groupBy("src", bucket).agg(F.sum("size").alias("words"))
+    above = F.sum("words").over(Window.partitionBy("src").orderBy("bucket")) - F.col("words")
+    sums = written(sums.select("src", "bucket", above.alias("start")), "mix-buckets")
+    rows = _sizes(docs, id_col, source_col, text_col, True) if carry else sizes
+    placed = rows.join(plan, "src").withColumn("bucket", bucket).drop("buckets").join(sums, ["src", "bucket"])
     inside = Window.partitionBy("src", "bucket").orderBy("u", "id", "th").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.withColumn("passes", F.expr(f"""
         filter(transform(sequence(0L, {cap}L), k -> named_struct('pass', cast(k as int),
             'taken', greatest(0L, least(size, goal - k * source_size - before)),
             'block', least(blocks - 1, cast(floor((k * source_size + before) * 1.0D * blocks / goal) as bigint)))), x -> x.taken > 0)"""))
-    return placed.drop("start", "bucket"), blocks
+    return placed.select("id", "src", "th", "size", "source_size", "target", "passes", *(["row"] if carry else [])), blocks
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """Every draw: (id, src, th, pass, taken, shard, slot); ``th`` is the hash of the text, slots order a shard."""
-    placed, blocks = draws(docs, id_col, source_col, text_col, **how)
-    d = placed.select("id", "src", "th", F.explode("passes").alias("x")).select("id", "src", "th", "x.*").alias("d")
-    b = blocks.alias("b")
-    out = d.join(b, F.col("d.src").eqNullSafe(F.col("b.src")) & (F.col("d.block") == F.col("b.block"))).select("d.*", "b.shard")
-    return out.select("id", "src", "th", "pass", "taken", "shard", F.xxhash64(F.lit(SEED + 2), "id", "th", "pass").alias("slot"))
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
+    """The mix itself: the input's columns, a row for each pass that takes a document.
+
+    Texts stay whole: of the last document of a source, cut by the target, a half or more counts as all
+    of it.  Rows of a shard are together and in hash order.
+    """
+    placed, blocks = draws(docs, id_col, source_col, text_col, carry=True, **how)
+    each = placed.select("row", "src", "id", "th", "size", F.explode("passes").alias("x")).where("x.taken * 2 >= size")
+    order = F.xxhash64(F.lit(SEED + 2), "id", "th", "x.pass")
+    each = each.withColumn("block", F.col("x.block")).join(blocks, ["src", "block"])
+    return each.withColumn("slot", order).repartition("shard").sortWithinPartitions("shard", "slot").select("row.*")
 
 
 def accounts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """A row a document: size, source_size, target, words taken, and the shards that hold it."""
+    """A row a document: size, source_size, target, words taken, and the shard of its first draw."""
     placed, blocks = draws(docs, id_col, source_col, text_col, **how)
-    first = F.get("passes", F.lit(0)).getField("block")
-    d, b = placed.withColumn("first", first).alias("d"), blocks.alias("b")
-    return d.join(b, F.col("d.src").eqNullSafe(F.col("b.src")) & (F.col("d.first") == F.col("b.block")), "left").select(
-        F.col("d.id").alias(id_col), "d.size", "d.source_size", "d.target",
-        F.expr("aggregate(d.passes, 0L, (a, x) -> a + x.taken)").alias("taken"), F.col("b.shard").alias("first_shard"))
+    return placed.withColumn("block", F.get("passes", F.lit(0)).getField("block")).join(blocks, ["src", "block"], "left").select(
+        F.col("id").alias(id_col), "size", "source_size", "target",
+        F.expr("aggregate(passes, 0L, (a, x) -> a + x.taken)").alias("taken"), F.col("shard").alias("first_shard"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsgauge.llm import byte_bpe, golay, line_chunks, mixture
+from obsgauge.llm import byte_bpe, golay, line_chunks, mixture, toxicity
 from obsgauge.llm.common import table
 
 QUERIES = {}
@@ -39,3 +39,8 @@ def op5_simhash(spark, folder):
 @register
 def op9_line_chunks(spark, folder):
     return line_chunks.digest(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@register
+def op7_toxicity(spark, folder):
+    return toxicity.digest(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic"))
