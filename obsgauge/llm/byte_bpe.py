@@ -23,14 +23,15 @@ from __future__ import annotations
 import base64
 import re
 import unicodedata
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsgauge.llm.common import map_rows
 
-#: Pieces remembered by a task: about 200 bytes each.
-MEMORY = 500_000
+#: Pieces remembered by a task, about 200 bytes each: ids are kept as packed 32-bit numbers.
+MEMORY = 200_000
 
 
 def byte_table() -> dict[int, str]:
@@ -91,21 +92,24 @@ class Encoder:
         settled = settled_pattern(pattern)
         self.pieces = settled and settled.findall
         self.unsettled = re.compile(f"[^{_members(lambda c: True)}]").search
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def merged(self, piece: str) -> list[int]:
+    def merged(self, piece: str) -> bytes:
         stand_ins = piece.encode().decode("latin-1").translate(self.shown)
-        return [token.id for token in self.tokenizer.model.tokenize(stand_ins)]
+        return array("i", [token.id for token in self.tokenizer.model.tokenize(stand_ins)]).tobytes()
+
+    def __call__(self, text: str | None):
+        """The ids as an array of 32-bit numbers."""
+        import numpy as np
 
-    def __call__(self, text: str) -> list[int]:
         if not text:
-            return []
+            return np.zeros(0, "int32")
         if self.pieces is None or self.unsettled(text):
-            return self.whole(text)
-        known, out = self.known, []
+            return np.frombuffer(self.whole(text), "int32")
+        known, out = self.known, bytearray()
         for piece in self.pieces(text):
             ids = known.get(piece)
             if ids is None:
@@ -115,7 +119,23 @@ class Encoder:
                 if len(piece) < 64:
                     known[piece] = ids
             out += ids
-        return out
+        return np.frombuffer(bytes(out), "int32")
+
+
+class Decoder:
+    """Ids to bytes: the vocabulary's stand-in characters read backwards through the byte table."""
+
+    def __init__(self, vocabulary: str):
+        import numpy as np
+
+        shown = byte_table()
+        back = {c: b for b, c in shown.items()}
+        by_rank = {rank: bytes(back[c] for c in "".join(shown[b] for b in token)) for token, rank in read_ranks(vocabulary).items()}
+        self.tokens = [by_rank.get(k, b"") for k in range(max(by_rank) + 1)]
+        self.lengths = np.array([len(t) for t in self.tokens], "int64")
+
+    def __call__(self, ids) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,16 +143,11 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType.simpleString()
 
     def start():
-        import numpy as np
-
-        encoder = Encoder(vocabulary, pattern)
-        length = np.zeros(1 << 20, "int64")
-        for token, rank in read_ranks(vocabulary).items():
-            length[rank] = len(token)
+        encoder, lengths = Encoder(vocabulary, pattern), Decoder(vocabulary).lengths
 
         def row(key, text):
-            ids = np.asarray(encoder(text or ""), "int32")
-            return key, ids, np.cumsum(length[ids])
+            ids = encoder(text)
+            return key, ids, lengths[ids].cumsum()
 
         return row
 
@@ -144,11 +159,8 @@ def decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     kind = tokens.schema[id_col].dataType.simpleString()
 
     def start():
-        back = {c: b for b, c in byte_table().items()}
-        shown = byte_table()
-        # The library's vocabulary is in stand-in characters; its bytes are found by walking the table backwards.
-        of = {rank: bytes(back[shown[b]] for b in token) for token, rank in read_ranks(vocabulary).items()}
-        return lambda key, ids: (key, ids, b"".join(map(of.__getitem__, ids or ())))
+        decoder = Decoder(vocabulary)
+        return lambda key, ids: (key, ids, decoder(ids or ()))
 
     return map_rows(tokens.select(id_col, ids_col), f"`{id_col}` {kind}, ids array<int>, decoded binary", start)
 
@@ -159,9 +171,21 @@ def decoded_text(decoded):
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, SHA-256 of the joined ids and of the decoded bytes."""
-    back = decode(encode(docs, vocabulary, pattern), vocabulary)
-    return back.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, SHA-256 of the joined ids and of the decoded bytes.
+
+    Both directions run in one task, so ids and bytes of the whole corpus never go through the JVM.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def start():
+        from hashlib import sha256
+
+        encoder, decoder = Encoder(vocabulary, pattern), Decoder(vocabulary)
+
+        def row(key, text):
+            ids = encoder(text).tolist()
+            return key, len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(decoder(ids)).hexdigest()
+
+        return row
+
+    return map_rows(docs.select("doc_id", "text"), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", start)
