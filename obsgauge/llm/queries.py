@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsgauge.llm import byte_bpe, golay, line_chunks, mixture, toxicity
+from obsgauge.llm import byte_bpe, golay, line_chunks, mixture, toxicity, url_cascade
 from obsgauge.llm.common import table
 
 QUERIES = {}
@@ -44,3 +44,35 @@ def op9_line_chunks(spark, folder):
 @register
 def op7_toxicity(spark, folder):
     return toxicity.digest(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "toxic"))
+
+
+#: Rules of the task, and a blocklist of advertising domains as the production list would be: a table.
+BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
+SPAM = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+ENDINGS = ("com", "net", "org")
+
+
+@register
+def op2_url_cascade(spark, folder):
+    domains = spark.range(1).select(F.explode(F.array(*[F.lit(f"{s}.example.{e}") for s in SPAM for e in ENDINGS])).alias("domain"))
+    return url_cascade.judge(table(spark, folder, "pages", "page_id", "url"), BLOCK, ALLOW, domains)
+
+
+ORACLE["op2_url_cascade"] = r"""
+with parts as (
+  select page_id,
+    coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path
+  from pages),
+rules(rule, rule_host, rule_path, kind) as (
+  values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+         ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+fits as (
+  select page_id, host, path, arg_max(rule, length(rule)) as rule, arg_max(kind, length(rule)) as kind
+  from parts left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by all)
+select page_id, host, path, rule, coalesce(kind, case when
+  regexp_matches(host, '(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$')
+  then 'block' else 'allow' end) as verdict
+from fits
+"""
