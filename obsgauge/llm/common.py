@@ -73,13 +73,13 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Itera
                     rows.extend(got) if many else rows.append(got)
                     size += sum(len(v) for v in values if isinstance(v, (str, bytes, list)))
                     if len(rows) >= OUT_ROWS or size >= OUT_BYTES:
-                        yield _batch(rows, arrow)
+                        yield as_batch(rows, arrow)
                         rows, size = [], 0
         if rows:
-            yield _batch(rows, arrow)
+            yield as_batch(rows, arrow)
 
     return df.mapInArrow(run, out)
 
 
-def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+def as_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsgauge.llm import byte_bpe, golay, line_chunks, mixture, toxicity, url_cascade
+from obsgauge.llm import byte_bpe, golay, hilbert, lempel_ziv, line_chunks, mixture, toxicity, url_cascade
 from obsgauge.llm.common import table
 
 QUERIES = {}
@@ -76,3 +76,13 @@ select page_id, host, path, rule, coalesce(kind, case when
   then 'block' else 'allow' end) as verdict
 from fits
 """
+
+
+@register
+def op6_lempel_ziv(spark, folder):
+    return lempel_ziv.neighbours(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@register
+def op8_hilbert(spark, folder):
+    return hilbert.digest(table(spark, folder, "documents", "doc_id", "text", "source", "lang"))
