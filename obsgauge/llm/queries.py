@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from obsgauge.llm import byte_bpe, golay, hilbert, lempel_ziv, line_chunks, mixture, toxicity, url_cascade
+from obsgauge.llm import (
+    byte_bpe, golay, hilbert, isolation, lempel_ziv, line_chunks, mixture, neighbour_vote, toxicity, url_cascade,
+)
 from obsgauge.llm.common import table
 
 QUERIES = {}
@@ -86,3 +88,13 @@ def op6_lempel_ziv(spark, folder):
 @register
 def op8_hilbert(spark, folder):
     return hilbert.digest(table(spark, folder, "documents", "doc_id", "text", "source", "lang"))
+
+
+@register
+def op1_neighbour_vote(spark, folder):
+    return neighbour_vote.digest(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality"))
+
+
+@register
+def op10_isolation(spark, folder):
+    return isolation.digest(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality"))
