@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 # Results depend on them.
 UNKNOWN_SERVICE = "<unknown>"
-MAX_ATTRIBUTE_BYTES = 256
 SEVERITY_BY_TEXT = {"TRACE": 1, "DEBUG": 5, "INFO": 9, "WARN": 13, "WARNING": 13, "ERROR": 17, "FATAL": 21}
 SPAN_KINDS = {1: "internal", 2: "server", 3: "client", 4: "producer", 5: "consumer"}
 STATUS_CODES = {1: "ok", 2: "error"}
@@ -38,8 +37,8 @@ def service_of(name: Column) -> Column:
     return F.when(present(name), name).otherwise(F.lit(UNKNOWN_SERVICE))
 
 
-def truncate_attr(value: Column, limit: int = MAX_ATTRIBUTE_BYTES) -> Column:
-    """Longest valid UTF-8 prefix of at most ``limit`` bytes."""
+def truncate_attr(value: Column, limit: int) -> Column:
+    """Longest valid UTF-8 prefix of at most ``limit`` bytes, for displays; nothing in the library cuts by itself."""
     raw = F.encode(value, "UTF-8")
 
     def continues(pos: int) -> Column:  # is byte `pos` (1-based) a UTF-8 continuation byte?
@@ -139,5 +138,5 @@ def redact_evidence(evidence: Column) -> Column:
 def outcome(error: Column, budget_exhausted: Column) -> Column:
     """How a diagnosis run ended."""
     return (F.when(F.coalesce(budget_exhausted, F.lit(False)), F.lit("budget exhausted"))
-            .when(present(error), F.concat(F.lit("error: "), F.substring_index(error, "\n", 1)))
+            .when(present(error), F.concat(F.lit("error: "), error))
             .otherwise(F.lit("diagnosed")))

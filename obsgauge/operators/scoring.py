@@ -12,8 +12,7 @@ from obsgauge.functions.timebins import bin_of
 from obsgauge.operators.rules import _union, item_rollup
 from obsgauge.plans.catalogue import Rule
 
-# Evidence kept per finding, and what stands in for a missing patch value.
-MAX_EVIDENCE = 5
+# What stands in for a missing patch value.
 METRIC_PLACEHOLDER = "REPLACE_WITH_METRIC_NAME"
 ATTRIBUTE_PLACEHOLDER = "REPLACE_WITH_ATTRIBUTE_KEY"
 
@@ -57,9 +56,9 @@ def score_gate(scores: DataFrame, minimum: float) -> DataFrame:
         (F.col("services") == 0).alias("empty_fleet"))
 
 
-def worst_first(scores: DataFrame, limit: int | None = None) -> DataFrame:
-    ordered = scores.orderBy("spec_score", "service")
-    return ordered if limit is None else ordered.limit(limit)
+def worst_first(scores: DataFrame) -> DataFrame:
+    """The whole fleet with its place; one row a service is numbered."""
+    return scores.withColumn("place", F.row_number().over(Window.orderBy("spec_score", "service")).cast("bigint")).orderBy("place")
 
 
 def findings(results: DataFrame, catalogue: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
@@ -110,14 +109,15 @@ _SUMMARY = {
 _KIND = {"span": "span", "metric": "metric_point", "log": "log_record"}
 
 
-def _keep(violations: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
-    """k rows per (service, rule) in the given order.
+def _keep(violations: DataFrame, order: Sequence[Column], k: int | None) -> DataFrame:
+    """k rows per (service, rule) in the given order; all of them without k.
 
     The filter on row_number lets Spark keep only k rows per key on the map
     side (WindowGroupLimit), so the shuffle carries k rows per key and task.
     """
     w = Window.partitionBy("service", "rule_id").orderBy(*order)
-    return violations.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = violations.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def item_violations(signals: Mapping[str, DataFrame], rules: Sequence[Rule], item_id: str = "item_id") -> DataFrame:
@@ -152,29 +152,47 @@ def _first_bins(signals: Mapping[str, DataFrame], rules: Sequence[Rule], k: int,
     return counts.withColumn("_before", before).where(F.col("_before") < k).select("service", "rule_id", "_bin")
 
 
-def item_evidence(signals: Mapping[str, DataFrame], rules: Sequence[Rule], k: int = MAX_EVIDENCE,
+def item_evidence(signals: Mapping[str, DataFrame], rules: Sequence[Rule], k: int | None,
                   bin_s: int | None = 86400) -> DataFrame:
-    """First k violating items per (service, rule).
+    """First k violating items per (service, rule), a listing; ``None``: all of them.
 
     A count per time bin comes first and leaves only the bins the first k can
     lie in, so just their violations are ordered instead of all of them.
     ``bin_s=None`` orders everything, which is enough for short histories.
     """
     found = item_violations(signals, rules)
-    if bin_s is not None:
+    if bin_s is not None and k is not None:
         found = found.withColumn("_bin", _evidence_bin(bin_s)).join(
             _first_bins(signals, rules, k, bin_s), ["service", "rule_id", "_bin"], "left_semi").drop("_bin")
     return _keep(found, [F.col("ts"), F.col("kind"), F.length("item_id"), F.col("item_id")], k)
 
 
 def aggregate_evidence(rows: DataFrame, rules: Sequence[Rule], aggregate: str, order: Sequence[str],
-                       k: int = MAX_EVIDENCE) -> DataFrame:
-    """Latest k violating aggregate rows per (service, rule); ``order`` names the time, then tie-breakers."""
+                       k: int | None) -> DataFrame:
+    """Latest k violating aggregate rows per (service, rule), a listing; ``order`` names the time, then tie-breakers.
+
+    ``k`` shortens the listing only; ``None`` gives all.  Quantities come from ``largest_violations``.
+    """
+    return _keep(aggregate_violations(rows, rules, aggregate), [F.col(order[0]).desc(), *[F.col(c) for c in order[1:]]], k)
+
+
+def aggregate_violations(rows: DataFrame, rules: Sequence[Rule], aggregate: str) -> DataFrame:
+    """Every (aggregate row, violated rule)."""
     due = [r for r in rules if r.aggregate == aggregate]
     failed = F.array_compact(F.array(*[
         F.when(~F.coalesce(r.expression(), F.lit(False)), F.lit(r.rule_id)) for r in due]))
-    violating = rows.withColumn("rule_id", F.explode(failed))
-    return _keep(violating, [F.col(order[0]).desc(), *[F.col(c) for c in order[1:]]], k)
+    return rows.withColumn("rule_id", F.explode(failed))
+
+
+def largest_violations(rows: DataFrame, rules: Sequence[Rule], aggregate: str, by: str, fields: Sequence[str]) -> DataFrame:
+    """(service, rule_id, quantity, fields): the violating row with the largest ``by``, of all of them.
+
+    Among equal ones the row with the first fields counts.
+    """
+    top = F.min_by(F.struct(*fields), F.struct(-F.col(by).cast("double"), *[F.col(f) for f in fields]))
+    return (aggregate_violations(rows, rules, aggregate).groupBy("service", "rule_id")
+            .agg(F.max(F.col(by).cast("double")).alias("quantity"), top.alias("_top"))
+            .select("service", "rule_id", "quantity", "_top.*"))
 
 
 def evidence_lists(kept: DataFrame) -> DataFrame:
@@ -262,10 +280,11 @@ def graph_edges(edges: DataFrame) -> DataFrame:
 
 # --- remediation parameters -------------------------------------------------------------------
 
-def remediation_params(found: DataFrame) -> DataFrame:
-    """Values a patch for a finding needs, from its first aggregate evidence."""
-    first = F.try_element_at(F.filter("evidence", lambda e: e["kind"] == "aggregate"), F.lit(1))
-    df = found.withColumn("_a", first["attrs"])
+def remediation_params(found: DataFrame, largest: DataFrame) -> DataFrame:
+    """Values a patch for a finding needs, from its largest violation (``largest_violations`` with metric, attribute, cardinality)."""
+    worst = largest.select("service", "rule_id", F.struct(
+        "metric", "attribute", F.col("cardinality").cast("string").alias("cardinality")).alias("_a"))
+    df = found.join(worst, ["service", "rule_id"], "left")
 
     def attr(name: str, placeholder: str, also: Column | None = None) -> Column:
         value = F.col("_a")[name]

@@ -168,22 +168,22 @@ def trend_total(current_total: DataFrame, previous_total: DataFrame) -> DataFram
     return signed.agg(F.sum("_m").alias("total_delta"))
 
 
-def price_findings(found: DataFrame, catalogue: DataFrame, rates: Rates) -> DataFrame:
+def price_findings(found: DataFrame, catalogue: DataFrame, rates: Rates, largest: DataFrame) -> DataFrame:
     """Monthly estimate per finding; NULL where the rule has no cost driver or no quantity is known.
 
-    The quantity is the verified count if there is one, else the largest value
-    in the evidence.
+    The quantity is the verified count if there is one, else that of the largest of all
+    violations: ``largest`` holds (service, rule_id, quantity).
     """
     drivers = catalogue.where(F.col("cost_quantity").isNotNull()).select("rule_id", "cost_quantity")
-    seen = F.array_max(F.transform("evidence", lambda e: e["attrs"][F.col("cost_quantity")].try_cast("double")))
     verified = F.col("verified_series").cast("double") if "verified_series" in found.columns \
         else F.lit(None).cast("double")
-    quantity = F.when(F.col("cost_quantity").isNotNull(), F.coalesce(verified, seen))
-    return (found.join(drivers, "rule_id", "left")
+    quantity = F.when(F.col("cost_quantity").isNotNull(), F.coalesce(verified, F.col("_seen")))
+    seen = largest.select("service", "rule_id", F.col("quantity").alias("_seen"))
+    return (found.join(drivers, "rule_id", "left").join(seen, ["service", "rule_id"], "left")
             .withColumn("quantity", quantity)
             .withColumn("estimated_monthly_cost",
                         F.col("quantity") / F.lit(SERIES_UNIT) * F.lit(float(rates.per_million_series)))
-            .drop("cost_quantity"))
+            .drop("cost_quantity", "_seen"))
 
 
 def cost_report(spark: SparkSession, lines: DataFrame, storage: DataFrame, taken_at) -> DataFrame:

@@ -73,7 +73,7 @@ def bench_summary(t: Tables) -> DataFrame:
 
 
 @query("run_outcome", r"""
-select agent, case when budget_exhausted then 'budget exhausted' when error <> '' then 'error: ' || split_part(error, E'\n', 1)
+select agent, case when budget_exhausted then 'budget exhausted' when error <> '' then 'error: ' || error
        else 'diagnosed' end as outcome, count(*) as runs from v_runs group by 1, 2""")
 def run_outcome(t: Tables) -> DataFrame:
     return grading.run_outcomes(runs(t)).groupBy("agent", "outcome").agg(F.count(F.lit(1)).alias("runs"))

@@ -21,7 +21,9 @@ from obsgauge.plans.catalogue import (
 )
 from obsgauge.plans.flows import AGGREGATES, Scoring
 from obsgauge.plans.registry.base import TS, VIEWS, query
+from obsgauge.schemas import VALUE
 from obsgauge.sources import backend, snapshots
+from obsgauge.sources.otlp import value_text
 from obsgauge.sources.tables import Tables
 
 # --- SQL side: verdicts, roll-up, scores ------------------------------------------------------
@@ -277,13 +279,12 @@ def span_kind_name(t: Tables) -> DataFrame:
                     attr.status_name(F.col("code")).alias("status"), "spans"))
 
 
-@query("truncated_attributes", """
-select doc_id, cast(strlen(cut) as bigint) as bytes, md5(cut) as digest from (
-  select doc_id, left(text, (select max(n) from range(0, 257) t(n) where strlen(left(text, n)) <= 256)::bigint) as cut
-  from documents) x""")
-def truncated_attributes(t: Tables) -> DataFrame:
-    cut = attr.truncate_attr(F.col("text"))
-    return t.read("documents").select("doc_id", F.octet_length(cut).alias("bytes"), F.md5(cut).alias("digest"))
+@query("whole_attributes", "select doc_id, cast(strlen(text) as bigint) as bytes, md5(text) as digest from documents")
+def whole_attributes(t: Tables) -> DataFrame:
+    """Texts of any length through the intake of an attribute value."""
+    typed = F.from_json(F.to_json(F.struct(F.col("text").alias("stringValue"))), VALUE)
+    value = value_text(typed)
+    return t.read("documents").select("doc_id", F.octet_length(value).alias("bytes"), F.md5(value).alias("digest"))
 
 
 @query("series_key", """
@@ -368,9 +369,9 @@ def score_gate(t: Tables) -> DataFrame:
 
 
 @query("worst_first", """
-select service, round(spec_score, 6) as spec_score from v_scores order by v_scores.spec_score, service limit 3""")
+select row_number() over (order by v_scores.spec_score, service) as place, service, round(spec_score, 6) as spec_score from v_scores""")
 def worst_first(t: Tables) -> DataFrame:
-    return scoring.worst_first(_scoring(t).scores, 3).select("service", "spec_score")
+    return scoring.worst_first(_scoring(t).scores).select("place", "service", "spec_score")
 
 
 @query("findings", """
@@ -426,7 +427,7 @@ select * from (select *, row_number() over (partition by service, rule_id order
 
 
 def _item_evidence(t: Tables) -> DataFrame:
-    return scoring.item_evidence(t.signals(names=True, times=True), ITEM_RULES)
+    return scoring.item_evidence(t.signals(names=True, times=True), ITEM_RULES, 5)
 
 
 @query("item_evidence", "select service, rule_id, rank, kind, summary, item_id from v_item_evidence")
@@ -452,7 +453,7 @@ select service, rule_id, rank, strftime(w, {TS}) as window_start, metric, cardin
 def aggregate_evidence(t: Tables) -> DataFrame:
     hourly = agg.metric_attribute_cardinality(t.points(), window="1 hour")
     strict = with_params(rule("MET-001"), max_cardinality=2)
-    kept = scoring.aggregate_evidence(hourly, [strict], "metric_attribute_cardinality", ["window_start", "metric"])
+    kept = scoring.aggregate_evidence(hourly, [strict], "metric_attribute_cardinality", ["window_start", "metric"], 5)
     return kept.select("service", "rule_id", "rank", "window_start", "metric", "cardinality")
 
 
@@ -460,15 +461,15 @@ def aggregate_evidence(t: Tables) -> DataFrame:
 STRICT = with_params(rule("MET-001"), max_cardinality=90)
 
 
-def _strict_findings(t: Tables) -> DataFrame:
-    """Findings of the strict rule, with their evidence and a verified count where known."""
+def _strict_findings(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Findings of the strict rule, and the largest violation of each."""
     rows = agg.metric_attribute_cardinality(t.points())
     catalogue = catalogue_frame(t.spark, [STRICT])
     results = rule_ops.rule_results(
         rule_ops.aggregate_rollup({"metric_attribute_cardinality": rows}, [STRICT]), catalogue)
-    kept = scoring.aggregate_evidence(rows, [STRICT], "metric_attribute_cardinality", ["cardinality", "metric"])
-    lists = scoring.evidence_lists(scoring.fields_evidence(kept, ["metric", "attribute", "cardinality"]))
-    return scoring.findings(results, catalogue, lists)
+    largest = scoring.largest_violations(rows, [STRICT], "metric_attribute_cardinality", "cardinality",
+                                         ["metric", "attribute", "cardinality"])
+    return scoring.findings(results, catalogue), largest
 
 
 VIEWS["v_strict"] = """
@@ -484,7 +485,7 @@ select service, 'MET-001' as rule_id, regexp_replace(service, '[^A-Za-z0-9_]', '
        round_even(violations / observed::double * 100, 0)::bigint::varchar || '%' as ratio_pct
 from v_strict""")
 def remediation_params(t: Tables) -> DataFrame:
-    return scoring.remediation_params(_strict_findings(t))
+    return scoring.remediation_params(*_strict_findings(t))
 
 
 @query("price_findings", """
@@ -492,7 +493,8 @@ select service, 'MET-001' as rule_id, top::double as quantity, round(top / 1e6 *
 from v_strict""")
 def price_findings(t: Tables) -> DataFrame:
     rates = spend_ops.Rates(per_gb=0.0, per_million_series=8.0)
-    return spend_ops.price_findings(_strict_findings(t), catalogue_frame(t.spark, [STRICT]), rates).select(
+    found, largest = _strict_findings(t)
+    return spend_ops.price_findings(found, catalogue_frame(t.spark, [STRICT]), rates, largest).select(
         "service", "rule_id", "quantity", "estimated_monthly_cost")
 
 

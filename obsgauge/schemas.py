@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-_VALUE = ("struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,"
+VALUE = ("struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,"
           "arrayValue:string,kvlistValue:string,bytesValue:string>")
-_ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
+_ATTRS = f"array<struct<key:string,value:{VALUE}>>"
 _RESOURCE = f"struct<attributes:{_ATTRS}>"
 _SCOPE = "struct<name:string,version:string>"
 _SPAN = ("struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:string,"
@@ -15,7 +15,7 @@ _DATA = f"struct<dataPoints:array<{_POINT}>>"
 _METRIC = (f"struct<name:string,unit:string,gauge:{_DATA},sum:{_DATA},histogram:{_DATA},"
            f"exponentialHistogram:{_DATA},summary:{_DATA}>")
 _LOG = ("struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:string,severityText:string,"
-        f"body:{_VALUE},traceId:string,attributes:{_ATTRS}>")
+        f"body:{VALUE},traceId:string,attributes:{_ATTRS}>")
 
 OTLP_TRACES = (f"resourceSpans array<struct<resource:{_RESOURCE},"
                f"scopeSpans:array<struct<scope:{_SCOPE},spans:array<{_SPAN}>>>>>")

@@ -16,7 +16,6 @@ from obsgauge.functions.attributes import (
     span_kind_name,
     status_name,
     stringify_double,
-    truncate_attr,
 )
 
 SCHEMAS = {"span": schemas.OTLP_TRACES, "metric": schemas.OTLP_METRICS, "log": schemas.OTLP_LOGS}
@@ -24,9 +23,9 @@ SCHEMAS = {"span": schemas.OTLP_TRACES, "metric": schemas.OTLP_METRICS, "log": s
 
 def value_text(value: Column) -> Column:
     """Text of a typed attribute value; composite values keep their JSON form."""
-    return truncate_attr(F.coalesce(
+    return F.coalesce(
         value["stringValue"], value["intValue"], stringify_double(value["doubleValue"]),
-        value["boolValue"].cast("string"), value["arrayValue"], value["kvlistValue"], value["bytesValue"], F.lit("")))
+        value["boolValue"].cast("string"), value["arrayValue"], value["kvlistValue"], value["bytesValue"], F.lit(""))
 
 
 def attribute_map(attrs: Column) -> Column:
@@ -49,7 +48,7 @@ def attribute_map(attrs: Column) -> Column:
 def _service(attrs: Column) -> Column:
     """Only a string ``service.name`` names a service."""
     named = F.filter(attrs, lambda kv: kv["key"] == "service.name")
-    return service_of(truncate_attr(F.try_element_at(named, F.lit(-1))["value"]["stringValue"]))
+    return service_of(F.try_element_at(named, F.lit(-1))["value"]["stringValue"])
 
 
 def _time(nanos: Column) -> Column:

@@ -17,7 +17,7 @@ def one(spark, expr, **cols):
 
 def test_truncate_keeps_whole_characters(spark):
     texts = ["", "a" * 256, "a" * 257, "é" * 128, "é" * 129, "a" + "é" * 128, "€" * 100, "😀" * 70, "ab" + "😀" * 70]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", attr.truncate_attr(F.col("t")).alias("c"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", attr.truncate_attr(F.col("t"), 256).alias("c"))
     for t, cut in df.collect():
         want = t.encode()[:256].decode("utf-8", "ignore")
         assert cut == want
@@ -51,7 +51,7 @@ def test_categories(spark, score, band):
 
 
 def test_outcome(spark):
-    assert one(spark, attr.outcome(F.lit("x\ny"), F.lit(False))) == "error: x"
+    assert one(spark, attr.outcome(F.lit("x\ny"), F.lit(False))) == "error: x\ny"
     assert one(spark, attr.outcome(F.lit("x"), F.lit(True))) == "budget exhausted"
     assert one(spark, attr.outcome(F.lit(None).cast("string"), F.lit(None).cast("boolean"))) == "diagnosed"
 

@@ -157,27 +157,27 @@ def test_item_evidence_first_five(spark):
                                  "service string, t string, item_id string, severity_text string").select(
         "service", F.col("t").cast("timestamp").alias("ts"), "item_id", "severity_text", F.lit(0).alias("severity_number"),
         F.create_map(F.lit("k"), F.lit("v")).alias("resource")).repartition(4)
-    kept = scoring.item_evidence({"log": logs}, [rule("LOG-002")], bin_s=2)
+    kept = scoring.item_evidence({"log": logs}, [rule("LOG-002")], 5, bin_s=2)
     shown = ["rank", "item_id", "ts", "kind"]
-    assert rows(kept, *shown) == rows(scoring.item_evidence({"log": logs}, [rule("LOG-002")], bin_s=None), *shown)
+    assert rows(kept, *shown) == rows(scoring.item_evidence({"log": logs}, [rule("LOG-002")], 5, bin_s=None), *shown)
     timeless = logs.withColumn("ts", F.when(F.col("item_id") != "6", F.col("ts")))
-    assert rows(scoring.item_evidence({"log": timeless}, [rule("LOG-002")]), "item_id") == [(str(i),) for i in (0, 1, 2, 3, 6)]
+    assert rows(scoring.item_evidence({"log": timeless}, [rule("LOG-002")], 5), "item_id") == [(str(i),) for i in (0, 1, 2, 3, 6)]
     assert rows(kept, "rank", "item_id") == [(i + 1, str(i)) for i in range(5)]
     redacted = scoring.evidence_lists(kept).select(redact_evidence(F.col("evidence")).alias("e")).first()["e"]
     assert len(redacted) == 5 and redacted[0]["attrs"] == {"k": "<redacted>"} and redacted[0]["summary"] == ""
 
 
 def test_map_side_limit_in_plan(tables):
-    text = scoring.item_evidence({"log": tables.logs()}, ITEM_RULES)._jdf.queryExecution().executedPlan().toString()
+    text = scoring.item_evidence({"log": tables.logs()}, ITEM_RULES, 5)._jdf.queryExecution().executedPlan().toString()
     assert text.count("WindowGroupLimit") == 2
 
 
 def test_remediation_params(spark):
     found = spark.createDataFrame([
-        ("a-b", "R", 0.125, [("log", "", {"metric": "no"}), ("aggregate", "", {"metric": "m", "attribute": "span.name", "cardinality": "12"})]),
-        ("c", "R", 0.0, [])], "service string, rule_id string, ratio double, "
-        "evidence array<struct<kind:string,summary:string,attrs:map<string,string>>>")
-    assert rows(scoring.remediation_params(found)) == [
+        ("a-b", "R", 0.125), ("c", "R", 0.0)], "service string, rule_id string, ratio double")
+    largest = spark.createDataFrame([("a-b", "R", 12.0, "m", "span.name", 12)],
+                                    "service string, rule_id string, quantity double, metric string, attribute string, cardinality bigint")
+    assert rows(scoring.remediation_params(found, largest)) == [
         ("a-b", "R", "a_b", "m", "REPLACE_WITH_ATTRIBUTE_KEY", "12", "12%"),
         ("c", "R", "c", "REPLACE_WITH_METRIC_NAME", "REPLACE_WITH_ATTRIBUTE_KEY", "", "")]
 

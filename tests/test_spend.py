@@ -74,15 +74,19 @@ def test_usage_needs_a_source(spark):
 
 
 def test_finding_prices(spark):
-    from obsgauge.plans.catalogue import catalogue_frame
-
-    ev = "array<struct<kind:string,summary:string,attrs:map<string,string>>>"
-    found = spark.createDataFrame([
-        ("a", "MET-001", [("aggregate", "", {"cardinality": "2000000"}), ("aggregate", "", {"cardinality": "3000000"})], None),
-        ("b", "MET-001", [("aggregate", "", {"cardinality": "2000000"})], 1_000_000),
-        ("c", "MET-001", [], None), ("d", "LOG-002", [("log", "", {"cardinality": "9"})], None)],
-        f"service string, rule_id string, evidence {ev}, verified_series bigint")
-    got = spend.price_findings(found, catalogue_frame(spark), RATES)
+    from obsgauge.operators import scoring
+    from obsgauge.plans.catalogue import catalogue_frame, rule, with_params
+
+    found = spark.createDataFrame([("a", "MET-001", None), ("b", "MET-001", 1_000_000), ("c", "MET-001", None), ("d", "LOG-002", None)],
+                                  "service string, rule_id string, verified_series bigint")
+    # Eight violations; the largest is not among the latest five.
+    sizes = [3_000_000, 100, 200, 300, 400, 500, 600, 700]
+    violations = spark.createDataFrame(
+        [("a", f"m{k}", "k", k, n) for k, n in enumerate(sizes)] + [("b", "m", "k", 0, 2_000_000), ("c", "m", "k", 0, 1)],
+        "service string, metric string, attribute string, window_start int, cardinality bigint")
+    strict = with_params(rule("MET-001"), max_cardinality=90)
+    largest = scoring.largest_violations(violations, [strict], "metric_attribute_cardinality", "cardinality", ["metric", "attribute"])
+    got = spend.price_findings(found, catalogue_frame(spark), RATES, largest)
     assert rows(got, "service", "estimated_monthly_cost") == sorted(
         [("a", pytest.approx(0.6)), ("b", 0.2), ("c", None), ("d", None)], key=lambda r: r[0])
 
