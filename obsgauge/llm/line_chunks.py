@@ -42,12 +42,14 @@ def _text_hash(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, no, h, words, before): one narrow row a line with a word; ``before``: words above it."""
-    listed = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, k: F.struct(
-        k.alias("no"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("words")))
-    each = (docs.select(F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("th"), F.filter(listed, lambda s: s["words"] > 0).alias("of"))
-            .groupBy("id", "th").agg(F.first("of").alias("of")))
-    rows = each.select("id", "th", F.explode("of").alias("s")).select("id", "th", "s.*")
+    """(id, th, no, h, words, before): one narrow row a line with a word; ``before``: words above it.
+
+    Lines leave their text right after the split; equal rows (same id and text) fall together per line.
+    """
+    lines = docs.select(F.col(id_col).alias("id"), _text_hash(F.col(text_col)).alias("th"),
+                        F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("no", "line"))
+    rows = (lines.select("id", "th", "no", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).alias("words"))
+            .where("words > 0").repartition("id", "th").groupBy("id", "th", "no").agg(F.max("h").alias("h"), F.max("words").alias("words")))
     above = Window.partitionBy("id", "th").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("before", F.coalesce(F.sum("words").over(above), F.lit(0)).cast("long"))
 
