@@ -4,29 +4,31 @@ Ranks follow two fixed index formulas (``lower_median`` and ``nearest_rank``)
 that neither ``percentile`` nor ``percentile_approx`` reproduces.  The work is
 split so that it also holds for a key with billions of rows:
 
-1. count equal values (map-side combine);
-2. cut the value axis into bins by a monotone function of the value; the
-   number of bins is bounded by the function, not by the data;
-3. cumulative counts over the bins of a key tell which few bins hold the
-   wanted ranks;
-4. only the values of these bins, one per rank, are ordered.  Bins are 0.001 %
-   wide, so whole numbers below 100,000 have a bin of their own.  Shift values
-   that are large against their spread (instants, say) to an origin first.
-
-Rows with a NULL key are left out.
+1. count equal values (map-side combine) and write the counts to the shared
+   folder, so the source is read once however many ranks are wanted;
+2. cut the value axis into bins by a monotone function of the value; their
+   number is bounded by the function (some 30,000 up to 1e13), not by the data;
+3. cumulative counts over the bins of a key tell which bin holds a wanted rank;
+4. cut that bin's own range from its smallest to its largest value into ``CUTS`` parts, twice
+   over, so values that are large against their spread are told apart as well;
+5. only the values of the last part are ordered.
+
+Keys are compared as a whole, NULLs in them included: rows with a NULL key are a group like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bins per unit of log1p(|value|); some 1.4 million bins up to a million, 3 million up to 1e13.
-RESOLUTION = 100_000.0
+from obsgauge.sources.shared import written
+
+#: Bins per unit of log1p(|value|).
+RESOLUTION = 1000.0
+#: Parts of a bin's own range.
+CUTS = 4096
 
 Rank = Callable[[Column], Column]
 
@@ -50,41 +52,45 @@ def last_rank(n: Column) -> Column:
     return n
 
 
-def _value_counts(df: DataFrame, keys: list[str], value: Column, weight: Column) -> DataFrame:
-    # Stated here, the NULL checks that joins imply are the same in every branch,
-    # and the branches share one scan and one shuffle.
-    whole = reduce(and_, [F.col(c).isNotNull() for c in [*keys, "_v"]])
-    return (df.select(*keys, value.cast("double").alias("_v"), weight.alias("_w"))
-            .where(whole)
-            .groupBy(*keys, "_v").agg(F.sum("_w").alias("_c")))
+def _value_counts(df: DataFrame, key: Column, value: Column, weight: Column) -> DataFrame:
+    counts = (df.select(key.alias("_k"), value.cast("double").alias("_v"), weight.alias("_w")).where("_v is not null")
+              .groupBy("_k", "_v").agg(F.sum("_w").alias("_c")))
+    return written(counts, "value-counts")
+
+
+def _key(keys: list[str]) -> Column:
+    return F.struct(*(keys or [F.lit(1).alias("_all")]))
+
+
+def _holding(parts: DataFrame, order: str) -> DataFrame:
+    """The parts (with ``_before``, ``_c``) that hold their ``rank``, cumulated in the given order per (_k, stat)."""
+    upto = Window.partitionBy("_k", "stat").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("_to", F.col("_before") + F.sum("_c").over(upto))
+    return (parts.where((F.col("rank") > F.col("_to") - F.col("_c")) & (F.col("rank") <= F.col("_to")))
+            .withColumn("_before", F.col("_to") - F.col("_c")).drop("_to"))
 
 
-def _pick(counts: DataFrame, keys: list[str], wanted: Mapping[str, Rank]) -> DataFrame:
+def _pick(counts: DataFrame, wanted: Mapping[str, Rank]) -> DataFrame:
+    """(_k, n, one column per wanted rank) from (_k, _v, _c)."""
     log = F.signum("_v") * F.log1p(F.abs("_v")) * F.lit(RESOLUTION)
     counts = counts.withColumn("_bin", F.floor(log).cast("bigint"))
-    upto = (Window.unboundedPreceding, Window.currentRow)
-
-    # Bins of a key in order: where do the wanted ranks fall?
-    by_bin = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(*upto)
-    bins = (counts.groupBy(*keys, "_bin")
-            .agg(F.sum("_c").alias("_bc"))
-            .withColumn("_before", F.sum("_bc").over(by_bin) - F.col("_bc"))
-            .withColumn("n", F.sum("_bc").over(Window.partitionBy(*keys))))
-    hits = []
-    for name, rank in wanted.items():
-        at = rank(F.col("n"))
-        hits.append(F.when((at > F.col("_before")) & (at <= F.col("_before") + F.col("_bc")),
-                           F.struct(F.lit(name).alias("stat"), at.alias("rank"))))
-    chosen = (bins.withColumn("_hits", F.array_compact(F.array(*hits))).where(F.size("_hits") > 0)
-              .select(*keys, "_bin", "_before", "n", "_hits"))
-
-    by_value = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(*upto)
-    last = F.col("_before") + F.sum("_c").over(by_value)
-    found = (counts.join(chosen, [*keys, "_bin"])
-             .select(*keys, "n", "_v", "_c", "_hits", last.alias("_to"))
-             .select(*keys, "n", "_v", (F.col("_to") - F.col("_c")).alias("_from"), "_to", F.inline("_hits"))
-             .where((F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("_to"))))
-    return found.groupBy(*keys).agg(F.max("n").alias("n"), *[
+    bins = counts.groupBy("_k", "_bin").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    bins = bins.withColumn("n", F.sum("_c").over(Window.partitionBy("_k")))
+    ranks = F.array(*[F.struct(F.lit(name).alias("stat"), rank(F.col("n")).alias("rank")) for name, rank in wanted.items()])
+    parts = bins.select("*", F.lit(0).cast("bigint").alias("_before"), F.inline(ranks))
+    at = written(_holding(parts, "_bin").drop("_c"), "rank-bins")
+
+    def inside(at: DataFrame) -> DataFrame:
+        return counts.join(at, ["_k", "_bin"]).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+    for _ in range(2):
+        wide = F.col("_hi") > F.col("_lo")
+        part = F.when(wide, F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CUTS), F.lit(CUTS - 1))).otherwise(F.lit(0))
+        parts = (inside(at).groupBy("_k", "stat", "_bin", "rank", "n", "_before", part.alias("_part"))
+                 .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+        at = written(_holding(parts, "_part").drop("_c", "_part"), "rank-parts")
+    found = _holding(inside(at), "_v")
+    return found.groupBy("_k").agg(F.max("n").alias("n"), *[
         F.max(F.when(F.col("stat") == name, F.col("_v"))).alias(name) for name in wanted])
 
 
@@ -94,16 +100,14 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: Mapping
     ``wanted`` maps a column name to a function from group size to 1-based
     rank.  NULL values are left out; a key without values has no row.
     """
-    return _pick(_value_counts(df, keys, F.col(value), F.lit(1)), keys, wanted)
+    found = _pick(_value_counts(df, _key(keys), F.col(value), F.lit(1)), wanted)
+    return found.select(*[F.col("_k")[k].alias(k) for k in keys], "n", *wanted)
 
 
 def robust_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, lower median, MAD, P90, P99 and maximum per key."""
-    counts = _value_counts(df, keys, F.col(value), F.lit(1))
-    base = _pick(counts, keys, {"median": lower_median, "p90": nearest_rank(90.0),
-                                "p99": nearest_rank(99.0), "max": last_rank})
-    # Deviations start from the value counts, so the source is read once.
-    deviations = counts.join(base.select(*keys, "median"), keys)
-    mad = _pick(_value_counts(deviations, keys, F.abs(F.col("_v") - F.col("median")), F.col("_c")),
-                keys, {"mad": lower_median}).drop("n")
-    return base.join(mad, keys).select(*keys, "n", "median", "mad", "p90", "p99", "max")
+    counts = _value_counts(df, _key(keys), F.col(value), F.lit(1))
+    base = written(_pick(counts, {"median": lower_median, "p90": nearest_rank(90.0), "p99": nearest_rank(99.0), "max": last_rank}), "ranks")
+    deviations = counts.join(base.select("_k", "median"), "_k")
+    mad = _pick(_value_counts(deviations, F.col("_k"), F.abs(F.col("_v") - F.col("median")), F.col("_c")), {"mad": lower_median}).drop("n")
+    return base.join(mad, "_k").select(*[F.col("_k")[k].alias(k) for k in keys], "n", "median", "mad", "p90", "p99", "max")

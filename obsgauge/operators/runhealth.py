@@ -20,7 +20,6 @@ from obsgauge.functions.timebins import bin_of, plus_seconds, seconds_between
 GAP_FACTOR = 3
 MIN_GAP_S = 120
 FLAT_GROWTH_PERCENT = 15.0
-MIN_AFTER_WARMUP = 4
 
 BLOCK_S = 86400
 
@@ -71,33 +70,34 @@ def run_continuity(samples: DataFrame) -> DataFrame:
 
 
 def memory_verdict(samples: DataFrame, warmup_s: float = 7200) -> DataFrame:
-    """Lower median memory of the first and last quarter of a run, after its warm-up.
+    """Lower median memory of the first and last quarter of a run: two rows a run, with its warm-up and without.
 
-    A run with fewer than four samples after the warm-up is judged whole.
+    ``warmup_excluded`` tells them apart and ``samples`` how many each rests on; which one counts is the
+    caller's choice.  A run without samples after the warm-up has one row.
     """
     start = samples.groupBy("run").agg(F.min("ts").alias("_t0"))
-    marked = samples.join(start, "run").withColumn("_late", F.col("ts") >= plus_seconds(F.col("_t0"), warmup_s))
-    enough = marked.groupBy("run").agg((F.count_if("_late") >= MIN_AFTER_WARMUP).alias("warmup_excluded"))
-    kept = (marked.join(enough, "run").where(F.col("_late") | ~F.col("warmup_excluded"))
-            .select("run", "ts", "rss", "warmup_excluded", seconds_between(F.col("_t0"), F.col("ts")).alias("_at")))
+    late = F.col("ts") >= plus_seconds(F.col("_t0"), warmup_s)
+    kept = samples.join(start, "run").select(
+        "run", "rss", seconds_between(F.col("_t0"), F.col("ts")).alias("_at"),
+        F.explode(F.when(late, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("warmup_excluded"))
+    keys = ["run", "warmup_excluded"]
 
     def quarter(n):
         return F.greatest(F.floor(n / 4).cast("bigint"), F.lit(1).cast("bigint"))
 
     # Borders of the quarters are order statistics of time, so no run is ordered as a whole.
-    borders = order_statistics(kept, ["run"], "_at", {
-        "_q1": quarter, "_q4": lambda n: n - quarter(n) + 1}).select("run", F.col("n").alias("samples"), "_q1", "_q4")
-    placed = kept.join(borders, "run")
-    ends = placed.select("run", "rss", F.explode(F.array_compact(F.array(
+    borders = order_statistics(kept, keys, "_at", {
+        "_q1": quarter, "_q4": lambda n: n - quarter(n) + 1}).select(*keys, F.col("n").alias("samples"), "_q1", "_q4")
+    placed = kept.join(borders, keys)
+    ends = placed.select(*keys, "samples", "rss", F.explode(F.array_compact(F.array(
         F.when(F.col("_at") <= F.col("_q1"), F.lit("first")),
         F.when(F.col("_at") >= F.col("_q4"), F.lit("last"))))).alias("_end"))
-    medians = (order_statistics(ends, ["run", "_end"], "rss", {"_m": lower_median})
-               .groupBy("run").agg(F.max(F.when(F.col("_end") == "first", F.col("_m"))).alias("first_rss"),
-                                   F.max(F.when(F.col("_end") == "last", F.col("_m"))).alias("last_rss")))
+    medians = (order_statistics(ends, [*keys, "samples", "_end"], "rss", {"_m": lower_median})
+               .groupBy(*keys, "samples").agg(F.max(F.when(F.col("_end") == "first", F.col("_m"))).alias("first_rss"),
+                                              F.max(F.when(F.col("_end") == "last", F.col("_m"))).alias("last_rss")))
     growth = F.when(F.col("first_rss") > 0, (F.col("last_rss") - F.col("first_rss")) / F.col("first_rss") * 100
                     ).otherwise(F.lit(0.0))
-    return (medians.join(enough, "run").join(borders.select("run", "samples"), "run")
-            .withColumn("growth_percent", growth)
+    return (medians.withColumn("growth_percent", growth)
             .select("run", "samples", "warmup_excluded", "first_rss", "last_rss", "growth_percent",
                     (F.col("growth_percent") <= FLAT_GROWTH_PERCENT).alias("flat")))
 

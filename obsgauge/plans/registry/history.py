@@ -431,19 +431,19 @@ def run_gaps(t: Tables) -> DataFrame:
 
 @query("memory_verdict", """
 with kept as (
-  select run, ts, rss, row_number() over (partition by run order by ts) as rn, count(*) over (partition by run) as n
+  select run, ex, ts, rss, row_number() over (partition by run, ex order by ts) as rn, count(*) over (partition by run, ex) as n
   from v_run_samples s join (select run, min(ts) as t0 from v_run_samples group by run) a using (run)
-  where ts >= t0 + interval 2 hour),
+  cross join (values (false), (true)) w(ex) where not ex or ts >= t0 + interval 2 hour),
 ends as (
-  select run, n, 'f' as part, rss from kept where rn <= greatest(1, n // 4)
-  union all select run, n, 'l', rss from kept where rn > n - greatest(1, n // 4)),
+  select run, ex, n, 'f' as part, rss from kept where rn <= greatest(1, n // 4)
+  union all select run, ex, n, 'l', rss from kept where rn > n - greatest(1, n // 4)),
 med as (
-  select run, n, part, max(case when rn = (c - 1) // 2 + 1 then rss end) as m from (
-    select *, row_number() over (partition by run, part order by rss) as rn, count(*) over (partition by run, part) as c
-    from ends) x group by run, n, part)
-select f.run, f.n as samples, true as warmup_excluded, f.m as first_rss, l.m as last_rss,
+  select run, ex, n, part, max(case when rn = (c - 1) // 2 + 1 then rss end) as m from (
+    select *, row_number() over (partition by run, ex, part order by rss) as rn, count(*) over (partition by run, ex, part) as c
+    from ends) x group by run, ex, n, part)
+select f.run, f.n as samples, f.ex as warmup_excluded, f.m as first_rss, l.m as last_rss,
        round((l.m - f.m) / f.m * 100, 6) as growth_percent, (l.m - f.m) / f.m * 100 <= 15 as flat
-from med f join med l on l.run = f.run where f.part = 'f' and l.part = 'l'""".replace("with kept", "select * from (with kept") + ") z")
+from med f join med l on l.run = f.run and l.ex = f.ex where f.part = 'f' and l.part = 'l'""".replace("with kept", "select * from (with kept") + ") z")
 def memory_verdict(t: Tables) -> DataFrame:
     return runhealth.memory_verdict(t.run_samples())
 

@@ -24,7 +24,7 @@ OTLP_METRICS = (f"resourceMetrics array<struct<resource:{_RESOURCE},"
 OTLP_LOGS = (f"resourceLogs array<struct<resource:{_RESOURCE},"
              f"scopeLogs:array<struct<scope:{_SCOPE},logRecords:array<{_LOG}>>>>>")
 
-AGGREGATE_ROW = "Service string, Aggregate string, Fields map<string,string>"
+AGGREGATE_ROW = "Service string, Aggregate string, Fields string"
 
 SCORE_REPORT = (
     "generated_at timestamp, window string, snapshot struct<fleet_score:double,services:array<struct<"

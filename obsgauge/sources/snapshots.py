@@ -24,7 +24,7 @@ def write_score_snapshot(path: str, scores: DataFrame, results: DataFrame, found
 
 def write_gauges(path: str, gauges: DataFrame) -> None:
     """Replace the current gauges, so services that went away disappear."""
-    gauges.coalesce(1).write.mode("overwrite").parquet(path)
+    gauges.write.mode("overwrite").parquet(path)
 
 
 def write_cost_snapshot(path: str, report: DataFrame, taken_at) -> None:
@@ -34,12 +34,17 @@ def write_cost_snapshot(path: str, report: DataFrame, taken_at) -> None:
 def last_snapshot_before(history: DataFrame, before, at: str = "taken_at") -> DataFrame:
     """Rows of the latest snapshot strictly before an instant; empty if there is none.
 
-    The latest time is one aggregated row; the second read meets it in a
-    broadcast join and prunes to a single day where history is partitioned.
+    Where history is partitioned by ``snapshot_date``, later days are pruned in both reads and the
+    second one, which meets the one aggregated row in a broadcast join, reads a single day.
     """
-    earlier = history.where(F.col(at) < F.lit(before).cast("timestamp"))
-    latest = earlier.agg(F.max(at).alias(at))
-    return earlier.join(F.broadcast(latest), at, "left_semi")
+    instant = F.lit(before).cast("timestamp")
+    earlier = history.where(F.col(at) < instant)
+    on = [at]
+    if "snapshot_date" in history.columns:
+        earlier = earlier.where(F.col("snapshot_date") <= F.to_date(instant))
+        on.append("snapshot_date")
+    latest = earlier.agg(F.max(F.struct(*on)).alias("_m")).select("_m.*")
+    return earlier.join(F.broadcast(latest), on, "left_semi")
 
 
 def rule_ratio_history(stored_findings: DataFrame) -> DataFrame:
@@ -54,27 +59,42 @@ def read_aggregate_snapshots(spark: SparkSession, paths: str | list[str]) -> Dat
     dimensions.
     """
     raw = spark.read.schema(schemas.AGGREGATE_ROW).option("multiLine", True).option("mode", "FAILFAST").json(paths)
-    texts = F.map_filter("Fields", lambda _k, v: v.try_cast("double").isNull())
-    numbers = F.map_filter(F.transform_values("Fields", lambda _k, v: v.try_cast("double")),
-                           lambda _k, v: v.isNotNull())
+    fields = F.parse_json("Fields").cast("map<string,variant>")
+    text = lambda v: F.schema_of_variant(v) == "STRING"  # noqa: E731  by JSON type: "404" is a dimension
+    texts = F.transform_values(F.map_filter(fields, lambda _k, v: text(v)), lambda _k, v: v.cast("string"))
+    numbers = F.transform_values(F.map_filter(fields, lambda _k, v: F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")),
+                                 lambda _k, v: v.cast("double"))
     return raw.select(F.col("Service").alias("service"), F.col("Aggregate").alias("aggregate"),
                       texts.alias("dims"), numbers.alias("fields"))
 
 
+def _reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return (spark.read.schema(schemas.SCORE_REPORT + ", _corrupt string")
+            .option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+            .json(paths).withColumn("file", F.input_file_name()))
+
+
+def unreadable_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, reason) of the saved reports that ``read_report_ratios`` cannot use."""
+    raw = _reports(spark, paths)
+    return raw.where(F.col("_corrupt").isNotNull() | F.col("snapshot").isNull()).select(
+        "file", F.when(F.col("_corrupt").isNotNull(), "malformed").otherwise("no snapshot").alias("reason"))
+
+
 def read_report_ratios(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, rule_id, service, ratio) of every finding in saved reports; unreadable files are skipped."""
-    raw = (spark.read.schema(schemas.SCORE_REPORT + ", _corrupt string")
-           .option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-           .json(paths).withColumn("file", F.input_file_name()))
+    """(file, rule_id, service, ratio) of every finding in saved reports; ``unreadable_reports`` names the others."""
+    raw = _reports(spark, paths)
     return (raw.where(F.col("_corrupt").isNull() & F.col("snapshot").isNotNull())
             .select("file", F.explode("snapshot.services").alias("s"))
             .select("file", F.col("s.service").alias("service"), F.explode("s.findings").alias("f"))
             .select("file", "service", F.col("f.rule_id").alias("rule_id"), F.col("f.stats.ratio").alias("ratio")))
 
 
-def read_soak_metrics(spark: SparkSession, path: str) -> DataFrame:
+def read_soak_metrics(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
     """Run samples from CSV by header name; numbers that cannot be read become 0.
 
+    The run is the one given, else the file's name.  A time that cannot be read stops the job: it has no place in a run.
+
     A file without any sample is an error: an empty run must not pass as a
     quiet one.
     """
@@ -85,7 +105,8 @@ def read_soak_metrics(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError(f"{path}: no column {name}")
         return F.coalesce(F.col(name).try_cast("double"), F.lit(0.0))
 
-    out = raw.select(F.col("ts").try_cast("timestamp").alias("ts"), number("rss_bytes").alias("rss"),
+    name = F.lit(run) if run is not None else F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
+    out = raw.select(name.alias("run"), F.col("ts").cast("timestamp").alias("ts"), number("rss_bytes").alias("rss"),
                      number("pairs_tracked").alias("pairs"), number("evictions_total").alias("evictions"),
                      (number("items_traces") + number("items_metrics") + number("items_logs")).alias("items"))
     if out.isEmpty():

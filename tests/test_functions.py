@@ -80,6 +80,20 @@ def test_order_statistics_random(spark):
         assert (got[k]["med"], got[k]["p90"], got[k]["p1"], got[k]["max"]) == (s[(n - 1) // 2], at(90), at(1), s[-1])
 
 
+def test_null_keys_are_a_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 5.0), ("a", 2.0)], "k string, v double")
+    got = {r["k"]: (r["n"], r["m"]) for r in order_statistics(df, ["k"], "v", {"m": last_rank}).collect()}
+    assert got == {None: (2, 5.0), "a": (1, 2.0)}
+    assert {r["k"]: r["mad"] for r in robust_stats(df, ["k"], "v").collect()} == {None: 0.0, "a": 0.0}
+
+
+def test_hot_bin_is_cut_again(spark):
+    """A million values within 1e-5 of each other lie in one bin; the last part holds few of them."""
+    df = spark.range(1_000_000).selectExpr("'x' k", "1e9 + id * 0.01 v")
+    r = order_statistics(df, ["k"], "v", {"m": lower_median, "p99": nearest_rank(99.0)}).first()
+    assert (r["n"], r["m"], r["p99"]) == (1_000_000, 1e9 + 499_999 * 0.01, 1e9 + 989_999 * 0.01)
+
+
 def test_order_statistics_of_a_narrow_range(spark):
     # all values share one bin of the first cut
     rng = random.Random(5)

@@ -239,10 +239,11 @@ def test_previous_sample_across_blocks(spark):
 
 def test_memory_verdict(spark):
     data = [(m, 10 if m < 120 else 100 if m < 200 else 130, 1, 0, m) for m in range(0, 300, 10)]
-    r = runhealth.memory_verdict(run(spark, *data)).first()
-    assert (r["samples"], r["warmup_excluded"], r["first_rss"], r["last_rss"], r["flat"]) == (18, True, 100.0, 130.0, False)
-    short = runhealth.memory_verdict(run(spark, *data[:8])).first()
-    assert (short["samples"], short["warmup_excluded"], short["growth_percent"], short["flat"]) == (8, False, 0.0, True)
+    got = {r["warmup_excluded"]: r for r in runhealth.memory_verdict(run(spark, *data)).collect()}
+    assert [got[True][c] for c in ("samples", "first_rss", "last_rss", "flat")] == [18, 100.0, 130.0, False]
+    assert [got[False][c] for c in ("samples", "first_rss", "last_rss", "flat")] == [30, 10.0, 130.0, False]
+    short = runhealth.memory_verdict(run(spark, *data[:8])).collect()
+    assert [(r["samples"], r["warmup_excluded"], r["growth_percent"], r["flat"]) for r in short] == [(8, False, 0.0, True)]
 
 
 def test_throughput(spark):

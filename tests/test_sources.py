@@ -140,6 +140,14 @@ def test_multiline_payload(spark, tmp_path):
     assert otlp.read_otlp_traces(spark, str(path), multiline=True).count() == 1
 
 
+def test_long_values_stay_apart(spark, tmp_path):
+    """Values and services that differ after hundreds of bytes are different ones."""
+    doc = {"resourceSpans": [trace_doc("s" * 300 + str(k), span("aa", f"{k + 1:02}", attributes=kv(v="x" * 400 + str(k)))) for k in range(50)]}
+    got = otlp.read_otlp_traces(spark, write(tmp_path, "long.json", doc))
+    assert got.selectExpr("attrs['v'] v").distinct().count() == 50
+    assert got.select("service").distinct().count() == 50
+
+
 def test_unused_resources_are_not_read(spark, tmp_path, traces):
     folder = str(tmp_path / "pq")
     doc = {"resourceSpans": [trace_doc("s", span("aa", "01"))]}
@@ -158,6 +166,8 @@ def test_score_snapshots(tables, tmp_path):
     assert stored.count() == 2 * s.findings.count()
     last = snapshots.last_snapshot_before(spark.read.parquet(f"{path}/service_scores"), "2024-01-02 10:00:00")
     assert rows(last, "service", "spec_score") == rows(s.scores, "service", "spec_score")
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(snapshot_date") >= 2 and "PartitionFilters: []" not in plan, plan
     assert {str(r[0]) for r in last.select("snapshot_date").distinct().collect()} == {"2024-01-01"}
     assert snapshots.last_snapshot_before(spark.read.parquet(f"{path}/snapshots"), "2024-01-01 10:00:00").count() == 0
     assert rows(snapshots.rule_ratio_history(stored)) == sorted(2 * rows(s.findings, "rule_id", "ratio"), key=repr)
@@ -172,15 +182,15 @@ def test_gauges_replace(spark, tmp_path):
 
 def test_aggregate_snapshots_and_ratios(spark, tmp_path):
     agg = [{"Service": "a", "Aggregate": "trace_health", "Fields": {"traces": 4, "orphan_ratio": 0.5}},
-           {"Service": "a", "Aggregate": "metric_attribute_cardinality", "Fields": {"metric": "m", "attribute": "k", "cardinality": 9}}]
+           {"Service": "a", "Aggregate": "metric_attribute_cardinality", "Fields": {"metric": "404", "attribute": "5", "cardinality": 9}}]
     for i in range(2):
         (tmp_path / f"aggregates-{i}.json").write_text(json.dumps(agg))
     got = snapshots.read_aggregate_snapshots(spark, str(tmp_path / "aggregates-*.json"))
     assert got.count() == 4
     assert got.where("aggregate = 'metric_attribute_cardinality'").first().asDict() == {
-        "service": "a", "aggregate": "metric_attribute_cardinality", "dims": {"metric": "m", "attribute": "k"}, "fields": {"cardinality": 9.0}}
+        "service": "a", "aggregate": "metric_attribute_cardinality", "dims": {"metric": "404", "attribute": "5"}, "fields": {"cardinality": 9.0}}
     dist = runhealth.aggregate_distribution(got, measures=["cardinality"]).first()
-    assert (dist["n"], dist["median"], dist["top"]) == (2, 9.0, "a/m/k")
+    assert (dist["n"], dist["median"], dist["top"]) == (2, 9.0, "a/404/5")
 
     def report(*ratios):
         return {"snapshot": {"fleet_score": 1.0, "services": [{"service": f"s{i}", "findings": [
@@ -191,6 +201,8 @@ def test_aggregate_snapshots_and_ratios(spark, tmp_path):
     (tmp_path / "report-002.json").write_text('{"snapshot": {"services": [')
     ratios = snapshots.read_report_ratios(spark, str(tmp_path / "report-*.json"))
     assert rows(ratios, "rule_id", "ratio") == [("R", 0.1), ("R", 0.2), ("R", 0.4)]
+    bad = snapshots.unreadable_reports(spark, str(tmp_path / "report-*.json")).collect()
+    assert [(r["file"].rsplit("/", 1)[1], r["reason"]) for r in bad] == [("report-002.json", "malformed")]
     assert rows(runhealth.report_ratio_summary(ratios)) == [("R", 3, 1, 0.2, 0.4)]
 
 
@@ -199,6 +211,8 @@ def test_soak_metrics(spark, tmp_path):
     path.write_text("ts,items_logs,rss_bytes,pairs_tracked,evictions_total,items_traces,items_metrics,extra\n"
                     "2024-01-01T00:00:00Z,1,100,5,0,2,3,x\n2024-01-01T00:01:00Z,oops,110,,0,2,3,x\n")
     assert rows(snapshots.read_soak_metrics(spark, str(path)), "rss", "pairs", "items") == [(100.0, 5.0, 6.0), (110.0, 0.0, 5.0)]
+    assert runhealth.run_continuity(snapshots.read_soak_metrics(spark, str(path))).first()["run"] == "metrics"
+    assert runhealth.run_continuity(snapshots.read_soak_metrics(spark, str(path), "r7")).first()["samples"] == 2
     path.write_text("ts,items_logs,rss_bytes,pairs_tracked,evictions_total,items_traces,items_metrics\n")
     with pytest.raises(ValueError, match="no samples"):
         snapshots.read_soak_metrics(spark, str(path))
