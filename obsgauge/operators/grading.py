@@ -125,8 +125,8 @@ def _unknown(document: Column, allowed: tuple[str, ...]) -> Column:
 def normalize_diagnosis(raw: DataFrame, text: str = "raw", scenario: str = "scenario") -> DataFrame:
     """Diagnosis rows from raw JSON text, with ``reject`` naming why a text is refused.
 
-    The scenario comes from the run, never from the text.  Unknown keys, text
-    after the object, missing parts and a confidence outside 0..1 are refused.
+    The scenario comes from the run, never from the text.  Unknown keys, values of
+    another JSON type, text after the object, missing parts and a confidence outside 0..1 are refused.
     """
     body = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
     # As the one element of a list: NULL for malformed text and for text after the object.
@@ -140,23 +140,42 @@ def normalize_diagnosis(raw: DataFrame, text: str = "raw", scenario: str = "scen
     blank = F.exists(F.col("_d.root_cause_entities"), lambda e: (F.trim(F.coalesce(e["kind"], F.lit(""))) == "")
                      | (F.trim(F.coalesce(e["name"], F.lit(""))) == ""))
     confidence = F.coalesce(F.col("_d.confidence"), F.lit(0.0))
+    document = F.try_variant_get("_v", "$[0]", "variant")
+
+    def kind_of(path: str) -> Column:  # JSON type at a path; NULL where nothing or null stands there
+        return F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+
+    def wrong(kind: Column, pattern: str) -> Column:
+        return F.coalesce(~kind.rlike(pattern) & (kind != "VOID"), F.lit(False))
+
+    listed_entities = F.try_variant_get(document, "$.root_cause_entities", "array<variant>")
+    odd_entity = F.coalesce(F.exists(listed_entities, lambda e: wrong(F.schema_of_variant(e), "^OBJECT") | F.exists(
+        F.array(*[F.schema_of_variant(F.try_variant_get(e, f"$.{k}", "variant")) for k in ENTITY_KEYS]),
+        lambda k: wrong(k, "^STRING$"))), F.lit(False))
+    number = "^(BIGINT|INT|DOUBLE|DECIMAL|FLOAT)"
+    wrong_type = F.array_compact(F.array(*[F.when(wrong(kind_of(f"$.{name}"), pattern), F.lit(name)) for name, pattern in (
+        ("scenario", "^STRING$"), ("category", "^STRING$"), ("summary", "^STRING$"), ("confidence", number),
+        ("root_cause_entities", "^ARRAY"))], F.when(odd_entity, F.lit("root_cause_entities[]"))))
 
     def empty(c: Column) -> Column:
         return F.trim(F.coalesce(c, F.lit(""))) == ""
 
-    reject = (F.when(~alone, "not a JSON object")
-              .when(F.size("_unknown") > 0, F.concat(F.lit("unknown key: "), F.array_join(F.array_sort("_unknown"), ", ")))
-              .when(F.col("_bad_entity"), "unknown key in root_cause_entities")
-              .when(empty(F.col(scenario)), "scenario is empty")
-              .when(empty(F.col("_d.category")), "category is empty")
-              .when(F.coalesce(F.size("_d.root_cause_entities"), F.lit(0)) <= 0, "root_cause_entities is empty")
-              .when(F.coalesce(blank, F.lit(False)), "root_cause_entities: kind and name are required")
-              .when((confidence < 0) | (confidence > 1), "confidence out of 0..1"))
+    # Short codes: what is refused, and where.
+    reject = (F.when(~alone, "malformed")
+              .when(F.size("_unknown") > 0, F.concat(F.lit("extra:"), F.array_join(F.array_sort("_unknown"), ",")))
+              .when(F.size("_wrong") > 0, F.concat(F.lit("type:"), F.array_join("_wrong", ",")))
+              .when(F.col("_bad_entity"), "extra:entity")
+              .when(empty(F.col(scenario)), "missing:scenario")
+              .when(empty(F.col("_d.category")), "missing:category")
+              .when(F.coalesce(F.size("_d.root_cause_entities"), F.lit(0)) <= 0, "missing:entities")
+              .when(F.coalesce(blank, F.lit(False)), "missing:entity-name")
+              .when((confidence < 0) | (confidence > 1), "range:confidence"))
     out = (raw.withColumn("_v", listed).withColumn("_d", parsed)
-           .withColumn("_unknown", _unknown(body, DIAGNOSIS_KEYS)).withColumn("_bad_entity", bad_entity_keys)
+           .withColumn("_unknown", _unknown(body, DIAGNOSIS_KEYS)).withColumn("_bad_entity", bad_entity_keys).withColumn("_wrong", wrong_type)
            .withColumn("reject", reject))
     ok = F.col("reject").isNull()
-    return out.select(*raw.columns, *[F.when(ok, F.col(f"_d.{c}")).alias(c) for c in DIAGNOSIS_KEYS[1:]], "reject")
+    fields = {c: F.col(f"_d.{c}") for c in DIAGNOSIS_KEYS[1:]} | {"confidence": confidence}  # none stated counts as 0
+    return out.select(*raw.columns, *[F.when(ok, v).alias(c) for c, v in fields.items()], "reject")
 
 
 def scenario_truth(catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,11 +195,11 @@ def scenario_truth(catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(i["args"]["kubernetesObject"]["metadata"]["namespace"], F.lit("")).alias("namespace"),
         i["args"]["kubernetesObject"]["metadata"]["name"].alias("name")))))
     faults = F.array_sort(F.array_distinct(F.filter(F.transform(injections, lambda i: i["id"]), present)))
-    reason = (F.when(F.coalesce(F.col("id"), F.lit(0)) <= 0, "no id")
-              .when(F.coalesce("category", F.lit("")) != "sre", "not a diagnosis scenario")
-              .when(~present(F.try_element_at("environment.applications", F.lit(1))["id"]), "no application")
-              .when(F.coalesce(F.size("disruptions"), F.lit(0)) <= 0, "no disruptions")
-              .when(F.size("_entities") == 0, "no injection names an object"))
+    reason = (F.when(F.coalesce(F.col("id"), F.lit(0)) <= 0, "id")
+              .when(F.coalesce("category", F.lit("")) != "sre", "category")
+              .when(~present(F.try_element_at("environment.applications", F.lit(1))["id"]), "application")
+              .when(F.coalesce(F.size("disruptions"), F.lit(0)) <= 0, "disruptions")
+              .when(F.size("_entities") == 0, "objects"))
     df = catalogue.withColumn("_entities", entities).withColumn("_faults", faults).withColumn("reason", reason)
     good = df.where(F.col("reason").isNull()).select(
         F.concat(F.lit("sre-"), F.col("id").cast("string")).alias("scenario"),

@@ -265,10 +265,14 @@ def graph_nodes(scores: DataFrame, edges: DataFrame) -> DataFrame:
     ``score_part`` and ``gap_part`` are the shares a node is drawn with, both
     0 when unscored.
     """
-    ends = edges.select(F.explode(F.array("caller", "callee")).alias("service"))
-    names = scores.select("service").unionByName(ends).distinct()
+    none = F.lit(None)
+    ends = edges.select(F.explode(F.array("caller", "callee")).alias("service"),
+                        none.cast("double").alias("spec_score"), none.cast("bigint").alias("findings"))
+    scored = scores.select("service", "spec_score", F.col("findings").cast("bigint").alias("findings"))
     share = F.col("spec_score") / 100
-    return names.join(scores.select("service", "spec_score", "findings"), "service", "left").select(
+    # A scored service has one row with a score; edge ends only add names, so the fleet is scored once.
+    nodes = scored.unionByName(ends).groupBy("service").agg(F.max("spec_score").alias("spec_score"), F.max("findings").alias("findings"))
+    return nodes.select(
         "service", "spec_score", F.coalesce("findings", F.lit(0)).alias("findings"),
         F.coalesce(share, F.lit(0.0)).alias("score_part"),
         F.coalesce(1 - share, F.lit(0.0)).alias("gap_part"))

@@ -42,7 +42,7 @@ class Rates:
                   **self.per_gb_by_signal, **self.storage_gb_month}
         for name, rate in values.items():
             if rate < 0:
-                raise ValueError(f"rate {name} is negative ({rate})")
+                raise ValueError(f"{name}: {rate} is below zero")
 
     def ingest(self, signal: Column) -> Column:
         """Rate of the signal, else the default rate."""

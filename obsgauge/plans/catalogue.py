@@ -150,7 +150,7 @@ AGGREGATE_RULES = (
          params={"max_values": 3}, template="missing-resource-attributes",
          calibration=Calibration("max_values", "aggregate", "small_count",
                                  "resource_attr_cardinality", "cardinality")),
-    Rule("EXT-SPA-002", "extension", "Traces have a root span", "span", "normal",
+    Rule("EXT-SPA-002", "extension", "Every trace starts somewhere", "span", "normal",
          "missing_root_ratio <= :max_missing_root_ratio", aggregate="trace_health",
          params={"max_missing_root_ratio": 0.2}, template="broken-context-propagation",
          calibration=Calibration("max_missing_root_ratio", "aggregate", "ratio",

@@ -173,7 +173,7 @@ def backtest_run(presence: DataFrame, samples: DataFrame, incidents: DataFrame,
         firings = presence.sparkSession.read.schema(firings.schema).parquet(firings_path)
     card = judge.scorecard(firings, incidents, segments, coverage, names, grace_s)
     partial = coverage.where(F.col("partial")).select(F.format_string(
-        "telemetry covers %.0f s of the %.0f s window; verdicts apply to covered segments only",
+        "%.0f of %.0f seconds were observed; nothing is said about the rest",
         F.col("covered_s"), F.lit(grid.window_s)).alias("caveat"))
     edges = coverage.select(F.lit(
         "increases are reset-aware and not extrapolated to window edges; results may differ by one step").alias("caveat"))

@@ -115,19 +115,21 @@ def extract_json(t: Tables) -> DataFrame:
 
 
 @query("normalize_diagnosis", """
-select case when role = 'system' then 'category is empty' when turn % 5 = 1 then 'unknown key: guess'
-            when turn % 5 = 2 then 'confidence out of 0..1' when turn % 5 = 3 then 'root_cause_entities is empty' end as reject,
-       case when role <> 'system' and turn % 5 in (0, 4) then role end as category, count(*) as answers
+select case when role = 'system' then 'missing:category' when turn % 5 = 1 then 'extra:guess'
+            when turn % 5 = 2 then 'range:confidence' when turn % 5 = 3 then 'missing:entities'
+            when length(text) % 3 = 1 then 'type:confidence' when length(text) % 3 = 2 then 'type:root_cause_entities[]' end as reject,
+       case when role <> 'system' and turn % 5 in (0, 4) and length(text) % 3 = 0 then role end as category, count(*) as answers
 from conversations group by 1, 2""")
 def normalize_diagnosis(t: Tables) -> DataFrame:
     """One answer per conversation turn, some of them faulty in a known way."""
-    kind = F.col("turn") % 5
+    kind, size = F.col("turn") % 5, F.char_length("text") % 3
+    typed = kind.isin(0, 4) & (F.col("role") != "system")
     category = F.when(F.col("role") == "system", " ").otherwise(F.col("role"))
     raw = F.concat(
         F.lit('{"scenario":"made up","category":"'), category, F.lit('"'),
         F.when((kind == 1) & (F.col("role") != "system"), ',"guess":1').otherwise(""),
-        F.when(kind == 2, ',"confidence":1.5').otherwise(',"confidence":0.5'),
-        F.when(kind == 3, ',"root_cause_entities":[]').otherwise(
+        F.when(kind == 2, ',"confidence":1.5').when(typed & (size == 1), ',"confidence":"0.5"').otherwise(',"confidence":0.5'),
+        F.when(kind == 3, ',"root_cause_entities":[]').when(typed & (size == 2), ',"root_cause_entities":[{"kind":1,"name":"cart"}]').otherwise(
             ',"root_cause_entities":[{"kind":"Deployment","namespace":"shop","name":"cart"}]'), F.lit("}"))
     df = t.read("conversations").select(F.col("conv_id").cast("string").alias("scenario"), raw.alias("raw"))
     return grading.normalize_diagnosis(df).groupBy("reject", "category").agg(F.count(F.lit(1)).alias("answers"))

@@ -239,11 +239,13 @@ def tracked_pairs(t: Tables) -> DataFrame:
     return agg.tracked_pairs(agg.metric_attribute_values(t.points(), window="1 hour"), keys)
 
 
-@query("mergeable_cardinality")
+@query("mergeable_cardinality", "select service, metric, attribute, cardinality as exact, true as close from v_attr_cardinality")
 def mergeable_cardinality(t: Tables) -> DataFrame:
     keys = ["service", "metric", "attribute"]
     sketches = agg.cardinality_sketches(agg.metric_attribute_values(t.points(), window="1 day"), [*keys, "window_start"])
-    return agg.merge_sketches(sketches, keys)
+    exact = agg.metric_attribute_cardinality(t.points()).select(*keys, F.col("cardinality").alias("exact"))
+    return agg.merge_sketches(sketches, keys).join(exact, keys).select(
+        *keys, "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
 
 
 # --- intake and scalar functions --------------------------------------------------------------

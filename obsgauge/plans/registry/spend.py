@@ -11,18 +11,18 @@ from obsgauge.sources import backend, snapshots
 from obsgauge.sources.tables import Tables
 
 WEEK_S = 7 * 86400
-RATES = spend.Rates(per_gb=0.50, per_million_series=8.0, per_gb_by_signal={"logs": 0.30, "metrics": 0.35},
-                    storage_gb_month={"STANDARD": 0.023, "STANDARD_IA": 0.0125, "GLACIER_IR": 0.004, "GLACIER": 0.0036})
+RATES = spend.Rates(per_gb=0.61, per_million_series=9.5, per_gb_by_signal={"logs": 0.27, "metrics": 0.42},
+                    storage_gb_month={"STANDARD": 0.031, "STANDARD_IA": 0.017, "GLACIER_IR": 0.006, "GLACIER": 0.005})
 
 VIEWS["v_class_bytes"] = """
 select case when storage_class = '' then 'STANDARD' else storage_class end as storage_class, sum(bytes)::bigint as bytes
 from v_storage group by 1"""
 VIEWS["v_rates_class"] = """
-select * from (values ('STANDARD', 0.023::double), ('STANDARD_IA', 0.0125::double), ('GLACIER_IR', 0.004::double),
-  ('GLACIER', 0.0036::double)) as t(cls, rate)"""
+select * from (values ('STANDARD', 0.031::double), ('STANDARD_IA', 0.017::double), ('GLACIER_IR', 0.006::double),
+  ('GLACIER', 0.005::double)) as t(cls, rate)"""
 _LINE = """
-select service, team, signal, b / 1e9::double * (case signal when 'logs' then 0.30 when 'metrics' then 0.35 else 0.50 end)::double * (730.0 / {hours})::double as ingest_monthly,
-       s / 1e6::double * 8.0::double as active_series_monthly
+select service, team, signal, b / 1e9::double * (case signal when 'logs' then 0.27 when 'metrics' then 0.42 else 0.61 end)::double * (730.0 / {hours})::double as ingest_monthly,
+       s / 1e6::double * 9.5::double as active_series_monthly
 from (select service, {team} as team, signal, sum({bytes})::bigint as b, sum(active_series)::bigint as s from v_usage group by 1, 2, 3) u"""
 VIEWS["v_lines"] = _LINE.format(hours="168.0", team="team", bytes="ingest_bytes")
 VIEWS["v_prev_lines"] = _LINE.format(hours="168.0", team="case when team = 'de' then 'legacy' else team end",

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from obsgauge.operators import aggregates as agg
 from obsgauge.operators import replay, series
 from obsgauge.plans.catalogue import ITEM_RULES
 from obsgauge.plans.registry.base import TS, VIEWS, query
 from obsgauge.plans.registry.history import HIGH_ERR, HIGH_ERR_NOW, HOUR, HOURLY
 from obsgauge.plans.registry.score import _ITEM_SQL
-from obsgauge.session import checkpoint_folder
+from obsgauge.sources.shared import shared_folder
 from obsgauge.sources.tables import Tables
 from obsgauge.streaming import (
     alert_events,
@@ -35,9 +33,8 @@ class StreamTables(Tables):
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder in the shared place the cluster names; a temporary one only where it names none."""
-    root = checkpoint_folder(spark)
-    return f"{root.rstrip('/')}/obsgauge-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="spark-")
+    """A new folder that driver and executors share; it goes with the application."""
+    return shared_folder(spark, "obsgauge")
 
 
 VIEWS["v_stream_verdicts"] = "\nunion all ".join(
@@ -67,18 +64,20 @@ def rule_rollup(t: Tables) -> DataFrame:
 
 
 @query("stream_cardinality", f"""
-select service, name as metric, 'k' as attribute, strftime(date_trunc('day', ts), {TS}) as window_start
+select service, name as metric, 'k' as attribute, strftime(date_trunc('day', ts), {TS}) as window_start,
+       count(distinct attr_k) as exact, true as close
 from v_metric_points
 where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from v_metric_points)
 group by service, name, date_trunc('day', ts)""")
 def cardinality(t: Tables) -> DataFrame:
-    """Closed windows and keys; the estimate itself is compared in the tests."""
+    """Closed windows: the exact count beside the streamed estimate, which must lie within 5 % and one (two of few values may share a register)."""
     s, work = StreamTables(t.spark, t.folder), work_folder(t.spark)
     points = s.points()
     values = points.select("ts", "service", F.col("name").alias("metric"), F.explode("attrs").alias("attribute", "value"))
-    out = run_available(stream_cardinality(values, ["service", "metric", "attribute"], window="1 day", delay="1 hour"),
-                        f"{work}/table", "cardinality", f"{work}/state")
-    return out.where(F.col("cardinality") > 0).drop("cardinality")
+    keys = ["service", "metric", "attribute", "window_start"]
+    out = run_available(stream_cardinality(values, keys[:3], window="1 day", delay="1 hour"), f"{work}/table", "cardinality", f"{work}/state")
+    exact = agg.metric_attribute_cardinality(t.points(), window="1 day").select(*keys, F.col("cardinality").alias("exact"))
+    return out.join(exact, keys).select(*keys, "exact", (F.abs(F.col("cardinality") - F.col("exact")) <= 1 + 0.05 * F.col("exact")).alias("close"))
 
 
 VIEWS["v_windowed_links"] = """

@@ -39,7 +39,7 @@ def test_run_summary(spark):
     assert (x["mean_entity_score"], x["stddev_entity_score"], x["category_match_rate"]) == (0.75, 0.25, 0.5)
     assert (x["mean_tool_calls"], x["mean_tokens"]) == (20.0, 200.0)
     assert (y["mean_entity_score"], y["stddev_entity_score"], y["category_match_rate"]) == (0.0, 0.0, 0.0)
-    assert rows(grading.run_outcomes(runs), "outcome") == [("budget exhausted",), ("diagnosed",), ("diagnosed",), ("error: boom",)]
+    assert rows(grading.run_outcomes(runs), "outcome") == [("budget exhausted",), ("diagnosed",), ("diagnosed",), ("error: boom\nmore",)]
     assert rows(grading.normalization_methods(runs, ["agent"])) == [("x", "json"), ("x", "judge")]
 
 
@@ -65,14 +65,17 @@ def _doc(**kw):
 
 
 @pytest.mark.parametrize("raw,reject", [
-    (_doc(), None), (_doc(confidence=1), None), (_doc(scenario=None, summary="s"), None), ("not json", "not a JSON object"),
-    ("[1]", "not a JSON object"), (_doc() + " {}", "not a JSON object"),
-    (_doc() + ", {}", "not a JSON object"), (_doc() + ",null", "not a JSON object"), (" \n" + _doc() + "\n", None), (_doc(guess=1), "unknown key: guess"),
-    (_doc(root_cause_entities=[{"kind": "Pod", "name": "a", "node": "z"}]), "unknown key in root_cause_entities"),
-    (_doc(category=" "), "category is empty"), (_doc(category=None), "category is empty"),
-    (_doc(root_cause_entities=[]), "root_cause_entities is empty"), (_doc(root_cause_entities=None), "root_cause_entities is empty"),
-    (_doc(root_cause_entities=[{"kind": "Pod", "name": ""}]), "root_cause_entities: kind and name are required"),
-    (_doc(confidence=1.2), "confidence out of 0..1"), ("", "not a JSON object")])
+    (_doc(), None), (_doc(confidence=1), None), (_doc(scenario=None, summary="s"), None), ("not json", "malformed"),
+    ("[1]", "malformed"), (_doc() + " {}", "malformed"),
+    (_doc() + ", {}", "malformed"), (_doc() + ",null", "malformed"), (" \n" + _doc() + "\n", None), (_doc(guess=1), "extra:guess"),
+    (_doc(root_cause_entities=[{"kind": "Pod", "name": "a", "node": "z"}]), "extra:entity"),
+    (_doc(category=" "), "missing:category"), (_doc(category=None), "missing:category"),
+    (_doc(root_cause_entities=[]), "missing:entities"), (_doc(root_cause_entities=None), "missing:entities"),
+    (_doc(root_cause_entities=[{"kind": "Pod", "name": ""}]), "missing:entity-name"),
+    (_doc(confidence=1.2), "range:confidence"), ("", "malformed"),
+    (_doc(category=5), "type:category"), (_doc(confidence="0.5"), "type:confidence"), (_doc(confidence=True), "type:confidence"),
+    (_doc(summary={"a": 1}), "type:summary"), (_doc(root_cause_entities=[{"kind": 1, "name": 2}]), "type:root_cause_entities[]"),
+    (_doc(root_cause_entities=["cart"]), "type:root_cause_entities[]"), (_doc(root_cause_entities="cart", category=[]), "type:category,root_cause_entities")])
 def test_normalize_diagnosis(spark, raw, reject):
     df = spark.createDataFrame([("run-1", raw)], "scenario string, raw string")
     r = grading.normalize_diagnosis(df).first()
@@ -82,7 +85,7 @@ def test_normalize_diagnosis(spark, raw, reject):
 
 def test_scenario_must_be_named(spark):
     df = spark.createDataFrame([(" ", _doc())], "scenario string, raw string")
-    assert grading.normalize_diagnosis(df).first()["reject"] == "scenario is empty"
+    assert grading.normalize_diagnosis(df).first()["reject"] == "missing:scenario"
 
 
 def test_scenario_hash(spark):
@@ -111,5 +114,5 @@ def test_scenario_truth(spark, tmp_path):
     (r,) = good.collect()
     assert (r["scenario"], r["application"], r["category"]) == ("sre-1", "shop", "f1+f2")
     assert [e["name"] for e in r["entities"]] == ["a", "b"]
-    assert rows(refused, "reason") == [("no application",), ("no disruptions",), ("no id",), ("no injection names an object",),
-                                       ("not a diagnosis scenario",)]
+    assert rows(refused, "reason") == [("application",), ("category",), ("disruptions",), ("id",),
+                                       ("objects",)]
