@@ -38,7 +38,7 @@ def test_columns_and_rows(spark, name):
     want = COLUMNS[name.split("_")[0]]
     assert {c: kinds.get(c) for c in want} == want
     table = "pages" if name.startswith("op2") else "documents"
-    assert df.count() == duckdb.sql(f"select count(*) from '{FOLDER}/{table}.parquet'").fetchone()[0]
+    assert df.count() == duckdb.sql(f"select count(*) from '{FOLDER}/{table}.parquet'").fetchall()[0][0]
 
 
 def test_urls_against_sql(spark):
