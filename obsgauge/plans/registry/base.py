@@ -72,17 +72,15 @@ select n as b,
        case when n <= 2 then 'production' when n <= 5 then 'staging' end as env
 from (values (0),(1),(2),(3),(4),(5),(6),(7)) as t(n)"""
 VIEWS["v_spans"] = """
-select l.trace_id, l.span_id, l.parent_span_id, s.service, s.res_service_name, s.env,
+select l.trace_id, l.span_id, l.parent_span_id, concat_ws('-', l.trace_id, l.span_id, l.pk, l.sk) as span_item, s.service, s.res_service_name, s.env,
        concat('v', cast(l.span_id % (l.b + 1) as varchar)) as service_version,
        p.p_name as name,
        case l.rf when 'R' then 'client' when 'A' then 'server' else 'internal' end as kind,
        case l.ls when 'F' then 'error' else 'ok' end as status, l.ts
 from (select l_orderkey as trace_id, l_linenumber as span_id,
              case when l_linenumber > 1 then l_linenumber - 1 end as parent_span_id,
-             min(l_suppkey) % 8 as b, min(l_partkey) as pk, min(l_returnflag) as rf, min(l_linestatus) as ls,
-             min(o_orderdate) as ts
-      from lineitem join orders on o_orderkey = l_orderkey
-      group by l_orderkey, l_linenumber) l
+             l_suppkey % 8 as b, l_suppkey as sk, l_partkey as pk, l_returnflag as rf, l_linestatus as ls, o_orderdate as ts
+      from lineitem join orders on o_orderkey = l_orderkey) l
 join v_svc s on s.b = l.b
 join part p on p.p_partkey = l.pk"""
 VIEWS["v_logs"] = """

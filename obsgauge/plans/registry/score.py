@@ -68,7 +68,8 @@ select service, count(*) as histogram_points, sum(case when exemplar_count > 0 t
 from v_metric_points where type = 'histogram' group by service"""
 VIEWS["v_links"] = """
 select s.trace_id, s.service, s.parent_span_id, p.span_id as found, p.service as caller
-from v_spans s left join v_spans p on p.trace_id = s.trace_id and p.span_id = s.parent_span_id"""
+from v_spans s left join (select trace_id, span_id, min(service) as service from v_spans group by 1, 2) p
+  on p.trace_id = s.trace_id and p.span_id = s.parent_span_id"""
 VIEWS["v_trace_service"] = """
 select trace_id, service, bool_or(parent_span_id is not null and found is null) as dangling from v_links
 group by trace_id, service"""
@@ -409,7 +410,7 @@ def score_gauges(t: Tables) -> DataFrame:
 VIEWS["v_violations"] = f"""
 select service, rule_id, ts, kind, summary, item_id, keys from (
   select 'span_' as src, service, res_service_name, env, ts, 'span' as kind, 'span ' || name as summary,
-         trace_id || '-' || span_id as item_id, concat_ws(',', case when env is not null then 'deployment.environment.name' end,
+         span_item as item_id, concat_ws(',', case when env is not null then 'deployment.environment.name' end,
          case when res_service_name is not null then 'service.name' end, 'service.version') as keys,
          [ {", ".join(f"case when {_ITEM_SQL[r][1]} then null else '{r}' end" for r in ("RES-005", "EXT-RES-001", "EXT-RES-003", "SPA-004"))} ] as failed
   from v_spans

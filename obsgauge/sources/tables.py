@@ -42,12 +42,11 @@ class Tables:
         return F.create_map(*flat)
 
     def spans(self, names: bool = False, times: bool = False) -> DataFrame:
-        """One span per (order, line): trace = order, parent = the line before."""
+        """Every line item is a span: trace = order, parent = the line before; (order, line) may repeat, as ids do."""
         lines = self.read("lineitem").select(
             "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus")
-        aggs = [F.min("l_suppkey").alias("_s"), F.min("l_partkey").alias("_p"),
-                F.min("l_returnflag").alias("_r"), F.min("l_linestatus").alias("_l")]
-        per_span = lines.groupBy("l_orderkey", "l_linenumber").agg(*aggs)
+        per_span = lines.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("_s"), F.col("l_partkey").alias("_p"),
+                                F.col("l_returnflag").alias("_r"), F.col("l_linestatus").alias("_l"))
         bucket = F.col("_s") % 8
         name = self._service_name(bucket)
         version = F.concat(F.lit("v"), (F.col("l_linenumber") % (bucket + 1)).cast("string"))
@@ -59,7 +58,7 @@ class Tables:
             F.when(F.col("_r") == "R", "client").when(F.col("_r") == "A", "server").otherwise("internal").alias("kind"),
             F.when(F.col("_l") == "F", "error").otherwise("ok").alias("status"),
             F.create_map().cast("map<string,string>").alias("attrs"),
-            F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("item_id"),
+            F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "_p", "_s")]).alias("item_id"),
         ]
         df = per_span
         if times:
