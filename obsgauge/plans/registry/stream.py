@@ -43,7 +43,9 @@ VIEWS["v_stream_verdicts"] = "\nunion all ".join(
         **{(r + s): (f"(select *, null as ver from {v})", _ITEM_SQL[r][1])
            for r in ("RES-005", "EXT-RES-001", "EXT-RES-002", "EXT-RES-003")
            for s, v in (("", "v_logs"), (" ", "v_metric_points"))},
-        **{r: _ITEM_SQL[r] for r in ("LOG-001", "LOG-002", "EXT-LOG-001", "MET-002", "MET-005", "EXT-MET-002")},
+        **{f"{r}  ": ("(select *, service_version as ver from v_spans)", _ITEM_SQL[r][1])
+           for r in ("RES-005", "EXT-RES-001", "EXT-RES-002", "EXT-RES-003")},
+        **{r: _ITEM_SQL[r] for r in ("SPA-004", "LOG-001", "LOG-002", "EXT-LOG-001", "MET-002", "MET-005", "EXT-MET-002")},
     }.items())
 
 
@@ -53,7 +55,7 @@ select service, trim(rule_id) as rule_id, count(*) as observed, sum(case when pa
 from v_stream_verdicts group by service, trim(rule_id)""")
 def rule_rollup(t: Tables) -> DataFrame:
     s, work = StreamTables(t.spark, t.folder), work_folder(t.spark)
-    rollup = stream_rule_rollup({"log": s.logs(), "metric": s.points()}, ITEM_RULES)
+    rollup = stream_rule_rollup({"span": s.spans(), "log": s.logs(), "metric": s.points()}, ITEM_RULES)
 
     def store(df: DataFrame, _batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{work}/rollup")
