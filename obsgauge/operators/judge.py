@@ -19,6 +19,21 @@ def covered_incidents(incidents: DataFrame, segments: DataFrame, bin_s: int = BI
     return incidents.join(ids, "incident", "left_semi")
 
 
+def incident_faults(incidents: DataFrame) -> DataFrame:
+    """(incident, start_ts, end_ts, fault): what makes a row unfit for judging; a row with several faults has several.
+
+    ``id``: no id; ``repeated``: the id occurs again; ``start``, ``end``: no such time; ``order``: the end is not after the
+    start.  An incident without an end would otherwise vanish in the interval joins.
+    """
+    named = F.trim(F.coalesce("incident", F.lit(""))) != ""
+    again = incidents.where(named).groupBy("incident").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    marked = incidents.join(again, "incident", "left")
+    faults = F.array_compact(F.array(
+        F.when(~named, "id"), F.when(F.col("_n").isNotNull(), "repeated"), F.when(F.col("start_ts").isNull(), "start"),
+        F.when(F.col("end_ts").isNull(), "end"), F.when(F.col("end_ts") <= F.col("start_ts"), "order")))
+    return marked.select("incident", "start_ts", "end_ts", F.explode(faults).alias("fault"))
+
+
 def unverifiable(incidents: DataFrame, covered: DataFrame) -> DataFrame:
     """Incidents without any covering segment: no verdict is possible."""
     return incidents.join(covered.select("incident"), "incident", "left_anti")

@@ -79,9 +79,10 @@ def findings_by_impact(found: DataFrame) -> DataFrame:
     return found.groupBy("service", "impact").agg(F.count(F.lit(1)).alias("findings"))
 
 
-def rules_evaluated(catalogue: DataFrame) -> DataFrame:
-    """Ids of every loaded rule, applied or not."""
-    return catalogue.select("rule_id")
+def rules_evaluated(catalogue: DataFrame, results: DataFrame) -> DataFrame:
+    """(rule_id, services): every loaded rule with the services it was judged for, 0 where it found nothing to judge."""
+    judged = results.groupBy("rule_id").agg(F.count(F.lit(1)).alias("services"))
+    return catalogue.select("rule_id").join(judged, "rule_id", "left").select("rule_id", F.coalesce("services", F.lit(0)).alias("services"))
 
 
 def score_gauges(scores: DataFrame, found: DataFrame) -> DataFrame:
