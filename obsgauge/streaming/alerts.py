@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -29,17 +30,23 @@ class _AlertState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         since, fired = self._state.get() if self._state.exists() else (None, False)
+        # Three narrow columns are kept of each chunk; runs of equal verdicts are found by arrays, not step by step.
+        chunks = [(c["position"].to_numpy(), c["active"].to_numpy(dtype=bool), c["for_steps"].to_numpy()) for c in rows]
+        position, active, hold = (np.concatenate(c) for c in zip(*chunks))
+        order = np.argsort(position, kind="stable")
+        position, active, hold = position[order], active[order], hold[order]
+        starts = np.concatenate([[0], np.flatnonzero(active[1:] != active[:-1]) + 1]) if len(position) else []
         out = []
-        steps = pd.concat(rows).sort_values("position")
-        for position, active, hold in zip(steps["position"], steps["active"], steps["for_steps"]):
-            if active:
-                since = position if since is None else since
-                if not fired and position - since >= hold:
+        for first, last in zip(starts, [*starts[1:], len(position)]):
+            if active[first]:
+                since = position[first] if since is None else since
+                due = position[first:last] - since >= hold[first:last]
+                if not fired and due.any():
                     fired = True
-                    out.append((*key, "fired", since, position))
+                    out.append((*key, "fired", int(since), int(position[first + int(due.argmax())])))
             else:
                 if fired:
-                    out.append((*key, "resolved", since, position))
+                    out.append((*key, "resolved", int(since), int(position[first])))
                 since, fired = None, False
         if since is None:
             self._state.clear()
