@@ -100,20 +100,23 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.col("__row").getField(text_col)
     each = (with_runs.where("runs is not null").select("__id", "__th", text.alias("__text"), F.explode("runs").alias("r"))
             .select("__id", "__th", "r.*", _cut_out(F.col("__text"), F.col("r.first"), F.col("r.last")).alias("chunk")))
-    is_first = F.expr("at.id <=> __id and at.th = __th and at.first = first and at.last = last")
-    bytes_of_first = each.where(is_first).groupBy("k1", "k2").agg(F.first("chunk").alias("original"))
-    differ = each.where(~is_first).join(bytes_of_first, ["k1", "k2"]).where(F.col("chunk") != F.col("original"))
-    differ = written(differ.select("__id", "__th", "first", "last").distinct().groupBy("__id", "__th").agg(
-        F.collect_list(F.struct("first", "last")).alias("spared")), "hash-collisions")
+    # Equal texts of a chunk fall together on the map side, so a passage in every document is a few rows here.
+    texts = each.groupBy("k1", "k2", "chunk").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    unequal = written(texts.where("n > 1").select("k1", "k2"), "unequal-chunks")
 
     later = F.expr("""
         transform(filter(runs, r -> not (r.at.id <=> __id and r.at.th = __th and r.at.first = r.first and r.at.last = r.last)),
                   r -> struct(r.first as first, r.last as last))""")
+    if not unequal.isEmpty():  # two texts with one pair of hashes: only what equals the first occurrence goes
+        doubtful = each.join(unequal, ["k1", "k2"])
+        is_first = F.expr("at.id <=> __id and at.th = __th and at.first = first and at.last = last")
+        originals = doubtful.where(is_first).groupBy("k1", "k2").agg(F.first("chunk").alias("original"))
+        spared = (doubtful.where(~is_first).join(originals, ["k1", "k2"]).where(F.col("chunk") != F.col("original"))
+                  .groupBy(F.col("__id").alias("i"), F.col("__th").alias("t")).agg(F.collect_set(F.struct("first", "last", "k1", "k2")).alias("spared")))
+        runs_left = F.expr("filter(runs, r -> not array_contains(spared, struct(r.first as first, r.last as last, r.k1 as k1, r.k2 as k2)))")
+        with_runs = (with_runs.join(spared, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t")), "left")
+                     .withColumn("runs", F.when(F.col("spared").isNull(), F.col("runs")).otherwise(runs_left)))
     out = with_runs.withColumn("__removed", later)
-    if not differ.isEmpty():
-        s = differ.select(F.col("__id").alias("i"), F.col("__th").alias("t"), "spared")
-        out = out.join(s, F.col("__id").eqNullSafe(F.col("i")) & (F.col("__th") == F.col("t")), "left").withColumn(
-            "__removed", F.array_except("__removed", F.coalesce("spared", F.expr("cast(array() as array<struct<first: int, last: int>>)"))))
     return out.select("__row", "__removed")
 
 

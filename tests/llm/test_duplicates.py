@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from obsgauge.llm import golay, line_chunks
 
@@ -153,6 +154,15 @@ def test_content_defined_chunks_find_short_repeats(docs_of):
         assert out[k]["__n_removed"] >= 15 and f"own {k} 0" in out[k].text
 
 
+def test_colliding_hashes_are_told_apart(docs_of, monkeypatch):
+    """With one hash for all chunks, only those that equal the first occurrence byte by byte go."""
+    plain = line_chunks.chunks
+    monkeypatch.setattr(line_chunks, "chunks", lambda *a: plain(*a).withColumns({"k1": F.lit(0).cast("long"), "k2": F.lit(0).cast("long")}))
+    rows = [(1, "a " * 60), (2, "b " * 60), (3, "a " * 60), (4, "b " * 60)]
+    got = {r.doc_id: r.n_removed for r in line_chunks.digest(docs_of(rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 0}
+
+
 def test_line_dedup_awkward(awkward, nothing, docs_of):
     out = line_chunks.cleaned(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()
