@@ -152,5 +152,5 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, the kept text, its hash and how many lines went."""
+    """doc_id, how many lines went and the text that is left."""
     return dedup_lines(docs).select("doc_id", F.col("__n_removed").alias("n_removed"), F.col("text").alias("kept_text"))

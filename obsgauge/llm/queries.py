@@ -12,7 +12,6 @@ from obsgauge.llm.common import table
 
 QUERIES = {}
 ORACLE = {}
-DOCS = ("doc_id", "text", "lang", "source")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
