@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsgauge.operators import judge, runhealth, scoring
+from obsgauge import schemas
+from obsgauge.operators import grading, judge, runhealth, scoring
 from obsgauge.operators import spend as spend_ops
-from obsgauge.plans.catalogue import DEFAULT_RULES, catalogue_frame
-from obsgauge.plans.flows import Scoring
+from obsgauge.plans.catalogue import DEFAULT_RULES, Rule, catalogue_frame
+from obsgauge.plans.flows import Scoring, register_aggregate
 from obsgauge.plans.flows import showback as run_showback
 from obsgauge.plans.registry import spend
 from obsgauge.plans.registry.base import TS, VIEWS, query
@@ -93,3 +94,46 @@ def incident_faults(t: Tables) -> DataFrame:
         F.when(customer % 31 != 0, day + F.make_dt_interval((customer % 9 - 1).cast("int"))).alias("end_ts"))
     return judge.incident_faults(incidents)
 
+
+register_aggregate("event_volume", lambda signals: signals["log"].groupBy("service").agg(F.count(F.lit(1)).alias("records")))
+#: A user's own rule on an aggregate of their own.
+QUIET = Rule("TEAM-1", "extension", "Not louder than agreed", "log", "low", "records < :most", aggregate="event_volume", params={"most": 700})
+
+
+@query("own_aggregate", "select service, count(*) < 700 as passed, 1 as observed from v_logs group by service")
+def own_aggregate(t: Tables) -> DataFrame:
+    return Scoring(t.spark, {"log": t.logs()}, [QUIET]).results.select("service", "passed", "observed")
+
+
+VIEWS["v_scenario_lines"] = """
+select l_orderkey as id, 'f' || (l_suppkey % 3) as fault, 'Pod/shop/supp-' || l_suppkey as entity, l_linenumber % 4 <> 0 as usable
+from lineitem"""
+
+
+@query("scenario_truth", """
+select 'sre-' || id as scenario, case when reason is null then 'shop' end as application, case when reason is null then faults end as category,
+       case when reason is null then entities end as entities, reason
+from (select o_orderkey as id, faults, entities,
+             case when o_orderkey <= 0 then 'id' when o_custkey % 10 = 0 then 'category' when o_custkey % 11 = 0 then 'application' when entities is null then 'objects' end as reason
+      from orders join (
+        select id, string_agg(distinct fault, '+' order by fault) as faults,
+               string_agg(distinct entity, ',' order by entity) filter (where usable) as entities
+        from v_scenario_lines group by id) l on l.id = o_orderkey) x""")
+def scenario_truth(t: Tables) -> DataFrame:
+    """A scenario catalogue as JSON texts, one per order with its lines as injections; some not usable."""
+    named = F.struct(F.struct(F.lit("Pod").alias("kind"), F.struct(
+        F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string")).alias("name"), F.lit("shop").alias("namespace")).alias("metadata")).alias("kubernetesObject"))
+    injection = F.struct(F.concat(F.lit("f"), (F.col("l_suppkey") % 3).cast("string")).alias("id"),
+                         F.when(F.col("l_linenumber") % 4 != 0, named).alias("args"))
+    lines = t.read("lineitem").groupBy("l_orderkey").agg(F.collect_list(injection).alias("injections"))  # the lines of one order
+    orders = t.read("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    document = F.to_json(F.struct(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 10 == 0, "finops").otherwise("sre").alias("category"),
+        F.struct(F.when(F.col("o_custkey") % 11 != 0, F.array(F.struct(F.lit("shop").alias("id")))).alias("applications")).alias("environment"),
+        F.array(F.struct("injections")).alias("disruptions")))
+    catalogue = orders.select(F.from_json(document, schemas.SCENARIO_CATALOGUE).alias("d")).select("d.*")
+    good, refused = grading.scenario_truth(catalogue)
+    text = F.transform("entities", lambda e: F.concat_ws("/", e["kind"], e["namespace"], e["name"]))
+    return good.select("scenario", "application", "category", F.array_join(F.array_sort(text), ",").alias("entities"),
+                       F.lit(None).cast("string").alias("reason")).unionByName(
+        refused.select(F.concat(F.lit("sre-"), F.col("id").cast("string")).alias("scenario"), "reason"), allowMissingColumns=True)
