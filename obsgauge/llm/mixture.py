@@ -116,7 +116,7 @@ def _halved(level: DataFrame) -> DataFrame:
     draw = F.expr("""
         aggregate(of,
           named_struct('blocks', total, 'places', places, 'out', cast(array() as array<struct<src: string, n: bigint>>)),
-          (a, s) -> aggregate(sequence(1L, s.n),
+          (a, s) -> aggregate(if(s.n > 0, sequence(1L, s.n), cast(array() as array<bigint>)),
               named_struct('blocks', a.blocks, 'places', a.places, 'left', 0L),
               (b, k) -> if(pmod(xxhash64(node, b.blocks), 1000000007L) * 1.0D / 1000000007D * b.blocks < b.places,
                   named_struct('blocks', b.blocks - 1, 'places', b.places - 1, 'left', b.left + 1),
@@ -169,7 +169,7 @@ def draws(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     placed = placed.withColumn("passes", F.expr(f"""
         filter(transform(sequence(0L, {cap}L), k -> named_struct('pass', cast(k as int),
             'taken', greatest(0L, least(size, goal - k * source_size - before)),
-            'block', least(blocks - 1, cast(floor((k * source_size + before) * 1.0D * blocks / goal) as bigint)))), x -> x.taken > 0)"""))
+            'block', least(blocks - 1, cast(floor((k * source_size + before) * 1.0D * blocks / greatest(goal, 1L)) as bigint)))), x -> x.taken > 0)"""))
     return placed.select("id", "src", "th", "size", "source_size", "target", "passes", *(["row"] if carry else [])), blocks
 
 
