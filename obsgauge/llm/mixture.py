@@ -38,6 +38,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 SHARDS = 16
 BLOCKS_PER_SHARD = 64
+PIECES = 64
 SEED = 17
 
 
@@ -177,13 +178,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     """The mix itself: the input's columns, a row for each pass that takes a document.
 
     Texts stay whole: of the last document of a source, cut by the target, a half or more counts as all
-    of it.  Rows of a shard are together and in hash order.
+    of it.  A shard is dealt in ``PIECES`` random pieces, so no task holds a whole one; inside, rows are in hash order.
     """
     placed, blocks = draws(docs, id_col, source_col, text_col, carry=True, **how)
     each = placed.select("row", "src", "id", "th", "size", F.explode("passes").alias("x")).where("x.taken * 2 >= size")
     order = F.xxhash64(F.lit(SEED + 2), "id", "th", "x.pass")
     each = each.withColumn("block", F.col("x.block")).join(blocks, ["src", "block"])
-    return each.withColumn("slot", order).repartition("shard").sortWithinPartitions("shard", "slot").select("row.*")
+    piece = F.pmod(F.col("slot"), F.lit(PIECES))
+    return each.withColumn("slot", order).repartition("shard", piece).sortWithinPartitions("shard", "slot").select("row.*")
 
 
 def accounts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
