@@ -95,6 +95,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        F.col(text_col).alias("__text"), _text_hash(F.col(text_col)).alias("__th"))
     with_runs = written(rows.join(runs, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__th") == F.col("th")), "left")
                         .select("__row", "__id", "__th", "runs"), "lines-of-documents")
+    # The shuffled texts are on disk until the driver's next collection of garbage; they are not needed any more.
+    docs.sparkSession.sparkContext._jvm.System.gc()
 
     # Byte comparison: of each chunk that occurs again with the text at its first occurrence.
     text = F.col("__row").getField(text_col)
