@@ -6,10 +6,12 @@ Lines that hold a word are hashed.  Two kinds of chunks are formed per document:
   line before is 0 modulo ``divisor``.  The cut depends on two lines only, so
   chunks find each other again after insertions above.  Chunks of one line or
   of under ``least_words`` words are not compared.
-* anchored: at every line, the shortest run from there with ``passage_words``
-  words.  A passage shorter than about two content-defined chunks may contain
-  no whole one; it does contain the anchored run of its first line.  So every
-  passage of whole lines with that many words is found wherever it stands.
+* anchored: at every line, the shortest run from there and the shortest run up to
+  there with ``passage_words`` words.  A passage shorter than about two content-defined chunks may contain
+  no whole one; it does contain the anchored run of its first line.  The mirrored
+  run is the shortest with as many words that ends at the line: the last lines of a
+  passage start no run inside it, but the run that ends at its last line covers them.
+  So every line of a passage of whole lines with that many words is found wherever it stands.
 
 Chunks are compared by two 64-bit hashes over all documents; those that occur
 again are compared byte by byte with their first occurrence (smallest id, then
@@ -62,6 +64,12 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, divisor: int, least_word
     anchored = (lines.withColumn("hashes", F.collect_list("h").over(reach)).withColumn("n", F.sum("words").over(reach))
                 .withColumn("last", F.max("no").over(reach)).where(F.col("n") >= passage_words)
                 .select("id", "th", F.col("no").alias("first"), "last", "hashes"))
+    back = doc.orderBy("through").rangeBetween(1 - passage_words, 0)
+    mirrored = (lines.withColumn("through", F.col("before") + F.col("words"))
+                .withColumn("hashes", F.collect_list("h").over(back)).withColumn("n", F.sum("words").over(back))
+                .withColumn("first", F.min("no").over(back))
+                .where((F.col("n") >= passage_words) & (F.col("n") - F.col("words") >= passage_words))  # else it is the run from its first line
+                .select("id", "th", "first", F.col("no").alias("last"), "hashes"))
     rolling = F.xxhash64("h", F.lag("h").over(doc.orderBy("no")))
     cut = lines.withColumn("ends", (F.pmod(rolling, F.lit(divisor)) == 0).cast("int"))
     cut = cut.withColumn("chunk", F.coalesce(F.sum("ends").over(doc.orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -69,7 +77,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, divisor: int, least_word
         F.min("no").alias("first"), F.max("no").alias("last"), F.sum("words").alias("n"),
         F.transform(F.array_sort(F.collect_list(F.struct("no", "h"))), lambda s: s["h"]).alias("hashes"))
         .where((F.size("hashes") > 1) & (F.col("n") >= least_words)).select("id", "th", "first", "last", "hashes"))
-    return anchored.unionByName(defined).select(
+    return anchored.unionByName(mirrored).unionByName(defined).select(
         "id", "th", "first", "last", F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(1), F.size("hashes"), "hashes").alias("k2"))
 
 

@@ -143,6 +143,42 @@ def test_passages_go_and_clean_text_stays(docs_of):
     assert {x for t in got.values() for x in t.split("\n")} == {x for _, t in rows for x in t.split("\n")}
 
 
+def plain_blocks(rows, passage=50):
+    """Lines of every later occurrence of a repeated block of whole lines with at least ``passage`` words: all pairs of places."""
+    lines = [[(key, k, x) for k, x in enumerate(text.split("\n")) if x.split()] for key, text in sorted(rows)]
+    gone = set()
+    for d, later in enumerate(lines):
+        for earlier in lines[:d]:
+            for i in range(len(later)):
+                for j in range(len(earlier)):
+                    n = size = 0
+                    while i + n < len(later) and j + n < len(earlier) and later[i + n][2] == earlier[j + n][2]:
+                        size += len(later[i + n][2].split())
+                        n += 1
+                    if size >= passage:
+                        gone.update((key, k) for key, k, _ in later[i:i + n])
+    return {key: "\n".join(x for k, x in enumerate(text.split("\n")) if (key, k) not in gone) for key, text in rows}
+
+
+def test_last_lines_of_a_passage_go_too(docs_of):
+    """Repeated blocks go whole, also the lines from which no run of passage length starts inside the block."""
+    draw = random.Random(31)
+    fresh = iter(range(1_000_000))
+
+    def line(n):
+        return " ".join(f"v{next(fresh)}" for _ in range(n))
+
+    blocks = [[line(n) for n in sizes] for sizes in ((59, 18), (25, 25, 3, 4), (50, 1), (10, 45, 20, 20), (49,), (20, 29), (7,) * 9)]
+    rows = []
+    for key in range(24):
+        lines = []
+        for block in draw.sample(blocks, 2):
+            lines += [line(draw.randint(3, 25)), *block]
+        rows.append((key, "\n".join([*lines, line(9)])))
+    got = {r.doc_id: r.text for r in line_chunks.dedup_lines(docs_of(rows), divisor=1 << 30).collect()}
+    assert got == plain_blocks(rows)
+
+
 def test_content_defined_chunks_find_short_repeats(docs_of):
     """Two or more lines between two cuts, under the passage length, are found whatever stands above."""
     draw = random.Random(1)
