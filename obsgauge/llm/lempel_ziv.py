@@ -6,8 +6,8 @@ phrases.  The set of phrases is hashed, and the smallest hash under each of
 ``SLOTS`` permutations is kept, 16 bits of it.  The likeness of two fingerprints is the share
 of equal slots: an estimate of the share of common phrases.
 
-Phrases shorter than ``SHORTEST`` characters are in every text of a language and
-are kept only where there are no longer ones.
+The whole set is hashed whatever the length of the text or of its phrases, so what
+likeness rests on never changes with the size of a text or its script.
 
 ``neighbours`` compares a text with an edited text (its second half replaced by
 the beginning of the next text in the order of the ids) and with the next
@@ -32,7 +32,7 @@ from obsgauge.llm.common import as_batch, map_rows
 from obsgauge.sources.shared import written
 
 SLOTS = 64
-SHORTEST = 4
+SHORTEST = 4  # characters from which a phrase is seldom common to a language; nothing is left out by it
 SEED = 5
 
 
@@ -73,7 +73,7 @@ class Signer:
         import pandas as pd
 
         np = self.np
-        words = [p for p in phrases.found if len(p) >= SHORTEST] or list(phrases.found) or ([phrases.open] if phrases.open else [])
+        words = list(phrases.found) or ([phrases.open] if phrases.open else [])
         if not words:
             return np.full(self.slots, 0xFFFF, "uint16")
         hashes = pd.util.hash_array(np.array(words, dtype=object), categorize=False)

@@ -134,3 +134,16 @@ def test_signature_estimates_common_phrases():
         share = len(x & y) / len(x | y)
         signed = [lempel_ziv.Phrases(set(s)) for s in (x, y)]
         assert abs(lempel_ziv.likeness(*map(signer.signature, signed)) - share) < 0.2
+
+
+def test_signature_rests_on_all_phrases():
+    """A phrase of four characters does not push the shorter ones out."""
+    draw = random.Random(2)
+    short = ["".join(draw.choices("abcdefgh", k=3)) for _ in range(200)]
+    signer = lempel_ziv.Signer()
+    for x, y in (({*short[:60], "same"}, {*short[60:120], "same"}), ({*short[:80], "left"}, {*short[:80], "rest"})):
+        share = len(x & y) / len(x | y)
+        signed = [lempel_ziv.Phrases(set(s)) for s in (x, y)]
+        assert abs(lempel_ziv.likeness(*map(signer.signature, signed)) - share) < 0.2
+    text = "the cat sat on the mat and the dog sat on the log"
+    assert 0 < lempel_ziv.likeness(signer.of(text), signer.of(text + " at last")) < 1
