@@ -73,7 +73,8 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Itera
                     rows.extend(got) if many else rows.append(got)
                     size += sum(len(v) for v in values if isinstance(v, (str, bytes, list)))
                     if len(rows) >= OUT_ROWS or size >= OUT_BYTES:
-                        yield as_batch(rows, arrow)
+                        if rows:  # with ``many`` much text may give no row
+                            yield as_batch(rows, arrow)
                         rows, size = [], 0
         if rows:
             yield as_batch(rows, arrow)
