@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from obsgauge.llm import (
-    byte_bpe, golay, hilbert, isolation, lempel_ziv, line_chunks, mixture, neighbour_vote, toxicity, url_cascade,
+    byte_bpe, golay, hilbert, isolation, lempel_ziv, line_chunks, merkle, mixture, neighbour_vote, toxicity, url_cascade,
 )
 from obsgauge.llm.common import table
 
@@ -97,3 +97,54 @@ def op1_neighbour_vote(spark, folder):
 @register
 def op10_isolation(spark, folder):
     return isolation.digest(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels", "doc_id", "quality"))
+
+
+@register
+def op13_merkle(spark, folder):
+    return merkle.digest(table(spark, folder, "documents", *merkle.FIELDS))
+
+
+ORACLE["op13_merkle"] = r"""
+with recursive docs as (
+  select *, (xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ord((doc_id::varchar)[i])::bigint)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) & 1) = 0 as hit
+  from documents),
+hashed as (
+  select doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+    case when hit and text is not null then sha256(head || strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '')) end as bent
+  from (select *, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head from docs)),
+leaves as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as r, count(*) over (partition by source) as n from hashed),
+tree(level, source, idx, h, n) as (
+  select 0, source, r, leaf, n from leaves
+  union all
+  select level + 1, source, idx // 3, sha256(string_agg(h, '' order by idx)), n from tree where n > 3 ** level group by level, source, idx // 3, n),
+subs as (
+  select source, h as subroot, row_number() over (order by source nulls first) - 1 as r, count(*) over () as n from tree where n <= 3 ** level),
+upper_tree(level, idx, h, n) as (
+  select 0, r, subroot, n from subs
+  union all
+  select level + 1, idx // 3, sha256(string_agg(h, '' order by idx)), n from upper_tree where n > 3 ** level group by level, idx // 3, n),
+steps as (
+  select l.source, l.r, t.level as pos, coalesce(string_agg(t.h, '' order by t.idx) filter (t.idx < l.r // (3 ** t.level)::bigint), '') as before,
+    coalesce(string_agg(t.h, '' order by t.idx) filter (t.idx > l.r // (3 ** t.level)::bigint), '') as after
+  from leaves l join tree t on l.source is not distinct from t.source and t.idx // 3 = l.r // (3 ** (t.level + 1))::bigint and t.n > 3 ** t.level
+  group by l.source, l.r, t.level),
+upper_steps as (
+  select s.source, 1000 + t.level as pos, coalesce(string_agg(t.h, '' order by t.idx) filter (t.idx < s.r // (3 ** t.level)::bigint), '') as before,
+    coalesce(string_agg(t.h, '' order by t.idx) filter (t.idx > s.r // (3 ** t.level)::bigint), '') as after
+  from subs s join upper_tree t on t.idx // 3 = s.r // (3 ** (t.level + 1))::bigint and t.n > 3 ** t.level
+  group by s.source, t.level),
+paths as (
+  select source, r, list({'before': before, 'after': after} order by pos) as path
+  from (select * from steps union all select l.source, l.r, u.pos, u.before, u.after from leaves l join upper_steps u on l.source is not distinct from u.source)
+  group by source, r),
+folds as (
+  select l.doc_id, l.leaf, s.subroot, (select h from upper_tree where n <= 3 ** level) as root,
+    sha256(coalesce(array_to_string(list_transform(p.path, lambda x: x.before || x.after), ''), '')) as proof_sha256,
+    coalesce(list_reduce(list_prepend({'before': coalesce(l.bent, l.leaf), 'after': ''}, p.path),
+      lambda a, x: {'before': sha256(x.before || a.before || x.after), 'after': ''}).before, l.bent, l.leaf) as folded_root
+  from leaves l join subs s on l.source is not distinct from s.source left join paths p on l.source is not distinct from p.source and l.r = p.r)
+select *, folded_root = root as verified from folds
+"""
