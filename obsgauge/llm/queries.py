@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from obsgauge.llm import (
-    byte_bpe, golay, hilbert, isolation, lempel_ziv, line_chunks, merkle, mixture, neighbour_vote, toxicity, url_cascade,
+    byte_bpe, golay, hard_negatives, hilbert, isolation, lempel_ziv, line_chunks, merkle, mixture, neighbour_vote, toxicity, url_cascade,
 )
 from obsgauge.llm.common import table
 
@@ -148,3 +148,30 @@ folds as (
   from leaves l join subs s on l.source is not distinct from s.source left join paths p on l.source is not distinct from p.source and l.r = p.r)
 select *, folded_root = root as verified from folds
 """
+
+
+@register
+def op11_hard_negatives(spark, folder):
+    return hard_negatives.digest(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
+ORACLE["op11_hard_negatives"] = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+    list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other_id)::int as rank,
+  other_id as negative_id, positive_score, score as negative_score
+from positives join pairs using (anchor_id)
+where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
