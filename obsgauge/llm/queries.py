@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from obsgauge.llm import (
-    byte_bpe, golay, hard_negatives, hilbert, isolation, lempel_ziv, line_chunks, merkle, mixture, neighbour_vote, toxicity, url_cascade,
+    byte_bpe, golay, hard_negatives, hilbert, isolation, lempel_ziv, line_chunks, lsh_forest, merkle, mixture, neighbour_vote, toxicity, url_cascade,
 )
 from obsgauge.llm.common import table
 
@@ -175,3 +175,33 @@ from positives join pairs using (anchor_id)
 where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
 qualify rank <= 10
 """
+
+
+@register
+def op12_lsh_forest(spark, folder):
+    return lsh_forest.digest(table(spark, folder, "documents", "doc_id", "text"))
+
+
+ORACLE["op12_lsh_forest"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select doc_id, list_distinct(case len(w) when 0 then [] when 1 then w
+    else list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) end) as s
+  from words),
+shingles as (select doc_id, unnest(s) as shingle from sets),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n
+  from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from common join sets x on a = x.doc_id join sets y on b = y.doc_id
+  where 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (
+  select doc_id, doc_id from sets
+  union
+  select r.doc_id, b from reach r join both_ways on other = a)
+select doc_id, len(any_value(s)) as n_shingles, min(other) as component_id, doc_id = min(other) as kept
+from reach join sets using (doc_id) group by doc_id
+"""
