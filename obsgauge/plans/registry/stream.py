@@ -9,14 +9,22 @@ from obsgauge.operators import aggregates as agg
 from obsgauge.operators import replay, series
 from obsgauge.plans.catalogue import ITEM_RULES
 from obsgauge.plans.registry.base import TS, VIEWS, query
+from obsgauge.plans.registry.intake import _message, _resource
 from obsgauge.plans.registry.history import HIGH_ERR, HIGH_ERR_NOW, HOUR, HOURLY
-from obsgauge.plans.registry.score import _ITEM_SQL
+from obsgauge.plans.registry.score import _ITEM_SQL, _SCORE
 from obsgauge.sources.shared import shared_folder
 from obsgauge.sources.tables import Tables
 from obsgauge.streaming import (
     alert_events,
+    export_gauges,
     firings_from_events,
+    read_gauges,
+    read_items,
+    read_late,
+    read_refused,
     run_available,
+    start_otlp_intake,
+    start_with_late_table,
     stream_cardinality,
     stream_rule_rollup,
     stream_trace_health,
@@ -131,3 +139,63 @@ def alert_state(t: Tables) -> DataFrame:
     return firings_from_events(events)
 
 
+
+
+@query("stream_dead_letters", """
+select 'item' as kind, service as subject, count(*) as n, sum(body_len)::bigint as bytes from v_logs where event_id % 50 > 2 group by service
+union all select 'refused', case event_id % 50 when 2 then 'no payload' else 'malformed' end, count(*), null from v_logs where event_id % 50 <= 2 group by 2""")
+def dead_letters(t: Tables) -> DataFrame:
+    """Payload texts of all log records in several files, some cut, some no JSON, some of another kind; the stream is started again after each file."""
+    work = work_folder(t.spark)
+    logs = t.logs()
+    record = F.struct("severity_number", F.struct(F.repeat(F.lit("x"), F.col("body_len")).alias("stringValue")).alias("body"))
+    good = _message("log", _resource(logs), record)
+    bad = F.col("event_id") % 50
+    text = (F.when(bad == 0, F.expr("substring(value, 1, length(value) div 2)")).when(bad == 1, F.lit("connection reset by peer"))
+            .when(bad == 2, F.lit('{"resourceSpans": []}')).otherwise(F.col("value")))
+    texts = logs.select("event_id", good).withColumn("value", text)
+    for part in range(3):
+        texts.where(F.col("event_id") % 3 == part).select("value").write.mode("append").text(f"{work}/payloads")
+        start_otlp_intake(t.spark, "log", f"{work}/payloads", f"{work}/items", f"{work}/refused", f"{work}/state").awaitTermination()
+    items = read_items(t.spark, "log", f"{work}/items").groupBy(F.lit("item").alias("kind"), F.col("service").alias("subject")).agg(
+        F.count("*").alias("n"), F.sum("body_len").cast("bigint").alias("bytes"))
+    refused = read_refused(t.spark, f"{work}/refused").groupBy(F.lit("refused").alias("kind"), F.col("reason").alias("subject")).agg(
+        F.count("*").alias("n"), F.lit(None).cast("bigint").alias("bytes"))
+    return items.unionByName(refused)
+
+
+_ITEM_IDS = ", ".join(f"'{r.rule_id}'" for r in ITEM_RULES)
+VIEWS["v_item_results"] = f"select * from v_results where rule_id in ({_ITEM_IDS})"
+VIEWS["v_item_scores"] = f"select service, {_SCORE.format(c="source = 'spec'", d='100.0')}::double as spec_score from v_item_results group by service"
+
+
+@query("published_gauges", """
+select 'service_score' as gauge, service, null::varchar as impact, round(spec_score, 6) as value from v_item_scores
+union all select 'fleet_score', null, null, round(avg(spec_score), 6) from v_item_scores
+union all select 'findings', service, impact, count(*)::double from v_item_results where not passed group by service, impact""")
+def published_gauges(t: Tables) -> DataFrame:
+    """The version that the gauge stream over all signals published last."""
+    s, work = StreamTables(t.spark, t.folder), work_folder(t.spark)
+    export_gauges({"span": s.spans(), "log": s.logs(), "metric": s.points()}, ITEM_RULES, f"{work}/versions", checkpoint=f"{work}/state",
+                  every=None).awaitTermination()
+    return read_gauges(t.spark, f"{work}/versions")
+
+
+@query("late_row_table", f"""
+select e.event_id % 4 as tick, service, count(*) as late, strftime(max(w.mark) - interval 10 day, {TS}) as watermark,
+       round(max(date_diff('microsecond', e.ts, w.mark - interval 10 day)) / 1e6, 6) as most_late_by_s
+from v_logs e
+join (select k, max(l.ts) as mark from (values (1), (2), (3)) as ticks(k) join v_logs l on l.event_id % 4 < k group by k) w on e.event_id % 4 = w.k
+where e.ts < w.mark - interval 10 day
+group by 1, 2""")
+def late_row_table(t: Tables) -> DataFrame:
+    """Records that arrive in four ticks, each after a restart; what lies ten days behind the ticks before is late."""
+    work = work_folder(t.spark)
+    logs = t.logs().select("event_id", "service", "ts")
+    for tick in range(4):
+        logs.where(F.col("event_id") % 4 == tick).write.mode("append").parquet(f"{work}/arrived")
+        stream = t.spark.readStream.schema(logs.schema).parquet(f"{work}/arrived")
+        start_with_late_table(stream, f"{work}/dealt", f"{work}/state", 10 * 86400).awaitTermination()
+    late = read_late(t.spark, f"{work}/dealt", logs)
+    return late.groupBy((F.col("event_id") % 4).alias("tick"), "service").agg(
+        F.count("*").alias("late"), F.max("watermark").alias("watermark"), F.max("late_by_s").alias("most_late_by_s"))

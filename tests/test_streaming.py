@@ -13,6 +13,7 @@ from obsgauge.streaming import (
     export_gauges,
     firings_from_events,
     late_rows,
+    read_gauges,
     run_available,
     start_table,
     stream_cardinality,
@@ -143,5 +144,5 @@ def test_export_gauges(tables, tmp_path):
     q.awaitTermination()
     s = Scoring(tables.spark, {"log": logs, "metric": points}, rules)
     shown = ["gauge", "service", "impact", F.round("value", 9)]
-    assert rows(tables.spark.read.parquet(str(tmp_path / "gauges")), *shown) == rows(
+    assert rows(read_gauges(tables.spark, str(tmp_path / "gauges")), *shown) == rows(
         scoring.score_gauges(s.scores, s.findings), *shown)
