@@ -22,12 +22,13 @@ from obsgauge.streaming import (
     read_items,
     read_late,
     read_refused,
+    read_trace_health,
     run_available,
     start_otlp_intake,
+    start_trace_health,
     start_with_late_table,
     stream_cardinality,
     stream_rule_rollup,
-    stream_trace_health,
 )
 
 
@@ -90,21 +91,12 @@ def cardinality(t: Tables) -> DataFrame:
     return out.join(exact, keys).select(*keys, "exact", (F.abs(F.col("cardinality") - F.col("exact")) <= 1 + 0.05 * F.col("exact")).alias("close"))
 
 
-VIEWS["v_windowed_links"] = """
-select s.trace_id, s.w, s.service, s.parent_span_id, p.span_id as found
-from (select *, epoch(ts)::bigint // 2592000 as w from v_spans) s
-left join (select *, epoch(ts)::bigint // 2592000 as w from v_spans) p
-  on p.trace_id = s.trace_id and p.w = s.w and p.span_id = s.parent_span_id"""
-
-
 @query("stream_trace_health", f"""
 select service, strftime(make_timestamp(w * 2592000 * 1000000), {TS}) as window_start, count(*) as traces,
        round(sum(case when dangling then 1 else 0 end) / count(*)::double, 6) as orphan_ratio,
        round(sum(case when rootless and (dangling or not broken) then 1 else 0 end) / count(*)::double, 6) as missing_root_ratio
-from (select trace_id, w, service, bool_or(parent_span_id is not null and found is null) as dangling
-      from v_windowed_links group by 1, 2, 3) a
-join (select trace_id, w, not bool_or(parent_span_id is null) as rootless,
-             bool_or(parent_span_id is not null and found is null) as broken from v_windowed_links group by 1, 2) b using (trace_id, w)
+from v_trace_service join v_trace_flags using (trace_id)
+join (select trace_id, epoch(min(ts))::bigint // 2592000 as w from v_spans group by trace_id) m using (trace_id)
 where (w + 1) * 2592000 <= (select epoch(max(ts)) - 86400 from v_spans)
 group by service, w""")
 def trace_health(t: Tables) -> DataFrame:
@@ -112,8 +104,8 @@ def trace_health(t: Tables) -> DataFrame:
     spans = t.spans(times=True).select("trace_id", "span_id", "parent_span_id", "service", "ts")
     spans.write.parquet(f"{work}/spans")  # the normalised table a collector would append to
     stream = t.spark.readStream.schema(spans.schema).parquet(f"{work}/spans")
-    return run_available(stream_trace_health(stream, window="30 days", delay="1 day"), f"{work}/table", "trace_health",
-                         f"{work}/state")
+    start_trace_health(stream, f"{work}/counts", f"{work}/state", window="30 days", delay="1 day").awaitTermination()
+    return read_trace_health(t.spark, f"{work}/counts")
 
 
 VIEWS["v_unsegmented"] = """

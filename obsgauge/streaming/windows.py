@@ -1,4 +1,4 @@
-"""Streaming roll-up, cardinality and trace health."""
+"""Streaming roll-up and cardinality."""
 
 from __future__ import annotations
 
@@ -48,37 +48,3 @@ def stream_cardinality(values: DataFrame, keys: Sequence[str], value: str = "val
             .groupBy(F.window("ts", window), *keys)
             .agg(F.approx_count_distinct(value, rsd).alias("cardinality"))
             .select(*keys, F.col("window.start").alias("window_start"), "cardinality"))
-
-
-def stream_trace_health(spans: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Trace health per service and closed window (append mode); a span counts in its own window.
-
-    Three chained aggregations.  The first is keyed by (trace, span id) and
-    meets a span with the references to it, so no state holds a whole trace;
-    what is collected later is bounded by the number of services in the fleet.
-    """
-    s = spans.withWatermark("ts", delay)
-    own = F.struct(F.col("span_id").cast("string").alias("id"), F.lit(True).alias("defined"),
-                   F.lit(None).cast("string").alias("user"))
-    ref = F.struct(F.col("parent_span_id").cast("string").alias("id"), F.lit(False).alias("defined"),
-                   F.col("service").alias("user"))
-    ids = (s.select("ts", "trace_id", F.inline(F.array(own, ref)))
-           .groupBy(F.window("ts", window).alias("window"), "trace_id", "id")
-           .agg(F.max("defined").alias("defined"), F.collect_set("user").alias("users")))
-    uses = ids.select("window", "trace_id", F.explode("users").alias("service"),
-                      (F.col("id").isNotNull() & ~F.col("defined")).alias("dangling"),
-                      F.col("id").isNull().alias("root"))
-    per_trace = uses.groupBy("window", "trace_id").agg(
-        F.collect_set(F.struct("service", "dangling")).alias("uses"), F.max("root").alias("rooted"))
-    broken = F.exists("uses", lambda u: u["dangling"])
-    services = F.array_distinct(F.transform("uses", lambda u: u["service"]))
-    per_service = (per_trace.select("window", "rooted", broken.alias("broken"), "uses",
-                                    F.explode(services).alias("service"))
-                   .withColumn("dangling", F.exists("uses", lambda u: u["dangling"] & (u["service"] == F.col("service")))))
-    blamed = ~F.col("rooted") & (F.col("dangling") | ~F.col("broken"))
-    return (per_service.groupBy("window", "service").agg(
-        F.count(F.lit(1)).alias("traces"), F.sum(F.col("dangling").cast("int")).alias("_o"),
-        F.sum(blamed.cast("int")).alias("_m"))
-        .select("service", F.col("window.start").alias("window_start"), "traces",
-                (F.col("_o") / F.col("traces")).alias("orphan_ratio"),
-                (F.col("_m") / F.col("traces")).alias("missing_root_ratio")))

@@ -14,11 +14,12 @@ from obsgauge.streaming import (
     firings_from_events,
     late_rows,
     read_gauges,
+    read_trace_health,
     run_available,
     start_table,
+    start_trace_health,
     stream_cardinality,
     stream_rule_rollup,
-    stream_trace_health,
 )
 from util import rows
 
@@ -92,15 +93,37 @@ def test_cardinality_and_late_rows(tables, tmp_path):
 
 def test_trace_health(tables, tmp_path):
     spans = tables.spans(times=True).select("trace_id", "span_id", "parent_span_id", "service", "ts")
-    everything = spans.unionByName(_with_closing_row(spans))
+    everything = spans.unionByName(_with_closing_row(spans, trace_id=-1))
     src = _in_time_order(everything, str(tmp_path / "in"), ["2025-01-01"])
-    got = run_available(stream_trace_health(src, window="30 days", delay="1 day"), str(tmp_path / "out"), "th",
-                        str(tmp_path / "cp"))
+    start_trace_health(src, str(tmp_path / "out"), str(tmp_path / "cp"), window="30 days", delay="1 day").awaitTermination()
+    got = read_trace_health(tables.spark, str(tmp_path / "out"))
     want = traces.trace_health(spans, window="30 days")
     cols = ["service", "window_start", "traces", "orphan_ratio", "missing_root_ratio"]
     assert rows(got, *cols) == rows(want, *cols)
 
 
+def test_traces_over_a_border_are_judged_once_in_the_window_of_their_first_span(spark, tmp_path):
+    """Spans of the same traces before and after a border, in both orders, over restarts: the stream equals the batch."""
+    minute = lambda m: f"2024-01-01 {m // 60:02d}:{m % 60:02d}:00"
+    ddl = "trace_id string, span_id string, parent_span_id string, service string, ts string"
+    batches = [
+        [("a", "1", None, "web", minute(55)), ("b", "2", "1", "db", minute(58)), ("c", "1", None, "web", minute(10))],
+        [("a", "2", "1", "db", minute(62)), ("b", "1", None, "web", minute(61)), ("c", "2", "9", "db", minute(50)), ("d", "1", "0", "db", minute(65)), ("d", "1", "0", "db", minute(65))],
+        [("a", "3", "7", "web", minute(66)), ("e", "1", None, "web", minute(130)), ("e", "2", "1", "web", minute(121))],
+        [("z", "1", None, "web", minute(600))]]
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    frame = lambda rows_: spark.createDataFrame(rows_, ddl).withColumn("ts", F.col("ts").cast("timestamp"))
+    for batch in batches:
+        frame(batch).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(frame(batch).schema).parquet(source)
+        start_trace_health(stream, out, state, window="1 hour", delay="10 minutes", patience_s=900).awaitTermination()
+    spans = frame([r for b in batches for r in b])
+    want = traces.trace_health(spans.where("trace_id <> 'z'"), window="1 hour")
+    cols = ["service", "window_start", "traces", "orphan_ratio", "missing_root_ratio"]
+    assert rows(read_trace_health(spark, out), *cols) == rows(want, *cols)
+    assert want.agg(F.count_distinct("window_start")).first()[0] == 3
+
+
 def test_alert_state(tables, tmp_path):
     spark = tables.spark
     grid = Grid(history.START, history.END, 3600)
