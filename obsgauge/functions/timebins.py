@@ -1,8 +1,9 @@
-"""Time grids and interval joins expressed as equi-joins on time bins.
+"""Time grids and interval joins expressed as equi-joins on dyadic time spans.
 
-A plain range condition makes Spark compare every pair.  Cutting intervals at
-fixed bin borders turns it into a hash join on the bin number with the exact
-condition kept as a residual, which shuffles, spills and splits under skew.
+A plain range condition makes Spark compare every pair.  Time is divided into spans of one minute, two, four and so
+on.  An interval is noted at the level of its own length, where it touches two spans at most, so seconds and years
+cost the same; a point looks up the span that holds it at each of the ``LEVELS``.  What is left is a hash join on (level, span) with the exact
+condition as a residual, which shuffles, spills and splits under skew.
 """
 
 from __future__ import annotations
@@ -28,33 +29,61 @@ def bin_of(ts: Column, width_s: int) -> Column:
     return F.floor(micros(ts) / F.lit(width_s * 1_000_000)).cast("bigint")
 
 
-def with_bins(df: DataFrame, start: Column, end: Column, width_s: int, name: str = "bin") -> DataFrame:
-    """One row per bin an interval touches."""
-    return df.withColumn(name, F.explode(F.sequence(bin_of(start, width_s), bin_of(end, width_s))))
+#: Spans of 1 minute to 2 ** 30 minutes (2,000 years).
+LEVELS = 31
+UNIT_S = 60
 
 
-def points_in_intervals(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str,
-                        width_s: int = 3600, how: str = "inner") -> DataFrame:
+def _unit(ts: Column) -> Column:
+    return bin_of(ts, UNIT_S)
+
+
+def own_level(start: Column, end: Column) -> Column:
+    """The level at which an interval touches two spans at most."""
+    n = _unit(end) - _unit(start)
+    return F.least(F.when(n > 0, F.floor(F.log2(n.cast("double"))) + 1).otherwise(0), F.lit(LEVELS - 1)).cast("int")
+
+
+def _spans(start: Column, end: Column, level: Column) -> Column:
+    """(level, span) of the spans that an interval touches at a level not under its own."""
+    first, last = _unit(start), _unit(end)
+    return F.transform(F.array_distinct(F.array(F.call_function("shiftright", first, level), F.call_function("shiftright", last, level))),
+                       lambda n: F.struct(level.alias("_ilevel"), n.alias("_ispan")))
+
+
+def points_in_intervals(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, how: str = "inner") -> DataFrame:
     """Join points to the closed intervals [start, end] that hold them.
 
-    Every (point, interval) pair is met exactly once, in the bin of the point.
-    The two frames must not share column names.
+    Every (point, interval) pair is met exactly once, at the level of the interval; equal instants
+    are looked up once.  The two frames must not share column names.
+    """
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    instants = points.select(F.col(at).alias("_at")).where(F.col(at).isNotNull()).distinct().select("_at", F.explode(levels).alias("_level"))
+    instants = instants.withColumn("_span", F.call_function("shiftright", _unit(F.col("_at")), F.col("_level")))
+    noted = intervals.where(F.col(start) <= F.col(end)).select("*", F.inline(_spans(F.col(start), F.col(end), own_level(F.col(start), F.col(end)))))
+    cond = (F.col("_level") == F.col("_ilevel")) & (F.col("_span") == F.col("_ispan")) & F.col("_at").between(F.col(start), F.col(end))
+    if how == "left_anti":
+        held = instants.join(noted, cond, "left_semi").select("_at").distinct()
+        return points.join(held, F.col(at) == F.col("_at"), how)
+    pairs = instants.join(noted, cond).drop("_level", "_span", "_ilevel", "_ispan")
+    return points.join(pairs, F.col(at) == F.col("_at"), how).drop("_at")
+
+
+def overlapping(left: DataFrame, l_start: str, l_end: str, right: DataFrame, r_start: str, r_end: str, key: str) -> DataFrame:
+    """``key`` values of left intervals that share more than a border with a right one.
+
+    Two intervals meet at the level of the longer one; each is noted at its own level and all above.
     """
-    # A bin that cannot be NULL keeps Spark from pushing a NULL check below the
-    # point side, which would stop inner and anti joins from sharing its shuffle.
-    left = points.withColumn("_pbin", F.coalesce(bin_of(F.col(at), width_s), F.lit(-1 << 62)))
-    right = with_bins(intervals, F.col(start), F.col(end), width_s, "_ibin")
-    cond = (F.col("_pbin") == F.col("_ibin")) & F.col(at).between(F.col(start), F.col(end))
-    return left.join(right, cond, how).drop("_pbin", "_ibin")
-
-
-def overlapping(left: DataFrame, l_start: str, l_end: str, right: DataFrame, r_start: str, r_end: str,
-                key: str, width_s: int = 3600) -> DataFrame:
-    """``key`` values of left intervals that share more than a border with a right one."""
-    a = with_bins(left.select(key, l_start, l_end), F.col(l_start), F.col(l_end), width_s, "_lbin")
-    b = with_bins(right.select(F.col(r_start).alias("_rs"), F.col(r_end).alias("_re")),
-                  F.col("_rs"), F.col("_re"), width_s, "_rbin")
-    cond = (F.col("_lbin") == F.col("_rbin")) & (F.col(l_start) < F.col("_re")) & (F.col(l_end) > F.col("_rs"))
+
+    def noted(df: DataFrame, start: str, end: str, side: str) -> DataFrame:
+        own = own_level(F.col(start), F.col(end))
+        up = F.flatten(F.transform(F.sequence(own, F.lit(LEVELS - 1)), lambda level: _spans(F.col(start), F.col(end), level)))
+        return df.where(F.col(start) <= F.col(end)).select("*", own.alias(f"_{side}own"), F.inline(up)).withColumnsRenamed({"_ilevel": f"_{side}level", "_ispan": f"_{side}span"})
+
+    a = noted(left.select(key, l_start, l_end), l_start, l_end, "l")
+    b = noted(right.select(F.col(r_start).alias("_rs"), F.col(r_end).alias("_re")), "_rs", "_re", "r")
+    cond = ((F.col("_llevel") == F.col("_rlevel")) & (F.col("_lspan") == F.col("_rspan")) & (F.col("_llevel") == F.greatest("_lown", "_rown"))
+            & (F.col(l_start) < F.col("_re")) & (F.col(l_end) > F.col("_rs")))
     return a.join(b, cond, "left_semi").select(key).distinct()
 
 

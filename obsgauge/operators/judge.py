@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from obsgauge.functions.timebins import overlapping, plus_seconds, points_in_intervals, seconds_between
 from obsgauge.session import small_frame
 
-BIN_S = 6 * 3600
 
-
-def covered_incidents(incidents: DataFrame, segments: DataFrame, bin_s: int = BIN_S) -> DataFrame:
+def covered_incidents(incidents: DataFrame, segments: DataFrame) -> DataFrame:
     """Incidents that overlap a segment with data."""
-    ids = overlapping(incidents, "start_ts", "end_ts", segments, "start_ts", "end_ts", "incident", bin_s)
+    ids = overlapping(incidents, "start_ts", "end_ts", segments, "start_ts", "end_ts", "incident")
     return incidents.join(ids, "incident", "left_semi")
 
 
@@ -55,12 +53,12 @@ def fire_times(firings: DataFrame) -> DataFrame:
     return firings.where(F.col("fired_at").isNotNull()).groupBy("rule", "fired_at").agg(F.count(F.lit(1)).alias("firings"))
 
 
-def attribute_firings(firings: DataFrame, covered: DataFrame, grace_s: float, bin_s: int = BIN_S) -> DataFrame:
+def attribute_firings(firings: DataFrame, covered: DataFrame, grace_s: float) -> DataFrame:
     """(firing, incident) pairs: fired within the incident, widened by the grace on both sides.
 
     Labels of the firing series are not compared with the incident's services.
     """
-    return points_in_intervals(firings, "fired_at", _widened(covered, grace_s), "_from", "_to", bin_s
+    return points_in_intervals(firings, "fired_at", _widened(covered, grace_s), "_from", "_to"
                                ).drop("_from", "_to")
 
 
@@ -87,10 +85,10 @@ def missed(covered: DataFrame, detected: DataFrame, rules: Sequence[str]) -> Dat
     return asked.join(detected.select("rule", "incident"), ["rule", "incident"], "left_anti").select("rule", "incident")
 
 
-def false_positives(firings: DataFrame, covered: DataFrame, grace_s: float, bin_s: int = BIN_S) -> DataFrame:
+def false_positives(firings: DataFrame, covered: DataFrame, grace_s: float) -> DataFrame:
     """Firings that no covered incident explains."""
     return points_in_intervals(firings, "fired_at", _widened(covered, grace_s).select("_from", "_to"),
-                               "_from", "_to", bin_s, how="left_anti")
+                               "_from", "_to", how="left_anti")
 
 
 def pages_per_week(times: DataFrame, coverage: DataFrame, rules: Sequence[str] | None = None) -> DataFrame:
@@ -118,15 +116,15 @@ def _ids(column: str) -> Column:
 
 
 def scorecard(firings: DataFrame, incidents: DataFrame, segments: DataFrame, coverage: DataFrame,
-              rules: Sequence[str], grace_s: float, bin_s: int = BIN_S) -> DataFrame:
+              rules: Sequence[str], grace_s: float) -> DataFrame:
     """One row per rule; false positives are counted here and listed by ``false_positives``."""
-    cov = covered_incidents(incidents, segments, bin_s)
+    cov = covered_incidents(incidents, segments)
     times = fire_times(firings)
-    det = detections(attribute_firings(times, cov, grace_s, bin_s))
+    det = detections(attribute_firings(times, cov, grace_s))
     det_by_rule = det.groupBy("rule").agg(_ids("incident").alias("detected"), F.avg("ttd_s").alias("mean_ttd_s"),
                                           F.avg("firings").alias("flappiness"))
     miss = missed(cov, det, rules).groupBy("rule").agg(_ids("incident").alias("missed"))
-    fps = false_positives(times, cov, grace_s, bin_s).groupBy("rule").agg(F.sum("firings").alias("false_positives"))
+    fps = false_positives(times, cov, grace_s).groupBy("rule").agg(F.sum("firings").alias("false_positives"))
     blind = unverifiable(incidents, cov).agg(_ids("incident").alias("_u")).scalar()
     none = F.array().cast("array<string>")
     return (pages_per_week(times, coverage, rules)

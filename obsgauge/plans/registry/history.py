@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +16,26 @@ from obsgauge.plans.registry.base import TS, VIEWS, query
 from obsgauge.plans.registry.score import daily_findings
 from obsgauge.sources.tables import Tables
 
-START, END = datetime(2024, 1, 1), datetime(2024, 1, 30, 23)
-FINE = series.Grid(START, END, 600)
-HOURLY = series.Grid(START, END, 3600)
 HOUR = 3600
+
+
+def grid_over(rows: DataFrame, step_s: int, ts: str = "ts") -> series.Grid:
+    """The steps from the first to the last time of ``rows``, rounded out to whole steps since the epoch."""
+    first, last = rows.agg(F.floor(F.min(F.unix_micros(ts)) / (step_s * 1_000_000)), F.ceil(F.max(F.unix_micros(ts)) / (step_s * 1_000_000))).first()
+    if first is None:
+        raise ValueError("no times to lay a grid over")
+    at = lambda k: datetime.fromtimestamp(k * step_s, timezone.utc)
+    return series.Grid(at(first), at(max(last, first + 1)), step_s)
+
+
+def fine(t: Tables) -> series.Grid:
+    return grid_over(t.logs(), 600)
+
+
+def hourly(t: Tables) -> series.Grid:
+    return grid_over(t.logs(), HOUR)
+
+
 GRACE_S = 300
 
 HIGH_ERR = replay.AlertSpec("HighErr", (3 * HOUR,), 0.4, for_s=2 * HOUR, severity="page")
@@ -32,8 +48,12 @@ RULES = [a.name for a in ALERTS]
 
 # --- SQL side ---------------------------------------------------------------------------------
 
+for _name, _step in (("v_fine", 600), ("v_hour", HOUR)):
+    VIEWS[f"{_name}_range"] = f"""
+select make_timestamp(floor(epoch_us(min(ts)) / {_step}e6)::bigint * {_step} * 1000000) as t0,
+       greatest(ceil(epoch_us(max(ts)) / {_step}e6)::bigint - floor(epoch_us(min(ts)) / {_step}e6)::bigint, 1) as last from v_logs"""
 VIEWS["v_fine_grid"] = """
-select i as position, timestamp '2024-01-01' + to_seconds(i * 600) as t from range(0, 4315) r(i)"""
+select position, t0 + to_seconds(position * 600) as t from (select t0, unnest(range(0, last + 1)) as position from v_fine_range) r"""
 VIEWS["v_fine_presence"] = """
 select g.position, g.t, bool_or(l.ts is not null) as has_data
 from v_fine_grid g left join v_logs l on l.ts > g.t - interval 10 minute and l.ts <= g.t group by g.position, g.t"""
@@ -41,7 +61,7 @@ VIEWS["v_fine_segments"] = """
 select min(t) as start_ts, max(t) as end_ts from (
   select t, position - row_number() over (order by position) as grp from v_fine_presence where has_data) x group by grp"""
 VIEWS["v_hours"] = """
-select i as position, timestamp '2024-01-01' + to_seconds(i * 3600) as t from range(0, 720) r(i)"""
+select position, t0 + to_seconds(position * 3600) as t from (select t0, unnest(range(0, last + 1)) as position from v_hour_range) r"""
 # Probe of the replay: sign-up histograms, rare enough to leave holes.
 VIEWS["v_present_hours"] = """
 select distinct g.position from v_hours g
@@ -50,8 +70,8 @@ VIEWS["v_segments"] = """
 select min(position) as first_pos, max(position) as last_pos from (
   select position, position - row_number() over (order by position) as grp from v_present_hours) x group by grp"""
 VIEWS["v_segment_times"] = """
-select first_pos, last_pos, timestamp '2024-01-01' + to_seconds(first_pos * 3600) as start_ts,
-       timestamp '2024-01-01' + to_seconds(last_pos * 3600) as end_ts from v_segments"""
+select first_pos, last_pos, (select t0 from v_hour_range) + to_seconds(first_pos * 3600) as start_ts,
+       (select t0 from v_hour_range) + to_seconds(last_pos * 3600) as end_ts from v_segments"""
 VIEWS["v_coverage"] = "select count(*) as segments, sum((last_pos - first_pos) * 3600)::double as covered_s from v_segments"
 VIEWS["v_increases"] = """
 select service, ts, coalesce(requests_total - lag(requests_total) over w, 0) as n,
@@ -75,7 +95,7 @@ union all select '{BURN_NAME}', 2, service, position from v_ratios where ratio_3
 VIEWS["v_firings"] = """
 select rule, service, first_pos as segment, a as active_pos, a + for_steps as fired_pos,
        case when b < last_pos then b + 1 end as resolved_pos,
-       timestamp '2024-01-01' + to_seconds((a + for_steps) * 3600) as fired_at
+       (select t0 from v_hour_range) + to_seconds((a + for_steps) * 3600) as fired_at
 from (select rule, service, for_steps, first_pos, last_pos, min(position) as a, max(position) as b
       from (select s.*, g.first_pos, g.last_pos, s.position - row_number() over
               (partition by rule, service, g.first_pos order by s.position) as grp
@@ -83,11 +103,10 @@ from (select rule, service, for_steps, first_pos, last_pos, min(position) as a,
       group by rule, service, for_steps, first_pos, last_pos, grp) y
 where b - a >= for_steps"""
 VIEWS["v_incidents"] = """
-select * from (values
- ('inc-a', timestamp '2024-01-03 00:00:00', timestamp '2024-01-03 12:00:00', cast(null as varchar)),
- ('inc-b', timestamp '2024-01-10 06:00:00', timestamp '2024-01-10 09:00:00', 'HighErr'),
- ('inc-c', timestamp '2024-01-20 00:00:00', timestamp '2024-01-21 00:00:00', 'OtherRule'),
- ('inc-d', timestamp '2024-03-01 00:00:00', timestamp '2024-03-01 01:00:00', cast(null as varchar))) as t(id, start_ts, end_ts, expected_alert)"""
+select 'inc-' || event_id as id, s as start_ts,
+       s + to_seconds(case event_id % 5 when 0 then 30 when 1 then 10800 when 2 then 43200 when 3 then 172800 else 777600 end) as end_ts,
+       case event_id % 3 when 1 then 'HighErr' when 2 then 'OtherRule' end as expected_alert
+from (select event_id, date_trunc('hour', ts) + to_days(case when event_id % 11 = 0 then 60 else 0 end) as s from events where event_id % 97 = 0) e"""
 VIEWS["v_covered"] = """
 select * from v_incidents i where exists (
   select 1 from v_segment_times s where i.start_ts < s.end_ts and i.end_ts > s.start_ts)"""
@@ -112,7 +131,7 @@ from v_rule_names r left join v_firings f on f.rule = r.rule group by r.rule"""
 
 
 def _at(column: str) -> str:
-    return f"strftime(timestamp '2024-01-01' + to_seconds({column} * 3600), {TS})"
+    return f"strftime((select t0 from v_hour_range) + to_seconds({column} * 3600), {TS})"
 
 
 # --- Spark side -------------------------------------------------------------------------------
@@ -122,15 +141,15 @@ def _probe(t: Tables) -> DataFrame:
 
 
 def _segments(t: Tables) -> DataFrame:
-    return series.presence_segments(_probe(t), HOURLY)
+    return series.presence_segments(_probe(t), hourly(t))
 
 
 def _coverage(t: Tables) -> DataFrame:
-    return series.coverage(_segments(t), HOURLY)
+    return series.coverage(_segments(t), hourly(t))
 
 
 def _firings(t: Tables, alerts=ALERTS) -> DataFrame:
-    return replay.replay_alerts(t.samples(), _segments(t), alerts, HOURLY, ["service"],
+    return replay.replay_alerts(t.samples(), _segments(t), alerts, hourly(t), ["service"],
                                 "errors_total", "requests_total")
 
 
@@ -144,33 +163,33 @@ def _detections(t: Tables) -> DataFrame:
 
 @query("presence_grid", f"select position, strftime(t, {TS}) as ts, has_data from v_fine_presence")
 def presence_grid(t: Tables) -> DataFrame:
-    return series.presence_grid(t.logs(), FINE)
+    return series.presence_grid(t.logs(), fine(t))
 
 
 @query("presence_segments", f"""
 select strftime(start_ts, {TS}) as start_ts, strftime(end_ts, {TS}) as end_ts from v_fine_segments""")
 def presence_segments(t: Tables) -> DataFrame:
-    return series.presence_segments(t.logs(), FINE).select("start_ts", "end_ts")
+    return series.presence_segments(t.logs(), fine(t)).select("start_ts", "end_ts")
 
 
 @query("coverage", """
 select count(*) as segments, sum(epoch(end_ts) - epoch(start_ts))::double as covered_s,
-       round(sum(epoch(end_ts) - epoch(start_ts)) / 2588400.0, 6)::double as share,
-       sum(epoch(end_ts) - epoch(start_ts)) < 2588400 as partial from v_fine_segments""")
+       round(sum(epoch(end_ts) - epoch(start_ts)) / any_value(last * 600.0), 6)::double as share,
+       sum(epoch(end_ts) - epoch(start_ts)) < any_value(last * 600) as partial from v_fine_segments, v_fine_range""")
 def coverage(t: Tables) -> DataFrame:
-    return series.coverage(series.presence_segments(t.logs(), FINE), FINE)
+    return series.coverage(series.presence_segments(t.logs(), fine(t)), fine(t))
 
 
 @query("usable_start", f"""
-select strftime(min(t), {TS}) as usable_from, bool_or(position = 4314) as data_at_end from v_fine_presence where has_data""")
+select strftime(min(t), {TS}) as usable_from, bool_or(position = (select last from v_fine_range)) as data_at_end from v_fine_presence where has_data""")
 def usable_start(t: Tables) -> DataFrame:
-    return series.usable_start(t.logs(), FINE)
+    return series.usable_start(t.logs(), fine(t))
 
 
 @query("windowed_ratio", f"""
 select service, strftime(t, {TS}) as ts, round(ratio_3h, 6) as ratio_10800 from v_ratios where ratio_3h is not null""")
 def windowed_ratio(t: Tables) -> DataFrame:
-    return (series.windowed_ratio(t.samples(), HOURLY, ["service"], "errors_total", "requests_total", [3 * HOUR])
+    return (series.windowed_ratio(t.samples(), hourly(t), ["service"], "errors_total", "requests_total", [3 * HOUR])
             .where(F.col("ratio_10800").isNotNull()).select("service", "ts", "ratio_10800"))
 
 
@@ -179,7 +198,7 @@ select service, strftime(t, {TS}) as ts, round(ratio_24h, 6) as value from v_rat
 def derived_series(t: Tables) -> DataFrame:
     name = "service:error_ratio:24h"
     defined = {name: lambda samples: series.windowed_ratio(
-        samples, HOURLY, ["service"], "errors_total", "requests_total", [24 * HOUR])
+        samples, hourly(t), ["service"], "errors_total", "requests_total", [24 * HOUR])
         .where(F.col("ratio_86400").isNotNull()).select("service", "ts", F.col("ratio_86400").alias("value"))}
     return series.derived_series(name, t.samples(), defined)
 
@@ -255,7 +274,7 @@ left join (select rule, string_agg(incident, ',' order by incident) as detected,
 left join (select rule, string_agg(incident, ',' order by incident) as missed from v_missed group by rule) m using (rule)
 left join (select rule, count(*) as n from v_false_positives group by rule) f using (rule)""")
 def scorecard(t: Tables) -> DataFrame:
-    card = backtest_run(_probe(t), t.samples(), t.incidents(), ALERTS, HOURLY, ["service"],
+    card = backtest_run(_probe(t), t.samples(), t.incidents(), ALERTS, hourly(t), ["service"],
                         "errors_total", "requests_total", GRACE_S).scorecard
     for c in ("detected", "missed", "unverifiable"):
         card = card.withColumn(c, F.array_join(c, ","))
@@ -278,9 +297,12 @@ def diff_lost(t: Tables) -> DataFrame:
     return judge.diff_lost(judge.compare_sets(_detections(t), SET_A, SET_B))
 
 
-@query("diff_gained", "select incident from v_set_a where incident not in (select incident from v_set_b)")
+@query("diff_gained", """
+select b.incident from (select distinct incident from v_detections where rule = 'HighErrNow') b
+left join (select incident from v_detections where rule = 'HighErr') a using (incident) where a.incident is null""")
 def diff_gained(t: Tables) -> DataFrame:
-    return judge.diff_gained(judge.compare_sets(_detections(t), SET_B, SET_A))
+    """What the rule without a waiting time finds that the waiting one does not."""
+    return judge.diff_gained(judge.compare_sets(_detections(t), ["HighErr"], ["HighErrNow"]))
 
 
 @query("diff_ttd", """

@@ -201,13 +201,11 @@ select service, strftime(date_trunc('day', trace_ts), {TS}) as window_start, cou
        round(sum(case when rootless and (dangling or not broken) then 1 else 0 end) / count(*)::double, 6) as missing_root_ratio
 from v_trace_service join v_trace_flags using (trace_id)
 join (select trace_id, min(ts) as trace_ts from v_spans group by trace_id) m using (trace_id)
-where date_trunc('day', trace_ts) + interval 1 day <= timestamp '1998-01-01'
+where date_trunc('day', trace_ts) + interval 1 day <= (select max(ts) from v_spans)
 group by service, date_trunc('day', trace_ts)""")
 def trace_health_windowed(t: Tables) -> DataFrame:
-    from datetime import datetime, timezone
-
-    return traces.trace_health(t.spans(times=True), window="1 day",
-                               closed_before=datetime(1998, 1, 1, tzinfo=timezone.utc))
+    spans = t.spans(times=True)
+    return traces.trace_health(spans, window="1 day", closed_before=spans.agg(F.max("ts")).first()[0])  # windows the last span has left behind
 
 
 @query("service_dependency", "select caller, callee, traces from v_edges")
@@ -543,13 +541,12 @@ select coalesce(r.service, v.service) as service, coalesce(r.rule_id, v.rule_id)
        coalesce(r.observed, 0) as observed, round(coalesce(r.ratio, 0), 6) as ratio,
        coalesce(v.passed, r.passed) as passed,
        case when v.passed is not null then 'verified' else 'sampled' end as confidence, v.series as verified_series
-from (select * from v_results where rule_id in ('RES-005', 'MET-001', 'LOG-002')) r
+from v_results r
 full join (select * from v_presence union all select * from v_verified_card) v
   on v.service = r.service and v.rule_id = r.rule_id""")
 def apply_verified(t: Tables) -> DataFrame:
-    rules = [rule("RES-005"), rule("MET-001"), rule("LOG-002")]
     verified = _verified_presence(t).unionByName(_verified_cardinality(t))
-    return Scoring(t.spark, t.signals(), rules, verified).results.select(
+    return Scoring(t.spark, t.signals(names=True), DEFAULT_RULES, verified).results.select(
         "service", "rule_id", "observed", "ratio", "passed", "confidence", "verified_series")
 
 
@@ -587,26 +584,27 @@ def merged_rules(t: Tables) -> DataFrame:
     return rule_ops.aggregate_rollup(frames, rules).select("service", "rule_id", "violations")
 
 
+_RESOURCE_RULES = ("RES-005", "EXT-RES-001", "EXT-RES-002", "EXT-RES-003")
+VIEWS["v_dated_verdicts"] = "\nunion all ".join(
+    [f"select '{r}' as rule_id, service, ts, ({_ITEM_SQL[r][1]}) as passed from (select *, {ver} as ver from {view})"
+     for r in _RESOURCE_RULES for view, ver in (("v_logs", "null"), ("v_metric_points", "null"), ("v_spans", "service_version"))]
+    + [f"select '{r}', service, ts, ({_ITEM_SQL[r][1]}) from {_ITEM_SQL[r][0]}"
+       for r in ("SPA-004", "LOG-001", "LOG-002", "EXT-LOG-001", "MET-002", "MET-005", "EXT-MET-002")])
 VIEWS["v_daily_ratios"] = """
-select service, 'LOG-002' as rule_id, sum(case when severity <> 0 then 0 else 1 end) / count(*)::double as ratio
-from v_logs group by service, date_trunc('day', ts)
-union all
-select service, 'EXT-LOG-001', sum(case when has_trace_id then 0 else 1 end) / count(*)::double
-from v_logs group by service, date_trunc('day', ts)"""
+select service, rule_id, sum(case when passed then 0 else 1 end) / count(*)::double as ratio
+from v_dated_verdicts group by service, rule_id, date_trunc('day', ts)"""
 
 
 def daily_findings(t: Tables) -> DataFrame:
-    """Findings of two log rules, one scoring per day."""
-    rules = [rule("LOG-002"), rule("EXT-LOG-001")]
-    logs = t.logs().withColumn("day", F.to_date("ts"))
-    rollup = rule_ops.item_rollup({"log": logs}, rules, keys=("day", "service"))
-    return scoring.findings(rule_ops.rule_results(rollup, catalogue_frame(t.spark, rules)),
-                            catalogue_frame(t.spark, rules))
+    """Findings of all item rules over all signals, one scoring per day."""
+    catalogue = catalogue_frame(t.spark, ITEM_RULES)
+    signals = {name: df.withColumn("day", F.to_date("ts")) for name, df in t.signals(times=True).items()}
+    rollup = rule_ops.item_rollup(signals, ITEM_RULES, keys=("day", "service"))
+    return scoring.findings(rule_ops.rule_results(rollup, catalogue), catalogue)
 
 
 @query("rule_ratio_history", """
-select rule_id, round(ratio, 6) as ratio from v_daily_ratios
-where ratio > case when rule_id = 'EXT-LOG-001' then 0.5 else 0.0 end""")
+select rule_id, round(ratio, 6) as ratio from v_daily_ratios join v_rules using (rule_id) where ratio > threshold_ratio""")
 def rule_ratio_history(t: Tables) -> DataFrame:
     return snapshots.rule_ratio_history(daily_findings(t))
 

@@ -10,7 +10,7 @@ from obsgauge.operators import replay, series
 from obsgauge.plans.catalogue import ITEM_RULES
 from obsgauge.plans.registry.base import TS, VIEWS, query
 from obsgauge.plans.registry.intake import _message, _resource
-from obsgauge.plans.registry.history import HIGH_ERR, HIGH_ERR_NOW, HOUR, HOURLY
+from obsgauge.plans.registry.history import HIGH_ERR, HIGH_ERR_NOW, HOUR, hourly
 from obsgauge.plans.registry.score import _ITEM_SQL, _SCORE
 from obsgauge.sources.shared import shared_folder
 from obsgauge.sources.tables import Tables
@@ -109,7 +109,7 @@ def trace_health(t: Tables) -> DataFrame:
 
 
 VIEWS["v_unsegmented"] = """
-select rule, service, a as active_pos, a + for_steps as fired_pos, case when b < 719 then b + 1 end as resolved_pos
+select rule, service, a as active_pos, a + for_steps as fired_pos, case when b < (select last from v_hour_range) then b + 1 end as resolved_pos
 from (select rule, service, for_steps, min(position) as a, max(position) as b
       from (select *, position - row_number() over (partition by rule, service order by position) as grp
             from v_true_steps where rule in ('HighErr', 'HighErrNow')) x group by rule, service, for_steps, grp) y
@@ -118,11 +118,11 @@ where b - a >= for_steps"""
 
 @query("stream_alert_state", "select rule, service as series, active_pos, fired_pos, resolved_pos from v_unsegmented")
 def alert_state(t: Tables) -> DataFrame:
-    work, longest = work_folder(t.spark), 3 * HOUR
-    ratios = series.windowed_ratio(t.samples(), HOURLY, ["service"], "errors_total", "requests_total", [longest])
-    hits = replay.true_steps(ratios, [HIGH_ERR, HIGH_ERR_NOW], ["service"], HOURLY).withColumnRenamed("service", "series")
+    work, longest, grid = work_folder(t.spark), 3 * HOUR, hourly(t)
+    ratios = series.windowed_ratio(t.samples(), grid, ["service"], "errors_total", "requests_total", [longest])
+    hits = replay.true_steps(ratios, [HIGH_ERR, HIGH_ERR_NOW], ["service"], grid).withColumnRenamed("service", "series")
     # A true step, and a quiet one right after each run of true steps: all a series' state can react to.
-    after = hits.withColumn("position", F.col("position") + 1).where(F.col("position") < HOURLY.points)
+    after = hits.withColumn("position", F.col("position") + 1).where(F.col("position") < grid.points)
     steps = (hits.withColumn("active", F.lit(True)).unionByName(after.withColumn("active", F.lit(False)))
              .groupBy("rule", "series", "for_steps", "position").agg(F.max("active").alias("active")))
     steps.write.parquet(f"{work}/steps")

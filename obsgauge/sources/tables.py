@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsgauge.functions.attributes import label_key, normalize_severity, service_of
-from obsgauge.session import small_frame
+from obsgauge.functions.timebins import plus_seconds
 
 
 class Tables:
@@ -140,13 +140,15 @@ class Tables:
                              F.sum("_e").over(upto).alias("errors_total"))
 
     def incidents(self) -> DataFrame:
-        rows = [("inc-a", "2024-01-03 00:00:00", "2024-01-03 12:00:00", []),
-                ("inc-b", "2024-01-10 06:00:00", "2024-01-10 09:00:00", ["HighErr"]),
-                ("inc-c", "2024-01-20 00:00:00", "2024-01-21 00:00:00", ["OtherRule"]),
-                ("inc-d", "2024-03-01 00:00:00", "2024-03-01 01:00:00", [])]
-        df = small_frame(self.spark, rows, "incident string, s string, e string, expected_alerts array<string>")
-        return df.select("incident", F.col("s").cast("timestamp").alias("start_ts"),
-                         F.col("e").cast("timestamp").alias("end_ts"), "expected_alerts")
+        """An incident at every 97th event: from half a minute to nine days long, some sixty days after everything; a third names the rule that should fire, a third another."""
+        id_ = F.col("event_id")
+        seconds = F.element_at(F.array(*[F.lit(s) for s in (30, 3 * 3600, 12 * 3600, 2 * 86400, 9 * 86400)]), (id_ % 5 + 1).cast("int"))
+        start = plus_seconds(F.date_trunc("hour", "ts"), F.when(id_ % 11 == 0, 60 * 86400).otherwise(0))
+        alert = (F.when(id_ % 3 == 1, F.array(F.lit("HighErr"))).when(id_ % 3 == 2, F.array(F.lit("OtherRule")))
+                 .otherwise(F.array().cast("array<string>")))
+        return (self.read("events").where(id_ % 97 == 0)
+                .select(F.concat(F.lit("inc-"), id_.cast("string")).alias("incident"), start.alias("start_ts"), plus_seconds(start, seconds).alias("end_ts"),
+                        alert.alias("expected_alerts")))
 
     def usage(self) -> DataFrame:
         third = F.col("doc_id") % 3

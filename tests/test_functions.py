@@ -128,11 +128,24 @@ def test_interval_joins_match_nested_loop(spark):
     iv = spark.createDataFrame(ivs, "iv int, s bigint, e bigint").select(
         "iv", F.timestamp_seconds("s").alias("s"), F.timestamp_seconds("e").alias("e"))
     pt = spark.createDataFrame(pts, "pt int, t bigint").select("pt", F.timestamp_seconds("t").alias("t"))
-    got = rows(points_in_intervals(pt, "t", iv, "s", "e", 3600), "pt", "iv")
+    got = rows(points_in_intervals(pt, "t", iv, "s", "e"), "pt", "iv")
     assert got == sorted([(p, i) for p, t in pts for i, s, e in ivs if s <= t <= e], key=repr)
-    lone = rows(points_in_intervals(pt, "t", iv.select("s", "e"), "s", "e", 3600, how="left_anti"), "pt")
+    lone = rows(points_in_intervals(pt, "t", iv.select("s", "e"), "s", "e", how="left_anti"), "pt")
     assert lone == sorted([(p,) for p, t in pts if not any(s <= t <= e for _, s, e in ivs)], key=repr)
     left, right = ivs[:20], ivs[20:]
     a, b = iv.where("iv < 20"), iv.where("iv >= 20")
-    got = rows(overlapping(a, "s", "e", b, "s", "e", "iv", 3600))
+    got = rows(overlapping(a, "s", "e", b, "s", "e", "iv"))
     assert got == sorted([(i,) for i, s, e in left if any(s < f and e > g for _, g, f in right)], key=repr)
+
+
+def test_interval_rows_do_not_grow_with_the_length_of_the_interval(spark):
+    from obsgauge.functions import timebins
+
+    start = "2023-11-05 07:13:21"
+    spans = spark.createDataFrame([(start, s) for s in (0, 1, 59, 60, 3600, 86400 * 30, 86400 * 365, 86400 * 3650)], "s string, n long")
+    spans = spans.select(F.col("s").cast("timestamp").alias("s"), (F.col("s").cast("timestamp") + F.make_dt_interval(secs=F.col("n"))).alias("e"), "n")
+    noted = spans.select("n", F.size(timebins._spans(F.col("s"), F.col("e"), timebins.own_level(F.col("s"), F.col("e")))).alias("rows"))
+    assert all(1 <= r.rows <= 2 for r in noted.collect())
+    points = spans.select(F.col("e").alias("t"))
+    held = timebins.points_in_intervals(points, "t", spans.select("s", "e"), "s", "e")
+    assert held.count() == sum(range(1, 9))  # the interval of each length holds the ends of those up to it

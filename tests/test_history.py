@@ -181,7 +181,7 @@ def test_diff(spark):
 def test_run_writes_firings_once(tables, tmp_path):
     from obsgauge.plans.registry import history as h
 
-    args = (h._probe(tables), tables.samples(), tables.incidents(), h.ALERTS, h.HOURLY, ["service"], "errors_total",
+    args = (h._probe(tables), tables.samples(), tables.incidents(), h.ALERTS, h.hourly(tables), ["service"], "errors_total",
             "requests_total", 300)
     plain = backtest_run(*args)
     stored = backtest_run(*args, firings_path=str(tmp_path / "firings"))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from obsgauge.operators import aggregates as agg
 from obsgauge.operators import replay, traces
 from obsgauge.operators.rules import item_rollup
-from obsgauge.operators.series import Grid
 from obsgauge.plans.catalogue import ITEM_RULES, rule
 from obsgauge.plans.registry import history
 from obsgauge.streaming import (
@@ -126,7 +125,7 @@ def test_traces_over_a_border_are_judged_once_in_the_window_of_their_first_span(
 
 def test_alert_state(tables, tmp_path):
     spark = tables.spark
-    grid = Grid(history.START, history.END, 3600)
+    grid = history.hourly(tables)
     samples = tables.samples()
     alerts = [history.HIGH_ERR, history.HIGH_ERR_NOW]
     from obsgauge.operators.series import windowed_ratio
@@ -140,7 +139,7 @@ def test_alert_state(tables, tmp_path):
              .join(hits.withColumn("_hit", F.lit(True)), ["rule", "series", "for_steps", "position"], "left")
              .select("rule", "series", "for_steps", "position", F.coalesce("_hit", F.lit(False)).alias("active")))
     path = str(tmp_path / "in")
-    for lo, hi in ((0, 250), (250, 251), (251, 720)):
+    for lo, hi in ((0, 250), (250, 251), (251, grid.points)):
         steps.where((F.col("position") >= lo) & (F.col("position") < hi)).coalesce(1).write.mode("append").parquet(path)
     src = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(path)
     events = run_available(alert_events(src), str(tmp_path / "out"), "alerts", str(tmp_path / "cp"))
