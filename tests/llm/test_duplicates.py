@@ -98,29 +98,42 @@ def test_awkward_rows(awkward, nothing):
     assert golay.digest(nothing).count() == 0 and golay.one_of_each(nothing).count() == 0
 
 
-def plain_line_dedup(rows, divisor_cuts=None, passage=50):
-    """Anchored runs only: lines of every later occurrence of a run of at least ``passage`` words."""
-    seen, out = {}, {}
-    runs = []
-    for key, text in sorted(rows):
-        lines = [(k, x) for k, x in enumerate(text.split("\n")) if x.split()]
-        for i in range(len(lines)):
-            n, j = 0, i
-            while j < len(lines) and n < passage:
-                n += len(lines[j][1].split())
-                j += 1
-            if n >= passage:
-                run = tuple(x for _, x in lines[i:j])
-                if run in seen:
-                    runs.append((key, lines[i][0], lines[j - 1][0]))
-                else:
-                    seen[run] = (key, i)
-    gone = {}
-    for key, a, b in runs:
-        gone.setdefault(key, set()).update(range(a, b + 1))
-    for key, text in rows:
-        out[key] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone.get(key, ()) or not x.split())
-    return out
+def plain_line_dedup(rows, passage=50, divisor=4, least_words=20):
+    """Lines of later occurrences, from all pairs of places: blocks of whole lines with ``passage`` words, and content-defined chunks."""
+    import struct
+
+    import xxhash
+
+    def rolled(before, line):
+        as_bytes = lambda h: struct.pack("<Q", h)
+        own = xxhash.xxh64_intdigest(line.encode(), 42)
+        h = xxhash.xxh64_intdigest(as_bytes(own), 42)
+        return h if before is None else xxhash.xxh64_intdigest(as_bytes(xxhash.xxh64_intdigest(before.encode(), 42)), h)
+
+    docs = [[(key, k, x) for k, x in enumerate(text.split("\n")) if x.split()] for key, text in sorted(rows)]
+    gone, seen = set(), set()
+    for d, lines in enumerate(docs):
+        for e, other in enumerate(docs[:d + 1]):
+            for i in range(len(lines)):
+                for j in range(len(other) if e < d else i):
+                    n = size = 0
+                    while i + n < len(lines) and j + n < len(other) and lines[i + n][2] == other[j + n][2]:
+                        size += len(lines[i + n][2].split())
+                        n += 1
+                    if size >= passage:
+                        gone.update((key, k) for key, k, _ in lines[i:i + n])
+        chunk = []
+        for at, line in enumerate(lines):
+            chunk.append(line)
+            signed = rolled(lines[at - 1][2] if at else None, line[2])
+            if signed % divisor == 0 or at == len(lines) - 1:
+                text = tuple(x for _, _, x in chunk)
+                if len(chunk) > 1 and sum(len(x.split()) for x in text) >= least_words:
+                    if text in seen:
+                        gone.update((key, k) for key, k, _ in chunk)
+                    seen.add(text)
+                chunk = []
+    return {key: "\n".join(x for k, x in enumerate(text.split("\n")) if (key, k) not in gone) for key, text in rows}
 
 
 def test_passages_go_and_clean_text_stays(docs_of):
@@ -208,3 +221,26 @@ def test_line_dedup_awkward(awkward, nothing, docs_of):
     assert line_chunks.cleaned(nothing).count() == 0
     same = line_chunks.digest(docs_of([(1, "x " * 60), (1, "x " * 60), (2, "x " * 60)])).collect()
     assert sorted((r.doc_id, r.n_removed) for r in same) == [(1, 0), (1, 0), (2, 1)]
+
+
+def test_long_texts_take_time_as_their_lines(docs_of):
+    """Two texts of 30,000 lines that differ in every tenth line; in between every line is covered by many runs."""
+    import time
+
+    lines = [f"line {k} of a long text that another text repeats" for k in range(30_000)]
+    other = [f"{x} but here" if k % 10 == 0 else x for k, x in enumerate(lines)]
+    start = time.time()
+    got = {r.doc_id: r for r in line_chunks.digest(docs_of([(1, "\n".join(lines)), (2, "\n".join(other))])).collect()}
+    assert time.time() - start < 60
+    assert got[1].n_removed == 0 and got[1].kept_text.count("\n") == 29_999
+    assert got[2].n_removed == 27_000 and got[2].kept_text.count("but here") == 3_000
+
+
+def test_columns_named_like_the_inner_ones_are_carried_along(docs_of):
+    from pyspark.sql import functions as F
+
+    text = "\n".join(f"some line of many words number {k}" for k in range(20))
+    docs = docs_of([(1, text), (2, text)]).withColumns({n: F.lit(n) for n in ("__n_removed", "__kept", "__n", "__hit", "runs", "__id", "__bits")})
+    out = line_chunks.cleaned(docs)
+    assert out.columns == docs.columns
+    assert {(r["__n_removed"], r["__hit"], r["runs"]) for r in out.collect()} == {("__n_removed", "__hit", "runs")}
