@@ -122,6 +122,16 @@ def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
             .select(*keys, F.hll_sketch_estimate("sketch").alias("estimate")))
 
 
+def two_generations(sketches: DataFrame, keys: list[str], window_s: int = 3600) -> DataFrame:
+    """Per window the larger of its own and the previous window's estimate, and the distinct values of both together.
+
+    Takes the rows of ``stream_cardinality_sketches``.  A key is visible for one silent window and gone in the second.
+    """
+    live = _live_windows(sketches.select(*keys, "window_start", "sketch", "cardinality"), window_s)
+    return live.groupBy(*keys, "window_start").agg(F.max("cardinality").alias("cardinality"), F.hll_union_agg("sketch").alias("sketch")).select(
+        *keys, "window_start", "cardinality", F.hll_sketch_estimate("sketch").alias("together"))
+
+
 def long_form(name: str, rows: DataFrame, fields: list[str]) -> DataFrame:
     """Uniform view of a typed aggregate: (service, aggregate, dims, fields)."""
     dims = [c for c in rows.columns if c not in ("service", *fields)]

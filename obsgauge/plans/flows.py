@@ -6,7 +6,6 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,18 +116,6 @@ class Showback:
     total_delta: DataFrame | None
 
 
-def _last_report(spark: SparkSession, path: str, before) -> DataFrame | None:
-    """The latest stored report strictly before an instant, or None on a first run."""
-    try:
-        history = spark.read.parquet(path)
-    except AnalysisException as err:
-        if err.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    last = snapshots.last_snapshot_before(history, before)
-    return None if last.isEmpty() else last
-
-
 def showback(spark: SparkSession, usage: DataFrame, stored: DataFrame, rates: spend.Rates, window_s: float,
              taken_at, history_path: str | None = None) -> Showback:
     """Price usage and storage, compare with the last stored report, then append this one."""
@@ -137,7 +124,7 @@ def showback(spark: SparkSession, usage: DataFrame, stored: DataFrame, rates: sp
     total = spend.total_monthly(lines, storage)
     trend = delta = None
     if history_path is not None:
-        last = _last_report(spark, history_path, taken_at)
+        last = snapshots.read_last_snapshot(spark, history_path, taken_at)
         if last is not None:
             trend = spend.cost_trend(lines, last.where(F.col("part") == "line"))
             delta = spend.trend_total(total, last.agg(F.sum("total_monthly").alias("total_monthly")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsgauge import schemas
+from obsgauge.functions import attributes as attr
 from obsgauge.operators import grading, judge, runhealth, scoring
 from obsgauge.operators import spend as spend_ops
 from obsgauge.plans.catalogue import DEFAULT_RULES, Rule, catalogue_frame
@@ -14,8 +15,10 @@ from obsgauge.plans.flows import showback as run_showback
 from obsgauge.plans.registry import spend
 from obsgauge.plans.registry.base import TS, VIEWS, query
 from obsgauge.plans.registry.history import _stats_sql
+from obsgauge.plans.registry.intake import _message, _resource
 from obsgauge.sources import snapshots
 from obsgauge.sources.shared import shared_folder
+from obsgauge.sources.otlp import otlp_from_messages
 from obsgauge.sources.tables import Tables
 
 _COST_TREND = """
@@ -43,7 +46,7 @@ def stored_scores(t: Tables) -> DataFrame:
     path = shared_folder(t.spark, "score-history")
     s = Scoring(t.spark, t.signals(names=True))
     snapshots.write_score_snapshot(path, s.scores, s.results, s.findings, scoring.fleet_score(s.scores), "2024-01-01 00:00:00")
-    last = {name: snapshots.last_snapshot_before(t.spark.read.parquet(f"{path}/{name}"), "2024-01-02 00:00:00")
+    last = {name: snapshots.read_last_snapshot(t.spark, f"{path}/{name}", "2024-01-02 00:00:00")
             for name in ("service_scores", "findings")}
     return last["service_scores"].select("service", "spec_score", F.lit("scores").alias("part")).unionByName(
         last["findings"].select("service", F.col("ratio").alias("spec_score"), F.col("rule_id").alias("part")))
@@ -137,3 +140,93 @@ def scenario_truth(t: Tables) -> DataFrame:
     return good.select("scenario", "application", "category", F.array_join(F.array_sort(text), ",").alias("entities"),
                        F.lit(None).cast("string").alias("reason")).unionByName(
         refused.select(F.concat(F.lit("sre-"), F.col("id").cast("string")).alias("scenario"), "reason"), allowMissingColumns=True)
+
+
+# --- files written and read back --------------------------------------------------------------
+
+@query("read_last_snapshot", f"""
+select strftime(o_orderdate::timestamp, {TS}) as taken_at, count(*) as lines from orders
+where o_orderdate::timestamp = (select max(o_orderdate::timestamp) from orders where o_orderdate::timestamp < timestamp '1998-01-01' and o_orderdate % 5 = 0)
+group by o_orderdate""".replace("o_orderdate % 5 = 0", "day(o_orderdate) % 5 = 0"))
+def read_last_snapshot(t: Tables) -> DataFrame:
+    """A history of every fifth day of the month, stored by day; only the last day before the instant is read."""
+    path = shared_folder(t.spark, "history")
+    daily = t.report_snapshots().where(F.dayofmonth("taken_at") % 5 == 0).withColumn("snapshot_date", F.to_date("taken_at"))
+    daily.repartition("snapshot_date").write.partitionBy("snapshot_date").parquet(path)
+    return snapshots.read_last_snapshot(t.spark, path, "1998-01-01 00:00:00").select("taken_at", "lines")
+
+
+@query("saved_aggregates", """
+select service, 'metric_attribute_cardinality' as aggregate, name as metric, 'k' as attribute, count(distinct attr_k)::double as cardinality, 2::bigint as n_dims
+from v_metric_points group by service, name""")
+def saved_aggregates(t: Tables) -> DataFrame:
+    """Aggregates saved as JSON arrays, a file a service, and read back with dimensions and measures told apart."""
+    path = shared_folder(t.spark, "aggregates")
+    rows = t.points().groupBy("service", "name").agg(F.count_distinct(F.col("attrs")["k"]).alias("cardinality"))
+    row = F.struct(F.col("service").alias("Service"), F.lit("metric_attribute_cardinality").alias("Aggregate"),
+                   F.struct(F.col("name").alias("metric"), F.lit("k").alias("attribute"), "cardinality").alias("Fields"))
+    files = rows.groupBy(F.xxhash64("service").alias("file")).agg(F.to_json(F.collect_list(row)).alias("value"))  # the metrics of one service
+    files.write.partitionBy("file").text(path)
+    back = snapshots.read_aggregate_snapshots(t.spark, f"{path}/file=*")
+    return back.select("service", "aggregate", F.col("dims")["metric"].alias("metric"), F.col("dims")["attribute"].alias("attribute"),
+                       F.col("fields")["cardinality"].alias("cardinality"), F.size("dims").alias("n_dims"))
+
+
+@query("saved_reports", """
+select strftime(strptime(file, 'report-%Y%m%d'), '%Y-%m-%d') as day, rule_id, service, round(ratio, 6) as ratio, null as reason from v_report_ratios
+union all select 'broken', null, null, null, 'malformed' union all select 'empty', null, null, null, 'no snapshot'""")
+def saved_reports(t: Tables) -> DataFrame:
+    """Daily reports as JSON files, one of them cut off and one without a snapshot, read back as ratios and refusals."""
+    path = shared_folder(t.spark, "reports")
+    found = t.points().groupBy(F.to_date("ts").cast("string").alias("day"), "service", F.col("name").alias("rule_id")).agg(
+        (F.count_if(F.col("value") > 100) / F.count(F.lit(1))).alias("ratio"))
+    services = found.groupBy("day", "service").agg(F.collect_list(F.struct("rule_id", F.struct("ratio").alias("stats"))).alias("findings"))
+    days = services.groupBy("day").agg(F.collect_list(F.struct("service", "findings")).alias("services"))  # the rules and services of a day
+    texts = days.select("day", F.to_json(F.struct(F.col("day").alias("window"), F.struct("services").alias("snapshot"))).alias("value"))
+    odd = t.spark.range(1).select(F.inline(F.array(F.struct(F.lit("broken").alias("day"), F.lit('{"snapshot": {').alias("value")),
+                                                   F.struct(F.lit("empty").alias("day"), F.lit('{"window": "x"}').alias("value")))))
+    texts.unionByName(odd).write.partitionBy("day").text(path)
+    day = F.regexp_extract("file", r"day=([^/]+)/", 1).alias("day")
+    ratios = snapshots.read_report_ratios(t.spark, f"{path}/day=*")
+    refused = snapshots.unreadable_reports(t.spark, f"{path}/day=*")
+    return ratios.select(day, "rule_id", "service", "ratio").unionByName(refused.select(day, "reason"), allowMissingColumns=True)
+
+
+@query("soak_samples", f"""
+select 'soak' as run, strftime(date_trunc('minute', ts), {TS}) as ts, case when event_id % 9 = 0 then 0 else value end::double as rss,
+       (event_id % 100)::double as pairs, 0::double as evictions, (event_id % 7 + event_id % 5 + event_id % 3)::double as items from events""")
+def soak_samples(t: Tables) -> DataFrame:
+    """Run samples through CSV, every ninth memory reading unreadable, columns in another order and one more."""
+    path = f"{shared_folder(t.spark, 'soak')}/soak.csv"
+    e, key = t.read("events"), F.col("event_id")
+    e.select(F.lit("x").alias("other"), F.date_format(F.date_trunc("minute", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
+             (key % 7).alias("items_traces"), (key % 5).alias("items_metrics"), (key % 3).alias("items_logs"), F.lit("").alias("evictions_total"),
+             F.when(key % 9 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("rss_bytes"), (key % 100).alias("pairs_tracked")
+             ).write.option("header", True).csv(path)
+    return snapshots.read_soak_metrics(t.spark, path, run="soak")
+
+
+@query("truncated_texts", """
+select doc_id, left(text, list_max(list_filter(range(0, 257), lambda i: strlen(left(text, i)) <= 256))) as shown from documents""")
+def truncated_texts(t: Tables) -> DataFrame:
+    """Texts cut for a display of 256 bytes, never inside a character."""
+    return t.read("documents").select("doc_id", attr.truncate_attr(F.col("text"), 256).alias("shown"))
+
+
+@query("typed_attribute_values", """
+select event_id::varchar as id, regexp_replace(cast(round(value, 2) as varchar), '\\.0$', '') as as_double, case when user_id % 2 = 0 then 'true' else 'false' end as as_bool,
+       user_id::varchar as as_int, base64(event_type::blob) as as_bytes, '' as as_nothing from events""".replace("\\\\", "\\"))
+def typed_attribute_values(t: Tables) -> DataFrame:
+    """Attributes of every value type through a payload and back as texts."""
+    e = t.read("events").withColumn("resource", F.create_map(F.lit("service.name"), F.lit("shop"), F.lit("deployment.environment.name"), F.lit("x")))
+
+    def kv(key: str, field: str | None = None, value=None):
+        inner = F.struct(value.alias(field)) if field else F.struct(F.lit(None).cast("string").alias("stringValue"))
+        return F.to_json(F.struct(F.lit(key).alias("key"), inner.alias("value")))
+
+    parts = [kv("d", "doubleValue", F.round("value", 2)), kv("b", "boolValue", F.col("user_id") % 2 == 0), kv("i", "intValue", F.col("user_id").cast("string")),
+             kv("y", "bytesValue", F.base64(F.col("event_type").cast("binary"))), kv("n"), kv("id", "stringValue", F.col("event_id").cast("string"))]
+    attributes = F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    text = F.regexp_replace(_message("log", _resource(e), F.struct(F.lit("@").alias("attributes"))), '"@"', "@")
+    got = otlp_from_messages(e.select(F.replace(text, F.lit("@"), attributes).alias("value")), "log")
+    return got.select(*[F.col("attrs")[k].alias(n) for k, n in (("id", "id"), ("d", "as_double"), ("b", "as_bool"), ("i", "as_int"), ("y", "as_bytes"), ("n", "as_nothing"))])

@@ -28,6 +28,7 @@ from obsgauge.streaming import (
     start_trace_health,
     start_with_late_table,
     stream_cardinality,
+    stream_cardinality_sketches,
     stream_rule_rollup,
 )
 
@@ -191,3 +192,32 @@ def late_row_table(t: Tables) -> DataFrame:
     late = read_late(t.spark, f"{work}/dealt", logs)
     return late.groupBy((F.col("event_id") % 4).alias("tick"), "service").agg(
         F.count("*").alias("late"), F.max("watermark").alias("watermark"), F.max("late_by_s").alias("most_late_by_s"))
+
+
+VIEWS["v_two_days"] = """
+select service, name as metric, d, attr_k, d + to_days(late) as w
+from (select *, date_trunc('day', ts) as d from v_metric_points) p, (values (0), (1)) as g(late)
+where d + interval 1 day <= (select max(ts) - interval 1 hour from v_metric_points)"""
+
+
+@query("stream_two_generations", f"""
+select service, metric, 'k' as attribute, strftime(w, {TS}) as window_start, max(n) as larger, any_value(n_both) as together, true as close
+from (select service, metric, w, d, count(distinct attr_k) as n from v_two_days group by 1, 2, 3, 4) o
+join (select service, metric, w, count(distinct attr_k) as n_both from v_two_days group by 1, 2, 3) b using (service, metric, w)
+group by service, metric, w""")
+def two_generations(t: Tables) -> DataFrame:
+    """Stored sketches of closed days, merged pairwise: within 5 % and one of the exact counts beside them."""
+    s, work = StreamTables(t.spark, t.folder), work_folder(t.spark)
+    keys = ["service", "metric", "attribute"]
+    pick = lambda df: df.select("ts", "service", F.col("name").alias("metric"), F.explode("attrs").alias("attribute", "value"))
+    stored = run_available(stream_cardinality_sketches(pick(s.points()), keys, window="1 day", delay="1 hour"), f"{work}/table", "sketches", f"{work}/state")
+    merged = agg.two_generations(stored, keys, 86400)
+    days = pick(t.points()).withColumn("window_start", F.date_trunc("day", "ts"))
+    days = days.join(stored.select(*keys, "window_start"), [*keys, "window_start"], "left_semi")
+    per_day = days.groupBy(*keys, "window_start").agg(F.count_distinct("value").alias("larger"))
+    both = days.withColumn("window_start", F.explode(F.array("window_start", F.col("window_start") + F.expr("interval 1 day"))))
+    exact = agg.two_generation_max(per_day, keys, 86400, "larger").join(
+        both.groupBy(*keys, "window_start").agg(F.count_distinct("value").alias("n_together")), [*keys, "window_start"])
+    near = lambda estimate, n: F.abs(F.col(estimate) - F.col(n)) <= 1 + 0.05 * F.col(n)
+    return merged.join(exact, [*keys, "window_start"]).select(
+        *keys, "window_start", "larger", F.col("n_together").alias("together"), (near("cardinality", "larger") & near("together", "n_together")).alias("close"))

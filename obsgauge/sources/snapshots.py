@@ -47,6 +47,25 @@ def last_snapshot_before(history: DataFrame, before, at: str = "taken_at") -> Da
     return earlier.join(F.broadcast(latest), on, "left_semi")
 
 
+def read_last_snapshot(spark: SparkSession, path: str, before, at: str = "taken_at") -> DataFrame | None:
+    """Rows of the latest snapshot strictly before an instant in a stored history; NULL if there is none.
+
+    Which days there are is read from the names of their folders; the newest day not after the instant is looked at first,
+    so every scan is of one day and earlier ones are only met if that day has nothing before the instant.
+    """
+    instant = F.lit(before).cast("timestamp")
+    limit = spark.range(1).select(F.to_date(instant).cast("string")).first()[0]
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/snapshot_date=*")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    days = {s.getPath().getName().partition("=")[2] for s in found or ()}
+    for day in sorted((d for d in days if d <= limit), reverse=True):
+        rows = spark.read.parquet(path).where((F.col("snapshot_date") == F.lit(day).cast("date")) & (F.col(at) < instant))
+        latest = rows.agg(F.max(at)).first()[0]
+        if latest is not None:
+            return rows.where(F.col(at) == F.lit(latest))
+    return None
+
+
 def rule_ratio_history(stored_findings: DataFrame) -> DataFrame:
     """Every stored violation ratio per rule."""
     return stored_findings.select("rule_id", "ratio")

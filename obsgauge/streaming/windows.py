@@ -41,10 +41,23 @@ def stream_cardinality(values: DataFrame, keys: Sequence[str], value: str = "val
                        delay: str = "10 minutes", rsd: float = 0.02) -> DataFrame:
     """Distinct values per key and tumbling window, emitted when the window closes (append mode).
 
-    State per key and window is one fixed-size sketch.  The larger-of-two-
-    windows view is ``two_generation_max`` over the written table.
+    State per key and window is one fixed-size sketch.  What is written are estimates, which cannot be
+    merged; ``stream_cardinality_sketches`` writes the sketches.
     """
     return (values.withWatermark("ts", delay)
             .groupBy(F.window("ts", window), *keys)
             .agg(F.approx_count_distinct(value, rsd).alias("cardinality"))
             .select(*keys, F.col("window.start").alias("window_start"), "cardinality"))
+
+
+def stream_cardinality_sketches(values: DataFrame, keys: Sequence[str], value: str = "value", window: str = "1 hour",
+                                delay: str = "10 minutes", lg_k: int = 12) -> DataFrame:
+    """(keys, window_start, sketch, cardinality) of closed windows (append mode): the state is the stored column.
+
+    ``two_generations`` merges the written sketches; ``merge_sketches`` rolls them up to coarser keys or longer
+    windows.  A window's state goes when it closes, so a key that falls silent leaves nothing behind.
+    """
+    return (values.withWatermark("ts", delay)
+            .groupBy(F.window("ts", window), *keys)
+            .agg(F.hll_sketch_agg(value, lg_k).alias("sketch"))
+            .select(*keys, F.col("window.start").alias("window_start"), "sketch", F.hll_sketch_estimate("sketch").alias("cardinality")))
