@@ -106,7 +106,7 @@ VIEWS["v_incidents"] = """
 select 'inc-' || event_id as id, s as start_ts,
        s + to_seconds(case event_id % 5 when 0 then 30 when 1 then 10800 when 2 then 43200 when 3 then 172800 else 777600 end) as end_ts,
        case event_id % 3 when 1 then 'HighErr' when 2 then 'OtherRule' end as expected_alert
-from (select event_id, date_trunc('hour', ts) + to_days(case when event_id % 11 = 0 then 60 else 0 end) as s from events where event_id % 97 = 0) e"""
+from (select event_id, date_trunc('hour', ts) + to_days(case when event_id % 11 = 0 then 60 else 0 end) as s from events where event_id % 31 = 0) e"""
 VIEWS["v_covered"] = """
 select * from v_incidents i where exists (
   select 1 from v_segment_times s where i.start_ts < s.end_ts and i.end_ts > s.start_ts)"""

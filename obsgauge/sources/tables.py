@@ -140,13 +140,13 @@ class Tables:
                              F.sum("_e").over(upto).alias("errors_total"))
 
     def incidents(self) -> DataFrame:
-        """An incident at every 97th event: from half a minute to nine days long, some sixty days after everything; a third names the rule that should fire, a third another."""
+        """An incident at every 31st event: from half a minute to nine days long, some sixty days after everything; a third names the rule that should fire, a third another."""
         id_ = F.col("event_id")
         seconds = F.element_at(F.array(*[F.lit(s) for s in (30, 3 * 3600, 12 * 3600, 2 * 86400, 9 * 86400)]), (id_ % 5 + 1).cast("int"))
         start = plus_seconds(F.date_trunc("hour", "ts"), F.when(id_ % 11 == 0, 60 * 86400).otherwise(0))
         alert = (F.when(id_ % 3 == 1, F.array(F.lit("HighErr"))).when(id_ % 3 == 2, F.array(F.lit("OtherRule")))
                  .otherwise(F.array().cast("array<string>")))
-        return (self.read("events").where(id_ % 97 == 0)
+        return (self.read("events").where(id_ % 31 == 0)
                 .select(F.concat(F.lit("inc-"), id_.cast("string")).alias("incident"), start.alias("start_ts"), plus_seconds(start, seconds).alias("end_ts"),
                         alert.alias("expected_alerts")))
 
