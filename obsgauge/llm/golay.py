@@ -9,12 +9,10 @@ therefore a key in common.
 
 Of two errors in three segments at least one segment has none (pigeonhole), so a
 fingerprint gets, for each segment, the exact segment with every key of the next one.
-Fingerprints that share no such key have no neighbour.  The others are joined
-and verified through the words half-way: two fingerprints are at most 2 bits
-apart exactly if a word is within 1 bit of both.  All that share such a word
-(at most 65) are linked to the smallest of them, which links the same
-fingerprints as all pairs would, with rows that grow as the fingerprints and
-not as their pairs.
+Fingerprints are joined on these keys and the pairs verified by their differing bits.  A key that more than
+``CROWD`` fingerprints share is not joined: its fingerprints are linked through the words half-way.  Two of them are
+at most 2 bits apart exactly if a word is within 1 bit of both, and all that share such a word (at most 65) are
+linked to the smallest of them.  This connects what all pairs would, with rows that grow as the fingerprints.
 
 Components are found on distinct fingerprints by taking the smallest label of
 the neighbours and following labels, until nothing changes.
@@ -39,6 +37,8 @@ SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
 #: Generator polynomial of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
+#: Up to so many fingerprints of a key are joined with each other; the rest is linked through half-way words.
+CROWD = 64
 
 
 def _rest(word: int) -> int:
@@ -144,13 +144,18 @@ def golay_keys(distinct: DataFrame) -> DataFrame:
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links among distinct fingerprints at most 2 bits apart, both directions, connecting as all pairs would."""
     keys = golay_keys(distinct)
-    busy = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    suspects = keys.join(busy, "key").select("fp").distinct()
-    half_way = suspects.select("fp", F.explode(F.expr(
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sharing = written(keys.join(sizes, "key").select("key", "fp", "n"), "golay-keys")
+    few = sharing.where(F.col("n") <= CROWD)
+    one, other = (few.select("key", F.col("fp").alias(c)) for c in "ab")
+    joined = one.join(other, "key").where("a > b and bit_count(a ^ b) <= 2").select("a", "b")
+    crowded = sharing.where(F.col("n") > CROWD).select("fp").distinct()
+    half_way = crowded.select("fp", F.explode(F.expr(
         "concat(array(fp), transform(sequence(0, 63), b -> fp ^ shiftleft(1L, b)))")).alias("mid"))
     hub = half_way.withColumn("hub", F.min("fp").over(Window.partitionBy("mid")))
-    star = hub.where("fp <> hub and bit_count(fp ^ hub) <= 2").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
-    return star.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b")
+    star = hub.where("fp <> hub and bit_count(fp ^ hub) <= 2").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    found = joined.unionByName(star).distinct()
+    return found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,12 +194,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest id (then text hash) of each component, with all its columns; of equal rows one."""
-    rows = docs.withColumns({"__k1": F.xxhash64(F.lit(1), id_col, text_col), "__k2": F.xxhash64(F.lit(2), text_col, id_col)})
-    own = fingerprints(rows, text_col, (id_col, "__k1", "__k2"))
-    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__k1", "__k2")).alias("best")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(1), id_col, text_col).alias("k1"),
+                       F.xxhash64(F.lit(2), text_col, id_col).alias("k2"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = fingerprints(rows, "text", ("id", "k1", "k2"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("best")
     groups = grouped(written(own.groupBy("fp").agg(best), "distinct"))
-    stay = written(groups.groupBy("label").agg(F.min("best").alias("best")).select("best.__k1", "best.__k2"), "representatives")
-    return rows.join(stay, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    stay = written(groups.groupBy("label").agg(F.min("best").alias("best")).select("best.k1", "best.k2"), "representatives")
+    return rows.select("row", "k1", "k2").join(stay, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:

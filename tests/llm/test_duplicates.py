@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -44,7 +45,10 @@ def test_golay_decodes_and_shares_keys():
         assert a & b and len(a) <= 6
 
 
-def test_links_equal_all_pairs(spark):
+@pytest.mark.parametrize("crowd", [1, 3, golay.CROWD, 1 << 30])
+def test_links_equal_all_pairs(spark, monkeypatch, crowd):
+    """By half-way words alone, by both ways, and by joined Golay keys alone."""
+    monkeypatch.setattr(golay, "CROWD", crowd)
     draw = random.Random(5)
     fps = {0, -1, 1 << 63}
     for _ in range(40):
@@ -91,7 +95,9 @@ def test_awkward_rows(awkward, nothing):
     rows = golay.digest(awkward).collect()
     assert len(rows) == awkward.count()
     assert {r.component_id for r in rows if r.fingerprint == "0" * 16} == {2}
+    awkward = awkward.withColumns({c: F.lit(c) for c in ("__k1", "k1", "k2", "best")})
     kept = golay.one_of_each(awkward)
+    assert kept.where("`__k1` <> '__k1' or k1 <> 'k1' or k2 <> 'k2'").count() == 0
     assert kept.columns == awkward.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(4) == 0 and ids.count(1) == 1 and ids.count(2) == 1
