@@ -15,6 +15,8 @@
    totals, then inside a bucket), so no source is ordered in one task.  Blocks
    are permuted by hash, each shard takes its run of them, and rows are ordered
    by hash inside the shard.
+5. What a document gives is what the shards' blocks take of it: its words in each pass are
+   met with the blocks they lie in, a draw for each block, with the shard that the tree gave the block.
 
 The words taken of a source add up to its target, rounded to a word: the last
 document is taken up to the word that fills the target.
@@ -144,13 +146,14 @@ def shard_of_block(tree: DataFrame, quota: DataFrame) -> DataFrame:
     return blocks.join(places, ["src", "rank"]).select("src", "block", "shard")
 
 
-def draws(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-          weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS,
-          blocks_per_shard: int = BLOCKS_PER_SHARD, carry: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(placed, blocks): every document with its source's numbers and its words per pass, and the blocks' shards.
+def places(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+           weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, shards: int = SHARDS,
+           blocks_per_shard: int = BLOCKS_PER_SHARD, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(placed, blocks): every document with its source's numbers and its place in each pass, and the blocks' shards.
 
-    placed: id, src, th, size, source_size, target, passes: array of (pass, taken, block); a pass
-    that takes nothing is left out; with ``carry`` also row, the whole input row.
+    placed: id, src, th, bucket, seq (the two number a source's rows), size, source_size, target, goal, blocks,
+    passes: array of (pass, start, upto) in words of the source's run; a pass outside the goal is left out; with
+    ``carry`` also row, the whole input row.
     """
     sizes = written(_sizes(docs, id_col, source_col, text_col, False), "mix-sizes")
     goals = written(targets(sizes, weights, cap), "mix-targets")
@@ -162,35 +165,59 @@ def draws(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     bucket = F.floor(F.col("u") * F.col("buckets")).alias("bucket")
     sums = sizes.join(plan, "src").groupBy("src", bucket).agg(F.sum("size").alias("words"))
     above = F.sum("words").over(Window.partitionBy("src").orderBy("bucket")) - F.col("words")
-    sums = written(sums.select("src", "bucket", above.alias("start")), "mix-buckets")
+    sums = written(sums.select("src", "bucket", above.alias("first")), "mix-buckets")
     rows = _sizes(docs, id_col, source_col, text_col, True) if carry else sizes
     placed = rows.join(plan, "src").withColumn("bucket", bucket).drop("buckets").join(sums, ["src", "bucket"])
-    inside = Window.partitionBy("src", "bucket").orderBy("u", "id", "th").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    order = Window.partitionBy("src", "bucket").orderBy("u", "id", "th")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumns({"before": F.col("first") + before, "seq": F.row_number().over(order)})
     placed = placed.withColumn("passes", F.expr(f"""
         filter(transform(sequence(0L, {cap}L), k -> named_struct('pass', cast(k as int),
-            'taken', greatest(0L, least(size, goal - k * source_size - before)),
-            'block', least(blocks - 1, cast(floor((k * source_size + before) * 1.0D * blocks / greatest(goal, 1L)) as bigint)))), x -> x.taken > 0)"""))
-    return placed.select("id", "src", "th", "size", "source_size", "target", "passes", *(["row"] if carry else [])), blocks
+            'start', k * source_size + before, 'upto', least(goal, k * source_size + before + size))), x -> x.upto > x.start)"""))
+    return placed.select("id", "src", "th", "bucket", "seq", "size", "source_size", "target", "goal", "blocks", "passes",
+                         *(["row"] if carry else [])), blocks
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """The mix itself: the input's columns, a row for each pass that takes a document.
+def draws(placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(src, bucket, seq, pass, block, shard, words, and the document's numbers): what each block takes of each document.
+
+    Block k of a source with B blocks is its words from ceil(k * goal / B) up to the next one's first.
+    Documents of which nothing is taken have one row without block.
+    """
+    each = placed.select("src", "bucket", "seq", "id", "size", "source_size", "target", "goal", "blocks", F.explode_outer("passes").alias("x"))
+    each = each.withColumn("block", F.explode_outer(F.expr("sequence(x.start * blocks div goal, (x.upto - 1) * blocks div goal)")))
+    edge = "((block + {k}) * goal + blocks - 1) div blocks"
+    words = F.expr(f"least(x.upto, {edge.format(k=1)}) - greatest(x.start, {edge.format(k=0)})")
+    found = each.withColumn("words", words).join(blocks, ["src", "block"], "left")
+    return found.select("src", "bucket", "seq", "id", "size", "source_size", "target", "x.pass", "block", "shard",
+                        F.when(F.col("shard").isNotNull(), F.col("words")).alias("words"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+          shard_col: str | None = None, **how) -> DataFrame:
+    """The mix itself: the input's columns, a row for each pass that takes a document, in the shard of the draw's first block.
 
     Texts stay whole: of the last document of a source, cut by the target, a half or more counts as all
-    of it.  A shard is dealt in ``PIECES`` random pieces, so no task holds a whole one; inside, rows are in hash order.
+    of it, and the first one stays however long it is, so no source with a target is lost.  ``shard_col`` adds the shard.
+    A shard is dealt in ``PIECES`` random pieces, so no task holds a whole one; inside, rows are in hash order.
     """
-    placed, blocks = draws(docs, id_col, source_col, text_col, carry=True, **how)
-    each = placed.select("row", "src", "id", "th", "size", F.explode("passes").alias("x")).where("x.taken * 2 >= size")
-    order = F.xxhash64(F.lit(SEED + 2), "id", "th", "x.pass")
-    each = each.withColumn("block", F.col("x.block")).join(blocks, ["src", "block"])
+    placed, blocks = places(docs, id_col, source_col, text_col, carry=True, **how)
+    each = placed.select("row", "src", "id", "th", "size", "goal", "blocks", F.explode("passes").alias("x"))
+    each = each.where("(x.upto - x.start) * 2 >= size or x.start = 0")
+    each = each.withColumn("block", F.expr("x.start * blocks div goal")).join(blocks, ["src", "block"])
+    each = each.withColumn("slot", F.xxhash64(F.lit(SEED + 2), "id", "th", "x.pass"))
     piece = F.pmod(F.col("slot"), F.lit(PIECES))
-    return each.withColumn("slot", order).repartition("shard", piece).sortWithinPartitions("shard", "slot").select("row.*")
+    dealt = each.repartition("shard", piece).sortWithinPartitions("shard", "slot")
+    return dealt.select("row.*", *([F.col("shard").alias(shard_col)] if shard_col else []))
 
 
 def accounts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """A row a document: size, source_size, target, words taken, and the shard of its first draw."""
-    placed, blocks = draws(docs, id_col, source_col, text_col, **how)
-    return placed.withColumn("block", F.get("passes", F.lit(0)).getField("block")).join(blocks, ["src", "block"], "left").select(
-        F.col("id").alias(id_col), "size", "source_size", "target",
-        F.expr("aggregate(passes, 0L, (a, x) -> a + x.taken)").alias("taken"), F.col("shard").alias("first_shard"))
+    """A row a document: size, source_size, target, words taken, the shard of its first draw, and
+    drawn: (pass, block, shard, words) of every draw, at most one for each block and pass of its source."""
+    found = draws(*places(docs, id_col, source_col, text_col, **how))
+    draw = F.when(F.col("words") > 0, F.struct("pass", "block", "shard", "words"))
+    rows = found.groupBy("src", "bucket", "seq").agg(
+        *[F.first(c).alias(c) for c in ("id", "size", "source_size", "target")],
+        F.coalesce(F.sum("words"), F.lit(0)).alias("taken"), F.array_sort(F.collect_list(draw)).alias("drawn"))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken",
+                       F.get("drawn", F.lit(0)).getField("shard").alias("first_shard"), "drawn")

@@ -97,6 +97,39 @@ def test_tree_keeps_quotas_and_fills_shards(spark):
     assert blocks.count() == 1024 == blocks.select("src", "block").distinct().count()
 
 
+def test_the_tree_s_blocks_take_the_words(docs_of, monkeypatch):
+    """Draws are the blocks of the tree: whole blocks a shard, equal ones a source; without a block its words are not taken."""
+    draw = random.Random(6)
+    rows = [(k, " ".join(["w"] * draw.choice([1, 9, 70, 3000])), draw.choice("abc")) for k in range(200)]
+    kept = {}
+    deal = mixture.shard_of_block
+    monkeypatch.setattr(mixture, "shard_of_block", lambda *a: kept.setdefault("blocks", deal(*a)))
+    docs = docs_of(rows)
+    got = mixture.accounts(docs).collect()
+    shard = {(r.src, r.block): r.shard for r in kept["blocks"].collect()}
+    source = {k: "=" + s for k, _, s in rows}
+    words = {}
+    for r in got:
+        assert r.taken == sum(d.words for d in r.drawn) and (not r.drawn or r.first_shard == r.drawn[0].shard)
+        for d in r.drawn:
+            assert d.shard == shard[source[r.doc_id], d.block] and d.words > 0
+            words[source[r.doc_id], d.block] = words.get((source[r.doc_id], d.block), 0) + d.words
+    assert set(words) == set(shard)
+    for s in set(source.values()):
+        per = [n for (name, _), n in words.items() if name == s]
+        assert max(per) - min(per) <= 1
+    lost = max(words)
+    monkeypatch.setattr(mixture, "shard_of_block", lambda *a: deal(*a).where(f"not (src = '{lost[0]}' and block = {lost[1]})"))
+    assert sum(r.taken for r in mixture.accounts(docs).collect()) == sum(r.taken for r in got) - words[lost]
+
+
+def test_a_source_of_one_very_long_document_stays(docs_of):
+    """Its target is far under half of it; the mix names the shard of every row."""
+    rows = [(1, "w " * 5000, "a")] + [(10 + k, "w " * 100, "b") for k in range(20)] + [(50, "w " * 9000, "c")]
+    mix = mixture.mixed(docs_of(rows), weights=(1.0, 5.0, 0.5), shard_col="at").collect()
+    assert {r.source for r in mix} == {"a", "b", "c"} and all(0 <= r["at"] < mixture.SHARDS for r in mix)
+
+
 def test_mix_is_repeatable_and_handles_awkward_rows(awkward, nothing):
     a = sorted(map(str, mixture.accounts(awkward).collect()))
     assert a == sorted(map(str, mixture.accounts(awkward.repartition(7)).collect())) and len(a) == awkward.count()
