@@ -13,6 +13,7 @@ split so that it also holds for a key with billions of rows:
    over, so values that are large against their spread are told apart as well;
 5. only the values of the last part are ordered.
 
+Steps 2 to 5 are one plan over the written counts: one table for ``order_statistics``, two for ``robust_stats``.
 Keys are compared as a whole, NULLs in them included: rows with a NULL key are a group like any other.
 """
 
@@ -78,7 +79,7 @@ def _pick(counts: DataFrame, wanted: Mapping[str, Rank]) -> DataFrame:
     bins = bins.withColumn("n", F.sum("_c").over(Window.partitionBy("_k")))
     ranks = F.array(*[F.struct(F.lit(name).alias("stat"), rank(F.col("n")).alias("rank")) for name, rank in wanted.items()])
     parts = bins.select("*", F.lit(0).cast("bigint").alias("_before"), F.inline(ranks))
-    at = written(_holding(parts, "_bin").drop("_c"), "rank-bins")
+    at = _holding(parts, "_bin").drop("_c")
 
     def inside(at: DataFrame) -> DataFrame:
         return counts.join(at, ["_k", "_bin"]).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
@@ -88,7 +89,7 @@ def _pick(counts: DataFrame, wanted: Mapping[str, Rank]) -> DataFrame:
         part = F.when(wide, F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CUTS), F.lit(CUTS - 1))).otherwise(F.lit(0))
         parts = (inside(at).groupBy("_k", "stat", "_bin", "rank", "n", "_before", part.alias("_part"))
                  .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-        at = written(_holding(parts, "_part").drop("_c", "_part"), "rank-parts")
+        at = _holding(parts, "_part").drop("_c", "_part")
     found = _holding(inside(at), "_v")
     return found.groupBy("_k").agg(F.max("n").alias("n"), *[
         F.max(F.when(F.col("stat") == name, F.col("_v"))).alias(name) for name in wanted])
@@ -100,14 +101,28 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: Mapping
     ``wanted`` maps a column name to a function from group size to 1-based
     rank.  NULL values are left out; a key without values has no row.
     """
-    found = _pick(_value_counts(df, _key(keys), F.col(value), F.lit(1)), wanted)
+    return _named(_pick(_value_counts(df, _key(keys), F.col(value), F.lit(1)), wanted), keys, wanted)
+
+
+def order_statistics_of_counts(counts: DataFrame, keys: list[str], value: str, count: str, wanted: Mapping[str, Rank]) -> DataFrame:
+    """``order_statistics`` from a stored table of distinct values per key and how often each occurs.
+
+    The table is read several times; no job runs before the result is used.
+    """
+    plain = counts.select(_key(keys).alias("_k"), F.col(value).cast("double").alias("_v"), F.col(count).alias("_c"))
+    return _named(_pick(plain.where("_v is not null"), wanted), keys, wanted)
+
+
+def _named(found: DataFrame, keys: list[str], wanted: Mapping[str, Rank]) -> DataFrame:
     return found.select(*[F.col("_k")[k].alias(k) for k in keys], "n", *wanted)
 
 
 def robust_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, lower median, MAD, P90, P99 and maximum per key."""
     counts = _value_counts(df, _key(keys), F.col(value), F.lit(1))
-    base = written(_pick(counts, {"median": lower_median, "p90": nearest_rank(90.0), "p99": nearest_rank(99.0), "max": last_rank}), "ranks")
-    deviations = counts.join(base.select("_k", "median"), "_k")
-    mad = _pick(_value_counts(deviations, F.col("_k"), F.abs(F.col("_v") - F.col("median")), F.col("_c")), {"mad": lower_median}).drop("n")
-    return base.join(mad, "_k").select(*[F.col("_k")[k].alias(k) for k in keys], "n", "median", "mad", "p90", "p99", "max")
+    first = ["n", "median", "p90", "p99", "max"]
+    base = _pick(counts, {"median": lower_median, "p90": nearest_rank(90.0), "p99": nearest_rank(99.0), "max": last_rank})
+    # The first statistics travel as part of the key of the deviations.
+    deviations = counts.join(base, "_k").select(F.struct("_k", *first).alias("_k"), F.abs(F.col("_v") - F.col("median")).alias("_v"), "_c")
+    mad = _pick(_value_counts(deviations, F.col("_k"), F.col("_v"), F.col("_c")), {"mad": lower_median})
+    return mad.select(*[F.col("_k._k")[k].alias(k) for k in keys], "_k.n", "_k.median", "mad", "_k.p90", "_k.p99", "_k.max")

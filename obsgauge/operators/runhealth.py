@@ -13,8 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsgauge.functions.ranks import last_rank, lower_median, nearest_rank, order_statistics
+from obsgauge.functions.ranks import last_rank, lower_median, nearest_rank, order_statistics, order_statistics_of_counts
 from obsgauge.functions.timebins import bin_of, plus_seconds, seconds_between
+from obsgauge.sources.shared import written
 
 # Fixed values of the verdicts.
 GAP_FACTOR = 3
@@ -34,38 +35,48 @@ def with_previous(samples: DataFrame, columns: Sequence[str], block_s: int = BLO
     across = Window.partitionBy("run").orderBy("_block")
     last = F.max_by(F.struct(*columns), "ts")
     carried = (df.groupBy("run", "_block").agg(last.alias("_last"))
-               .select("run", "_block", F.lag("_last").over(across).alias("_carried")))
-    df = df.withColumn("_here", F.lag(F.struct(*columns)).over(within)).join(carried, ["run", "_block"])
+               .select(F.col("run").alias("_run"), F.col("_block").alias("_at"), F.lag("_last").over(across).alias("_carried")))
+    same = F.col("run").eqNullSafe(F.col("_run")) & F.col("_block").eqNullSafe(F.col("_at"))
+    df = df.withColumn("_here", F.lag(F.struct(*columns)).over(within)).join(carried, same)
     prev = F.coalesce("_here", "_carried")
     return df.select(*samples.columns, *[prev[c].alias(f"prev_{c}") for c in columns])
 
 
 def steps_between(samples: DataFrame, block_s: int = BLOCK_S) -> DataFrame:
-    """Per run and sample but the first: seconds since the sample before, and whether the counter fell."""
-    return (with_previous(samples, ["ts", "items"], block_s).where(F.col("prev_ts").isNotNull())
+    """Per run and sample: seconds since the sample before (NULL at the first one), and whether the counter fell."""
+    return (with_previous(samples, ["ts", "items"], block_s)
             .select("run", "ts", "prev_ts", seconds_between(F.col("prev_ts"), F.col("ts")).alias("step_s"),
-                    (F.col("items") < F.col("prev_items")).alias("restarted")))
+                    F.coalesce(F.col("items") < F.col("prev_items"), F.lit(False)).alias("restarted")))
+
+
+def _with_limit(steps: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Steps with ``_limit``, the length above which one is a gap: max(3 × lower median step, 120 s)."""
+    usual = order_statistics_of_counts(lengths, ["run"], "step_s", "_c", {"_median": lower_median})
+    limit = F.greatest(F.lit(float(MIN_GAP_S)), F.lit(GAP_FACTOR) * F.col("_median"))
+    usual = usual.select(F.col("run").alias("_run"), limit.alias("_limit"))
+    return steps.join(usual, F.col("run").eqNullSafe(F.col("_run")), "left").drop("_run")
+
+
+def _step_lengths(steps: DataFrame) -> DataFrame:
+    """How often each step length occurs in a run, and how often the counter fell over it; written once."""
+    return written(steps.groupBy("run", "step_s").agg(F.count(F.lit(1)).alias("_c"), F.count_if("restarted").alias("_r")), "step-lengths")
 
 
 def run_gaps(samples: DataFrame) -> DataFrame:
     """Holes in a run: steps longer than max(3 × lower median step, 120 s)."""
     steps = steps_between(samples)
-    usual = order_statistics(steps, ["run"], "step_s", {"_median": lower_median}).select("run", "_median")
-    limit = F.greatest(F.lit(float(MIN_GAP_S)), F.lit(GAP_FACTOR) * F.col("_median"))
-    return (steps.join(usual, "run").where(F.col("step_s") > limit)
+    return (_with_limit(steps, _step_lengths(steps)).where(F.col("step_s") > F.col("_limit"))
             .select("run", F.col("prev_ts").alias("after"), F.col("step_s").alias("missing_s")))
 
 
 def run_continuity(samples: DataFrame) -> DataFrame:
-    """Samples, gaps, longest gap and counter restarts per run."""
-    counts = samples.groupBy("run").agg(F.count(F.lit(1)).alias("samples"))
-    restarts = steps_between(samples).groupBy("run").agg(F.count_if("restarted").alias("restarts"))
-    gaps = run_gaps(samples).groupBy("run").agg(F.count(F.lit(1)).alias("gaps"), F.max("missing_s").alias("longest_gap_s"))
+    """Samples, gaps, longest gap and counter restarts per run, all from one table of step lengths."""
+    lengths = _step_lengths(steps_between(samples))
+    gap = F.col("step_s") > F.col("_limit")
     zero = F.lit(0).cast("bigint")
-    return (counts.join(restarts, "run", "left").join(gaps, "run", "left")
-            .select("run", "samples", F.coalesce("gaps", zero).alias("gaps"),
-                    F.coalesce("longest_gap_s", F.lit(0.0)).alias("longest_gap_s"),
-                    F.coalesce("restarts", zero).alias("restarts"))
+    return (_with_limit(lengths, lengths).groupBy("run")
+            .agg(F.sum("_c").alias("samples"), F.coalesce(F.sum(F.when(gap, F.col("_c"))), zero).alias("gaps"),
+                 F.coalesce(F.max(F.when(gap, F.col("step_s"))), F.lit(0.0)).alias("longest_gap_s"), F.sum("_r").alias("restarts"))
             .withColumn("segmented", (F.col("gaps") > 0) | (F.col("restarts") > 0)))
 
 
