@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsgauge.functions.runs import consecutive_runs
-from obsgauge.operators.series import Grid, windowed_ratio
+from obsgauge.operators.series import Grid, at_every_step, ratio_changes
 
 _COMPARE = {
     ">": lambda a, b: a > b,
@@ -75,13 +75,17 @@ def burn_rate_alerts(name: str, objective: float,
 
 
 def true_steps(ratios: DataFrame, alerts: Sequence[AlertSpec], keys: Sequence[str], grid: Grid) -> DataFrame:
-    """(rule, series, step) where an alert condition holds, all alerts in one pass."""
+    """(rule, series, step) where an alert condition holds, all alerts in one pass.
+
+    Ratios may come as stretches (``ratio_changes``): only those that meet a condition are spelled out.
+    """
     hits = F.array_compact(F.array(*[
         F.when(a.condition(), F.struct(F.lit(a.name).alias("rule"),
                                        F.lit(grid.steps(a.for_s)).cast("bigint").alias("for_steps")))
         for a in alerts]))
-    return (ratios.select(*keys, "position", hits.alias("_hits")).where(F.size("_hits") > 0)
-            .select(*keys, "position", F.inline("_hits")))
+    until = [c for c in ("until",) if c in ratios.columns]
+    met = ratios.select(*keys, "position", *until, hits.alias("_hits")).where(F.size("_hits") > 0)
+    return (at_every_step(met) if until else met).select(*keys, "position", F.inline("_hits"))
 
 
 def replay(steps: DataFrame, segments: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
@@ -108,7 +112,7 @@ def replay_alerts(samples: DataFrame, segments: DataFrame, alerts: Sequence[Aler
                   keys: Sequence[str], errors: str, total: str) -> DataFrame:
     """Ratios, conditions and firings of all alerts in one job."""
     windows = sorted({w for a in alerts for w in a.windows_s})
-    ratios = windowed_ratio(samples, grid, keys, errors, total, windows)
+    ratios = ratio_changes(samples, grid, keys, errors, total, windows)
     return replay(true_steps(ratios, alerts, keys, grid), segments, keys, grid)
 
 

@@ -150,41 +150,66 @@ def counter_increases(samples: DataFrame, grid: Grid, keys: Sequence[str], count
         for c in counters])
 
 
-def windowed_sums(increases: DataFrame, grid: Grid, keys: Sequence[str], counters: Sequence[str],
-                  windows_s: Sequence[int]) -> DataFrame:
-    """Increase over trailing windows at every step that can see an increase.
-
-    Silent steps are filled in up to the longest window behind each reading;
-    later ones have an empty window and cannot fulfil any condition.  Filling,
-    ordering and summing all run in the partitioning by series.
+def windowed_changes(increases: DataFrame, grid: Grid, keys: Sequence[str], counters: Sequence[str],
+                     windows_s: Sequence[int]) -> DataFrame:
+    """Increase over trailing windows, one row per stretch ``position`` to ``until`` (exclusive) over which no sum changes.
+
+    A difference array: an increase at p enters every window at p and leaves a window of w steps at p + w, and one
+    running sum per series serves all windows.  Rows grow with the readings, not with the length of a window.
+    Stretches whose longest window holds no reading are left out.  Sums of whole numbers are exact; sums of
+    fractions carry the rounding of what came and went, and are 0 where the counter did not rise in the window.
     """
-    longest = max(grid.steps(w) for w in windows_s)
-    series = Window.partitionBy(*keys).orderBy("position")
-    until = F.least(F.coalesce(F.lead("position").over(series), F.lit(grid.points).cast("bigint")),
-                    F.col("position") + F.lit(longest), F.lit(grid.points).cast("bigint"))
-    dense = (increases.withColumn("_until", until).where(F.col("_until") > F.col("position"))
-             .select(*keys, F.explode(F.sequence("position", F.col("_until") - 1)).alias("_p"), "position", *counters)
-             .select(*keys, F.col("_p").alias("position"),
-                     *[F.when(F.col("_p") == F.col("position"), F.col(c)).otherwise(F.lit(0)).alias(c)
-                       for c in counters]))
-    sums = []
-    for w in windows_s:
-        span = series.rangeBetween(-(grid.steps(w) - 1), 0)
-        sums += [F.sum(c).over(span).alias(f"{c}_{w}") for c in counters]
-    return dense.select(*keys, "position", *sums).where(F.col("position") >= 0)
+    steps = {w: grid.steps(w) for w in windows_s}
+    longest = max(steps.values())
+    pairs = [(c, w) for w in steps for c in counters]
+
+    def change(after: int | None) -> Column:
+        """What changes ``after`` steps behind a reading; None: at the reading itself."""
+        def part(value: Column, length: int) -> Column:
+            zero = value * 0
+            return value if after is None else -value if after == length else zero
+        one = F.lit(1)
+        return F.struct(
+            (F.col("position") + F.lit(after or 0)).alias("_p"), part(one, longest).alias("_held"),
+            *[part(F.when(F.col(c) > 0, 1).otherwise(0), steps[w]).alias(f"_risen_{c}_{w}") for c, w in pairs],
+            *[part(F.col(c), steps[w]).alias(f"{c}_{w}") for c, w in pairs])
+
+    changes = increases.select(*keys, F.inline(F.array(change(None), *[change(n) for n in sorted(set(steps.values()))])))
+    series = Window.partitionBy(*keys).orderBy("_p")
+    upto = series.rangeBetween(Window.unboundedPreceding, Window.currentRow)  # changes at one step count together
+    sums = changes.select(
+        *keys, F.greatest("_p", F.lit(0)).alias("position"),
+        F.least(F.lead("_p").over(series), F.lit(grid.points)).cast("bigint").alias("until"),
+        *[F.sum(c).over(upto).alias(c) for c in changes.columns[len(keys) + 1:]])
+    return sums.where((F.col("_held") > 0) & (F.col("until") > F.col("position"))).select(
+        *keys, "position", "until",
+        *[F.when(F.col(f"_risen_{c}_{w}") > 0, F.col(f"{c}_{w}")).otherwise(F.lit(0)).alias(f"{c}_{w}") for c, w in pairs])
+
+
+def at_every_step(stretches: DataFrame) -> DataFrame:
+    """One row per step of each stretch ``position`` to ``until``."""
+    rest = [c for c in stretches.columns if c not in ("position", "until")]
+    return stretches.select(F.explode(F.sequence("position", F.col("until") - 1)).alias("position"), *rest)
+
+
+def ratio_changes(samples: DataFrame, grid: Grid, keys: Sequence[str], errors: str, total: str,
+                  windows_s: Sequence[int]) -> DataFrame:
+    """Share of errors over trailing windows, one row per stretch of steps with the same ratios."""
+    inc = counter_increases(samples, grid, keys, [errors, total], history_s=max(windows_s))
+    sums = windowed_changes(inc, grid, keys, [errors, total], windows_s)
+    return sums.select(*keys, "position", "until", *[
+        F.when(F.col(f"{total}_{w}") > 0, F.col(f"{errors}_{w}") / F.col(f"{total}_{w}")).alias(f"ratio_{w}")
+        for w in windows_s])
 
 
 def windowed_ratio(samples: DataFrame, grid: Grid, keys: Sequence[str], errors: str, total: str,
                    windows_s: Sequence[int]) -> DataFrame:
-    """Share of errors over trailing windows: one ``ratio_<seconds>`` column per window.
+    """Share of errors over trailing windows at every step: one ``ratio_<seconds>`` column per window.
 
     A ratio is NULL while its window holds no events.
     """
-    inc = counter_increases(samples, grid, keys, [errors, total], history_s=max(windows_s))
-    sums = windowed_sums(inc, grid, keys, [errors, total], windows_s)
-    return sums.select(*keys, "position", grid.time(F.col("position")).alias("ts"), *[
-        F.when(F.col(f"{total}_{w}") > 0, F.col(f"{errors}_{w}") / F.col(f"{total}_{w}")).alias(f"ratio_{w}")
-        for w in windows_s])
+    ratios = at_every_step(ratio_changes(samples, grid, keys, errors, total, windows_s))
+    return ratios.select(*keys, "position", grid.time(F.col("position")).alias("ts"), *[f"ratio_{w}" for w in windows_s])
 
 
 # --- derived series ---------------------------------------------------------------------------

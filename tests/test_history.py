@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -84,6 +85,44 @@ def test_windowed_ratio_fills_silent_steps(spark):
     assert rows(got, "position", "ratio_120") == [(1, 0.25), (2, 0.25), (5, 0.0), (6, 0.0)]
 
 
+@pytest.mark.parametrize("fraction", [1.0, 0.1])
+def test_windowed_ratio_by_definition(spark, fraction):
+    draw, points, windows = random.Random(4), 60, [60, 180, 420, 1200]
+    data, by_series = [], {}
+    for name in "abc":
+        n = e = 0
+        for minute in sorted(draw.sample(range(-20, points), 30)):
+            if draw.random() < 0.1:
+                n = e = 0
+            if draw.random() < 0.7:
+                n, e = n + draw.randint(1, 9), e + draw.randint(0, 3)
+            by_series.setdefault(name, []).append((minute, n * fraction, e * fraction))
+            data.append((name, minute * 60, n * fraction, e * fraction))
+    df = spark.createDataFrame(data, "series string, s long, n double, e double").select(
+        "series", F.timestamp_seconds(F.col("s") + F.lit(grid(points).start_us // 1_000_000)).alias("ts"), "n", "e")
+    got = {(r["series"], r["position"]): r for r in series.windowed_ratio(df, grid(points), ["series"], "e", "n", windows).collect()}
+
+    def rise(before, now):
+        return now - before if now >= before else now
+
+    seen = {name: [(m, rise(bn, n), rise(be, e)) for (_, bn, be), (m, n, e) in zip(r, r[1:])] for name, r in by_series.items()}
+    for name, rises in seen.items():
+        for p in range(points):
+            for w in windows:
+                inside = [(n, e) for m, n, e in rises if p - w // 60 < m <= p]
+                total = sum(n for n, _ in inside)
+                want = sum(e for _, e in inside) / total if total > 1e-9 else None
+                have = got[name, p][f"ratio_{w}"] if (name, p) in got else None
+                assert have == pytest.approx(want), (name, p, w)
+
+
+def test_ratio_stretches_grow_with_readings_not_windows(spark):
+    df = spark.createDataFrame([("s", 0, 0, 0), ("s", 60, 10, 1), ("s", 86_400, 30, 2)], "series string, s long, n long, e long").select(
+        "series", F.timestamp_seconds(F.col("s") + F.lit(grid(8).start_us // 1_000_000)).alias("ts"), "n", "e")
+    counts = [series.ratio_changes(df, grid(20_000), ["series"], "e", "n", [60, w]).count() for w in (600, 600_000)]
+    assert max(counts) <= 3 * 3
+
+
 def test_derived_series_refuses_unknown_recordings(spark):
     df = spark.createDataFrame([("up",)], "metric string")
     with pytest.raises(LookupError):
