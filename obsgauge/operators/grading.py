@@ -117,9 +117,13 @@ def extract_json(text: Column) -> Column:
     return F.when(found != "", found).otherwise(inner)
 
 
-def _unknown(document: Column, allowed: tuple[str, ...]) -> Column:
-    return F.array_except(F.coalesce(F.json_object_keys(document), F.array().cast("array<string>")),
-                          F.array(*[F.lit(k) for k in allowed]))
+def _unknown(keys: Column, allowed: tuple[str, ...]) -> Column:
+    return F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*[F.lit(k) for k in allowed]))
+
+
+def _object_keys(document: Column) -> Column:
+    """Keys of a variant object; NULL for any other value."""
+    return F.map_keys(F.try_variant_get(document, "$", "map<string,variant>"))
 
 
 def normalize_diagnosis(raw: DataFrame, text: str = "raw", scenario: str = "scenario") -> DataFrame:
@@ -127,20 +131,18 @@ def normalize_diagnosis(raw: DataFrame, text: str = "raw", scenario: str = "scen
 
     The scenario comes from the run, never from the text.  Unknown keys, values of
     another JSON type, text after the object, missing parts and a confidence outside 0..1 are refused.
+    The text is parsed once.
     """
     body = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
     # As the one element of a list: NULL for malformed text and for text after the object.
     listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
     alone = F.coalesce(F.schema_of_variant("_v").startswith("ARRAY<OBJECT"), F.lit(False)) & (
         F.size(F.col("_v").cast("array<variant>")) == 1)
-    parsed = F.from_json(body, DIAGNOSIS_SCHEMA)
-    entities = F.coalesce(F.from_json(F.get_json_object(body, "$.root_cause_entities"), "array<string>"),
-                          F.array().cast("array<string>"))
-    bad_entity_keys = F.exists(entities, lambda e: F.size(_unknown(e, ENTITY_KEYS)) > 0)
     blank = F.exists(F.col("_d.root_cause_entities"), lambda e: (F.trim(F.coalesce(e["kind"], F.lit(""))) == "")
                      | (F.trim(F.coalesce(e["name"], F.lit(""))) == ""))
     confidence = F.coalesce(F.col("_d.confidence"), F.lit(0.0))
     document = F.try_variant_get("_v", "$[0]", "variant")
+    parsed = F.try_variant_get("_v", "$[0]", DIAGNOSIS_SCHEMA)
 
     def kind_of(path: str) -> Column:  # JSON type at a path; NULL where nothing or null stands there
         return F.schema_of_variant(F.try_variant_get(document, path, "variant"))
@@ -149,6 +151,7 @@ def normalize_diagnosis(raw: DataFrame, text: str = "raw", scenario: str = "scen
         return F.coalesce(~kind.rlike(pattern) & (kind != "VOID"), F.lit(False))
 
     listed_entities = F.try_variant_get(document, "$.root_cause_entities", "array<variant>")
+    bad_entity_keys = F.coalesce(F.exists(listed_entities, lambda e: F.size(_unknown(_object_keys(e), ENTITY_KEYS)) > 0), F.lit(False))
     odd_entity = F.coalesce(F.exists(listed_entities, lambda e: wrong(F.schema_of_variant(e), "^OBJECT") | F.exists(
         F.array(*[F.schema_of_variant(F.try_variant_get(e, f"$.{k}", "variant")) for k in ENTITY_KEYS]),
         lambda k: wrong(k, "^STRING$"))), F.lit(False))
@@ -171,7 +174,7 @@ def normalize_diagnosis(raw: DataFrame, text: str = "raw", scenario: str = "scen
               .when(F.coalesce(blank, F.lit(False)), "missing:entity-name")
               .when((confidence < 0) | (confidence > 1), "range:confidence"))
     out = (raw.withColumn("_v", listed).withColumn("_d", parsed)
-           .withColumn("_unknown", _unknown(body, DIAGNOSIS_KEYS)).withColumn("_bad_entity", bad_entity_keys).withColumn("_wrong", wrong_type)
+           .withColumn("_unknown", _unknown(_object_keys(document), DIAGNOSIS_KEYS)).withColumn("_bad_entity", bad_entity_keys).withColumn("_wrong", wrong_type)
            .withColumn("reject", reject))
     ok = F.col("reject").isNull()
     fields = {c: F.col(f"_d.{c}") for c in DIAGNOSIS_KEYS[1:]} | {"confidence": confidence}  # none stated counts as 0

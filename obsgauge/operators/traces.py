@@ -1,33 +1,33 @@
 """Trace completeness and the service graph edges, from one parent look-up.
 
-The look-up is a join on (trace, span): its keys are near unique, so a trace
+The look-up meets on (trace, span): its keys are near unique, so a trace
 that holds a third of all spans still spreads over all tasks.  References are
-made distinct per (trace, parent, service) before the join, with map-side
-combine, so a parent with very many children arrives as a few rows.
+made distinct per (trace, parent, service) before they meet, with map-side
+combine, so a parent with very many children arrives as a few rows.  Whether a
+parent exists takes one scan: each span notes its own id and the one it refers to.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _references(spans: DataFrame) -> DataFrame:
-    """Distinct (trace, parent reference, service), with the earliest span time behind each."""
-    timed = F.min("ts") if "ts" in spans.columns else F.min(F.lit(None).cast("timestamp"))
-    return spans.groupBy("trace_id", "parent_span_id", "service").agg(timed.alias("ts"))
-
-
-def _resolve(refs: DataFrame, known: DataFrame, how: str) -> DataFrame:
-    hit = (F.col("trace_id") == F.col("_t")) & (F.col("parent_span_id") == F.col("_s"))
-    return refs.join(known, hit, how).drop("_t", "_s")
+def _earliest(spans: DataFrame) -> Column:
+    return F.min("ts") if "ts" in spans.columns else F.min(F.lit(None).cast("timestamp"))
 
 
 def parent_links(spans: DataFrame) -> DataFrame:
-    """References with a flag whether the trace holds the parent span."""
-    known = spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s")).distinct()
-    return _resolve(_references(spans), known.withColumn("_found", F.lit(True)), "left").withColumn(
-        "found", F.coalesce("_found", F.lit(False))).drop("_found")
+    """Distinct (trace, parent reference, service) with the earliest span time behind each, and whether the trace holds the parent."""
+    own = F.struct(F.col("span_id").alias("_id"), F.lit(True).alias("_own"))
+    parent = F.struct(F.col("parent_span_id").alias("_id"), F.lit(False).alias("_own"))
+    user = F.when(~F.col("_own"), F.col("service")).alias("service")
+    ids = (spans.select("*", F.inline(F.array(own, parent)))
+           .groupBy("trace_id", "_id", "_own", user).agg(_earliest(spans).alias("ts")))
+    # An id has one row of its own and one per service that refers to it.
+    held = F.max("_own").over(Window.partitionBy("trace_id", "_id"))
+    found = held & F.col("trace_id").isNotNull() & F.col("_id").isNotNull()
+    return ids.select("trace_id", F.col("_id").alias("parent_span_id"), "service", "ts", "_own", found.alias("found")).where(~F.col("_own")).drop("_own")
 
 
 def caller_links(spans: DataFrame) -> DataFrame:
@@ -38,8 +38,10 @@ def caller_links(spans: DataFrame) -> DataFrame:
     """
     first = F.min(F.struct("ts", "service") if "ts" in spans.columns else F.struct("service"))["service"]
     owners = spans.groupBy(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s")).agg(first.alias("caller"))
-    refs = _references(spans.where(F.col("parent_span_id").isNotNull()))
-    return _resolve(refs, owners, "inner")
+    refs = (spans.where(F.col("parent_span_id").isNotNull())
+            .groupBy("trace_id", "parent_span_id", "service").agg(_earliest(spans).alias("ts")))
+    hit = (F.col("trace_id") == F.col("_t")) & (F.col("parent_span_id") == F.col("_s"))
+    return refs.join(owners, hit).drop("_t", "_s")
 
 
 def trace_participation(links: DataFrame) -> DataFrame:
