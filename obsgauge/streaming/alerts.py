@@ -16,13 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from obsgauge.session import use_rocksdb
+
 EVENTS = "rule string, series string, event string, active_pos bigint, position bigint"
 # Ship the processor itself, so that workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 class _AlertState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -65,9 +64,7 @@ def alert_events(steps: DataFrame) -> DataFrame:
     Steps of a series must arrive in order across batches; within a batch they
     are put in order here.
     """
-    spark = steps.sparkSession
-    if spark.conf.get(_STORE, "") != _ROCKS:
-        spark.conf.set(_STORE, _ROCKS)
+    use_rocksdb(steps.sparkSession)
     return (steps.select("rule", "series", "for_steps", "position", "active").groupBy("rule", "series")
             .transformWithStateInPandas(_AlertState(), EVENTS, "Append", "None"))
 

@@ -168,3 +168,23 @@ def test_export_gauges(tables, tmp_path):
     shown = ["gauge", "service", "impact", F.round("value", 9)]
     assert rows(read_gauges(tables.spark, str(tmp_path / "gauges")), *shown) == rows(
         scoring.score_gauges(s.scores, s.findings), *shown)
+
+
+def test_trace_judge_needs_neither_the_package_on_a_worker_nor_a_prepared_session(tables):
+    """The worker beside the driver has not the driver's sys.path, and sessions built elsewhere have another state store."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from obsgauge.session import ROCKSDB, STATE_STORE
+    from obsgauge.streaming.tracestate import TraceJudge, stream_trace_verdicts
+
+    alone = "import sys, pickle; sys.path = [p for p in sys.path if 'repo' not in p]; pickle.loads(sys.stdin.buffer.read()); assert 'obsgauge' not in sys.modules"
+    done = subprocess.run([sys.executable, "-c", alone], input=cloudpickle.dumps(TraceJudge(1)), cwd="/", env={"PATH": "/usr/bin"}, capture_output=True)
+    assert done.returncode == 0, done.stderr.decode()
+    spark, before = tables.spark, tables.spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    stream_trace_verdicts(spark.readStream.format("rate").load().selectExpr(
+        "value as trace_id", "value as span_id", "value as parent_span_id", "'a' as service", "timestamp as ts"))
+    assert spark.conf.get(STATE_STORE) == ROCKSDB == before
