@@ -184,8 +184,18 @@ def normalize_diagnosis(raw: DataFrame, text: str = "raw", scenario: str = "scen
 def scenario_truth(catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Root causes of an external scenario catalogue, and the scenarios it refuses.
 
-    Truth comes from the object an injection was applied to, never from
-    waiters.  Returns (scenario, category, entities sorted) and (id, reason).
+    Returns (scenario, application, category, entities sorted) and (id, reason).
+    """
+    df = judged_scenarios(catalogue)
+    return (df.where(F.col("reason").isNull()).select("scenario", "application", "category", "entities"),
+            df.where(F.col("reason").isNotNull()).select("id", "reason"))
+
+
+def judged_scenarios(catalogue: DataFrame) -> DataFrame:
+    """(id, scenario, application, category, entities sorted, reason) of every scenario, from one look at it; with a reason it is refused, and
+    nothing else is said of it but its name.
+
+    Truth comes from the object an injection was applied to, never from waiters.
     """
     k8s = "args.kubernetesObject"
     injections = F.flatten(F.transform(F.coalesce("disruptions", F.array().cast(
@@ -204,8 +214,6 @@ def scenario_truth(catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
               .when(F.coalesce(F.size("disruptions"), F.lit(0)) <= 0, "disruptions")
               .when(F.size("_entities") == 0, "objects"))
     df = catalogue.withColumn("_entities", entities).withColumn("_faults", faults).withColumn("reason", reason)
-    good = df.where(F.col("reason").isNull()).select(
-        F.concat(F.lit("sre-"), F.col("id").cast("string")).alias("scenario"),
-        F.col("environment.applications")[0]["id"].alias("application"),
-        F.array_join("_faults", "+").alias("category"), F.col("_entities").alias("entities"))
-    return good, df.where(F.col("reason").isNotNull()).select("id", "reason")
+    fields = {"application": F.col("environment.applications")[0]["id"], "category": F.array_join("_faults", "+"), "entities": F.col("_entities")}
+    return df.select("id", F.concat(F.lit("sre-"), F.col("id").cast("string")).alias("scenario"),
+                     *[F.when(F.col("reason").isNull(), v).alias(c) for c, v in fields.items()], "reason")

@@ -44,7 +44,7 @@ def showback(t: Tables) -> DataFrame:
 def stored_scores(t: Tables) -> DataFrame:
     """One scoring written to the history and its latest snapshot read back."""
     path = shared_folder(t.spark, "score-history")
-    s = Scoring(t.spark, t.signals(names=True))
+    s = Scoring(t.spark, t.signals(names=True)).write_results()  # four tables are made of them
     snapshots.write_score_snapshot(path, s.scores, s.results, s.findings, scoring.fleet_score(s.scores), "2024-01-01 00:00:00")
     last = {name: snapshots.read_last_snapshot(t.spark, f"{path}/{name}", "2024-01-02 00:00:00")
             for name in ("service_scores", "findings")}
@@ -124,22 +124,21 @@ from (select o_orderkey as id, faults, entities,
         from v_scenario_lines group by id) l on l.id = o_orderkey) x""")
 def scenario_truth(t: Tables) -> DataFrame:
     """A scenario catalogue as JSON texts, one per order with its lines as injections; some not usable."""
-    named = F.struct(F.struct(F.lit("Pod").alias("kind"), F.struct(
-        F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string")).alias("name"), F.lit("shop").alias("namespace")).alias("metadata")).alias("kubernetesObject"))
-    injection = F.struct(F.concat(F.lit("f"), (F.col("l_suppkey") % 3).cast("string")).alias("id"),
-                         F.when(F.col("l_linenumber") % 4 != 0, named).alias("args"))
-    lines = t.read("lineitem").groupBy("l_orderkey").agg(F.collect_list(injection).alias("injections"))  # the lines of one order
+    def injection(line):
+        named = F.struct(F.struct(F.lit("Pod").alias("kind"), F.struct(
+            F.concat(F.lit("supp-"), line["l_suppkey"].cast("string")).alias("name"), F.lit("shop").alias("namespace")).alias("metadata")).alias("kubernetesObject"))
+        return F.struct(F.concat(F.lit("f"), (line["l_suppkey"] % 3).cast("string")).alias("id"), F.when(line["l_linenumber"] % 4 != 0, named).alias("args"))
+
+    numbers = F.collect_list(F.struct("l_suppkey", "l_linenumber")).alias("lines")  # of one order
+    lines = t.read("lineitem").groupBy("l_orderkey").agg(numbers).select("l_orderkey", F.transform("lines", injection).alias("injections"))
     orders = t.read("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     document = F.to_json(F.struct(
         F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 10 == 0, "finops").otherwise("sre").alias("category"),
         F.struct(F.when(F.col("o_custkey") % 11 != 0, F.array(F.struct(F.lit("shop").alias("id")))).alias("applications")).alias("environment"),
         F.array(F.struct("injections")).alias("disruptions")))
     catalogue = orders.select(F.from_json(document, schemas.SCENARIO_CATALOGUE).alias("d")).select("d.*")
-    good, refused = grading.scenario_truth(catalogue)
     text = F.transform("entities", lambda e: F.concat_ws("/", e["kind"], e["namespace"], e["name"]))
-    return good.select("scenario", "application", "category", F.array_join(F.array_sort(text), ",").alias("entities"),
-                       F.lit(None).cast("string").alias("reason")).unionByName(
-        refused.select(F.concat(F.lit("sre-"), F.col("id").cast("string")).alias("scenario"), "reason"), allowMissingColumns=True)
+    return grading.judged_scenarios(catalogue).select("scenario", "application", "category", F.array_join(F.array_sort(text), ",").alias("entities"), "reason")
 
 
 # --- files written and read back --------------------------------------------------------------

@@ -116,3 +116,12 @@ def test_scenario_truth(spark, tmp_path):
     assert [e["name"] for e in r["entities"]] == ["a", "b"]
     assert rows(refused, "reason") == [("application",), ("category",), ("disruptions",), ("id",),
                                        ("objects",)]
+
+
+def test_scenarios_are_parsed_and_judged_once(spark):
+    from obsgauge.plans.registry.stored import scenario_truth
+    from obsgauge.sources.tables import Tables
+
+    plan = scenario_truth(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert "Union" not in plan

@@ -224,3 +224,29 @@ def test_sketches_merge_within_five_percent(spark):
                                     F.lit("k").alias("key"))
     merged = agg.merge_sketches(agg.cardinality_sketches(df, ["key", "part"]), ["key"]).first()["estimate"]
     assert abs(merged - 9_000) <= 450
+
+
+def test_windowed_trace_health_deals_spans_by_their_number(tables, monkeypatch):
+    """A task holds a bounded number of spans however well their bytes compress."""
+    from obsgauge.plans.registry import score
+
+    want = rows(score.trace_health_windowed(tables))
+    monkeypatch.setattr(score, "SPANS_A_TASK", 500)
+    df = score.trace_health_windowed(tables)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert rows(df) == want
+    n = tables.read("lineitem").count()
+    spans = tables.spans(times=True, tasks=n // 500 + 1)
+    per_task = spans.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert per_task < 1000
+
+
+def test_written_results_are_what_scores_and_findings_read(spark, tables):
+    """A snapshot's tables come from one run over the signals."""
+    lazy = Scoring(spark, tables.signals(names=True))
+    s = Scoring(spark, tables.signals(names=True)).write_results()
+    for df in (s.results, s.scores, s.findings):
+        assert df.inputFiles() and all("rule-results-" in f for f in df.inputFiles())
+    assert rows(s.scores) == rows(lazy.scores)
+    assert rows(s.findings) == rows(lazy.findings)
