@@ -61,11 +61,14 @@ def _id(text: Column) -> Column:
 
 
 def _scopes(payload: DataFrame, resources: str, scopes: str, items: str) -> DataFrame:
-    """One row per record, with its service, resource and scope."""
-    per_resource = payload.select(F.explode(resources).alias("r"))
+    """One row per record, with its service, resource and scope.
+
+    Only the last step drops what is empty: Spark would put the filter of an inner explode under the parsing, which then runs for it too.
+    """
+    per_resource = payload.select(F.explode_outer(resources).alias("r"))
     attrs = F.col("r.resource.attributes")
     return (per_resource.select(_service(attrs).alias("service"), attribute_map(attrs).alias("resource"),
-                                F.explode(F.col(f"r.{scopes}")).alias("s"))
+                                F.explode_outer(F.col(f"r.{scopes}")).alias("s"))
             .select("service", "resource", F.col("s.scope").alias("scope"), F.explode(F.col(f"s.{items}")).alias("i")))
 
 

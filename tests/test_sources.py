@@ -221,3 +221,15 @@ def test_soak_metrics(spark, tmp_path):
         snapshots.read_soak_metrics(spark, str(path))
 
 
+
+
+def test_messages_are_parsed_once(spark):
+    """No filter of an explode is put under the parsing, and empty lists still give no rows."""
+    from obsgauge.sources.otlp import otlp_from_messages
+
+    one = '{"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "a1", "spanId": "b1"}]}]}]}'
+    empty = ['{}', '{"resourceSpans": []}', '{"resourceSpans": [{}]}', '{"resourceSpans": [{"scopeSpans": []}]}', '{"resourceSpans": [{"scopeSpans": [{"spans": []}]}]}', None]
+    messages = spark.createDataFrame([(v,) for v in [one, *empty]], "value string")
+    got = otlp_from_messages(messages, "span")
+    assert [r.trace_id for r in got.collect()] == ["a1"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
