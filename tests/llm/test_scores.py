@@ -167,3 +167,19 @@ def test_vote_equals_plain_cosines():
         w = np.maximum(cosines[near], 0) ** 8 + 1e-9
         assert got[k] == pytest.approx((w * labels[near]).sum() / w.sum(), abs=1e-3)
     assert ((got > 0.5) == (labels[80:] == 1)).all()
+
+
+def test_threshold_and_quantiles_rest_on_every_labelled_row(spark):
+    """More labelled rows than any sample: the cut is that of all of them, and a tree's draws reach all of them."""
+    draw = np.random.default_rng(4)
+    anomaly, good = np.round(draw.beta(2, 5, 20_000), 4), draw.random(20_000) < 0.7
+    good[anomaly > 0.6] = False
+    rows = spark.createDataFrame([(float(a), bool(g)) for a, g in zip(anomaly, good)], "anomaly double, good boolean")
+    assert isolation.cut(rows) == isolation.best_threshold(anomaly, good)
+    assert isolation.cut(rows.where("good")) == float("inf")
+    numbers = spark.range(10_000).selectExpr("id as doc_id", "100L as n_words", "500L as word_chars", "0L as n_symbols", "0L as n_dup_lines", "0L as n_repeat_words",
+                                             "transform(sequence(1, 8), k -> id * 1.0D * k) as x")
+    model = isolation.fit(numbers, spark.range(10_000).selectExpr("id as doc_id", "cast(id < 9000 as int) as quality"))
+    taught = [k for k in range(9000) if zlib.crc32(str(k).encode()) % 5]
+    assert model.usual[0] == taught[int(0.999 * len(taught) + 0.5) - 1]
+    assert len(model.forest.trees) == isolation.TREES
