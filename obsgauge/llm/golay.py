@@ -103,6 +103,16 @@ def fingerprint_of():
     return simhash
 
 
+def simhash_of(hashes) -> int:
+    """The 64-bit SimHash of a set of hashed shingles (an array of 64-bit numbers) as a signed integer."""
+    import numpy as np
+
+    total = np.zeros(64, "int64")
+    for at in range(0, len(hashes), 1 << 14):
+        total += np.unpackbits(hashes[at:at + (1 << 14)].astype(">u8").view("uint8").reshape(-1, 8), axis=1).sum(axis=0, dtype="int64")
+    return int.from_bytes(np.packbits(total * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(kept columns, fp): the SimHash of every row."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

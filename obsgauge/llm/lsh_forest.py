@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsgauge.llm.common import map_rows
-from obsgauge.llm.golay import components
+from obsgauge.llm.golay import components, simhash_of
 from obsgauge.sources.shared import written
 
 SHINGLE = 2
@@ -84,7 +84,7 @@ def row_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signed(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, k1, k2, n, name, paths) of (id, text, k1, k2): set size, hash of the set and its signature; both NULL for the empty set."""
+    """(id, k1, k2, n, name, paths, fp) of (id, text, k1, k2): set size, hash of the set, its signature and its SimHash; NULL for the empty set."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def start():
@@ -93,12 +93,12 @@ def signed(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         def sign(text, *kept):
             hashes = hashed_set(text, shingle)
             if not len(hashes):
-                return *kept, 0, None, None
-            return *kept, len(hashes), xxhash.xxh128_digest(hashes.tobytes()), paths(hashes)
+                return *kept, 0, None, None, None
+            return *kept, len(hashes), xxhash.xxh128_digest(hashes.tobytes()), paths(hashes), simhash_of(hashes)
 
         return sign
 
-    return map_rows(rows.select("text", "id", "k1", "k2"), f"id {kind}, k1 bigint, k2 bigint, n bigint, name binary, paths binary", start)
+    return map_rows(rows.select("text", "id", "k1", "k2"), f"id {kind}, k1 bigint, k2 bigint, n bigint, name binary, paths binary, fp bigint", start)
 
 
 def _key(depth: int) -> Column:
@@ -197,12 +197,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "one", "other").mapInArrow(run, "a bigint, b bigint")
 
 
-def linked(nodes: DataFrame, rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(node, label) of the nodes with a link; ``nodes``: (node, n, paths, k1, k2), one for each set."""
+def linked(nodes: DataFrame, rows: DataFrame, shingle: int = SHINGLE, first: DataFrame | None = None) -> DataFrame:
+    """(node, label) of the nodes with a link; ``nodes``: (node, n, paths, k1, k2), one for each set; ``first``: candidates (a, b) confirmed before the others."""
     members = regions(nodes)
-    suspects = nodes.join(members.select("node").distinct(), "node").select("node", "k1", "k2")
+    asked = members.select("node")
+    if first is not None:
+        asked = asked.unionByName(first.select(F.explode(F.array("a", "b")).alias("node")))
+    suspects = nodes.join(asked.distinct(), "node").select("node", "k1", "k2")
     sets = written(sets_of(rows, written(suspects, "suspects"), shingle), "sets")
     edges, labels = None, None
+    if first is not None:
+        edges = written(confirmed(first, sets), "links")
+        labels = components(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     for trees, all_pairs in ROUNDS:
         part = _labelled(members if len(trees) == TREES else members.where(F.col("tree").between(trees[0], trees[-1])), labels)
         links = written(confirmed(crossings(part, nodes) if all_pairs else neighbours(part), sets), "links")

@@ -91,3 +91,11 @@ def test_near_copies_awkward(awkward, nothing):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(4) == 0 and ids.count(1) == 1 and ids.count(2) == 1 and ids.count(8) == 0
     assert near_copies.one_of_each(nothing).count() == 0
+
+
+def test_fingerprints_give_the_first_candidates(spark):
+    """All fingerprints within two bits are connected before any signature order is looked at."""
+    base = 0x0F0F_1234_5678_9ABC
+    fps = [(0, base), (1, base), (2, base ^ 1), (3, base ^ 3), (4, base ^ 0b111 << 40), (5, ~base)]
+    pairs = {tuple(r) for r in near_copies.by_fingerprint(spark.createDataFrame(fps, "node bigint, fp bigint")).collect()}
+    assert pairs == {(0, 1), (0, 2), (0, 3), (2, 3)}
