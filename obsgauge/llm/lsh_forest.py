@@ -9,14 +9,19 @@ two sets of likeness J agree in the first d minima with probability J ** d.
   What is still larger at full depth, almost equal sets, is divided by a hash of the document.
 * Candidates.  First the neighbours in a region's sorted order, which share its longest prefixes, in
   one tree, then in a few more, then in all; confirmed links join documents to components, and pairs inside a component need no
-  more work.  At last every pair of a region, in every tree, that lies in two components, unless too few of all
+  more work.  Then every pair of a region that was not divided, in every tree, that lies in two components, unless too few of all
   their minima agree.
+* Crowded regions exactly.  A pair that a division has parted lies, with its whole sets, in a region that was crowded at the first depth.
+  The documents of those of these regions that hold two components or more are joined on their rarest shingles: two sets
+  of n and m shingles that are alike share at least t = 4 / 9 * (n + m), so in one order of all shingles the first that
+  they share has t or more of either set from it on.  A set is listed under its first fifth only, and pairs are
+  compared unless they lie in one component or too little of a set is left; no pair at 0.8 is lost.  The order, commonest last,
+  is of consequence for the work only.  A shingle of many sets is joined in pieces.
 * Links are confirmed on the full sets (100 * intersection >= 80 * union).
 
 Documents with equal sets are one node from the start.  A group of near copies costs about a pair a node in the first
-rounds and none in the last, and a node has at most ``CROWD`` candidates a tree.  A pair at 0.8 is missed by all
-trees at depth 3 with probability (1 - 0.8 ** 3) ** 24 = 3e-8; at depth 5, where a region is
-denser than ``CROWD`` everywhere, with 7e-5 (closer pairs far less often).
+rounds and none in the last, and a node has at most ``CROWD`` candidates a tree before the crowded regions are joined.  A pair at 0.8
+shares no region of any tree with probability (1 - 0.8 ** 3) ** 24 = 3e-8 (closer pairs far less often).
 
 Defined cases: words are cut at ASCII white space and compared in lower case (ASCII); a single word is a set of one; NULL and
 wordless texts have the empty set and are linked with nothing, not even each other; repeated rows are rows of one
@@ -42,8 +47,10 @@ TREES, SHALLOW, DEPTH = 24, 3, 7
 CROWD = 64
 #: Of the ``TREES * DEPTH`` minima, as many as a pair at 0.8 has in common but for 4.5 standard deviations (3e-6).
 AGREEING = 111
-#: Rounds of candidates: the trees, and whether all pairs of a region are compared or its sorted neighbours only.
+#: Rounds of candidates: the trees, and whether all pairs of an undivided region are compared or the sorted neighbours of every region.
 ROUNDS = ((range(0, 1), False), (range(1, 4), False), (range(4, TREES), False), (range(0, TREES), True))
+#: Shingles whose number of sets is known to the order of all shingles (4 MB); the rest counts as rarer than these.
+COMMON = 1 << 18
 #: Up to so many rows of three numbers each (16 MB) are broadcast to fetch their texts; beyond, both sides are shuffled.
 FETCHED_AT_ONCE = 200_000
 SEED = 12
@@ -105,15 +112,25 @@ def _key(depth: int) -> Column:
     return F.xxhash64(F.lit(depth), "tree", F.substring("path", 1, 2 * depth))
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """(key, tree, path, node, n): the regions of all trees with two nodes or more, each as deep as its density asks for."""
+def _shared(rows: DataFrame, depth: int) -> DataFrame:
+    rows = rows.withColumn("key", _key(depth))
+    shared = rows.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    return written(rows.join(shared, "key").select("key", "crowd", "tree", "path", "node", "n"), "regions")
+
+
+def undivided(nodes: DataFrame) -> DataFrame:
+    """(key, crowd, tree, path, node, n): the regions of all trees with two nodes or more at the first depth."""
     spot = F.substring(F.col("paths"), F.col("tree") * 2 * DEPTH + 1, F.lit(2 * DEPTH))
     rows = nodes.select("node", "n", "paths", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("node", "n", "tree", spot.alias("path"))
-    found = None
+    return _shared(rows, SHALLOW)
+
+
+def regions(nodes: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """(key, tree, path, node, n): the regions of all trees with two nodes or more, each as deep as its density asks for; ``whole``: ``undivided`` of the nodes."""
+    part, found = undivided(nodes) if whole is None else whole, None
     for depth in range(SHALLOW, DEPTH + 1):
-        rows = rows.withColumn("key", _key(depth))
-        shared = rows.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
-        part = written(rows.join(shared, "key").select("key", "crowd", "tree", "path", "node", "n"), "regions")
+        if depth > SHALLOW:
+            part = _shared(rows, depth)
         small = part.where(F.col("crowd") <= CROWD)
         crowded = part.where(F.col("crowd") > CROWD)
         if depth == DEPTH:  # almost equal sets
@@ -169,6 +186,66 @@ def crossings(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_rows(lists, "a bigint, b bigint", start, many=True).distinct()
 
 
+def parted(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label) of the (key, node) whose region holds two components or more."""
+    members = _labelled(crowded, labels)
+    open_regions = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return members.join(open_regions, "key").select("node", "label").distinct()
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of common shingles and in about how many sets each is; those met once in a batch are not counted."""
+
+    def run(batches):
+        for batch in batches:
+            hashes, times = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "int64"), return_counts=True)
+            often = times > 1
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[often]), pa.array(times[often])], names=["shingle", "times"])
+
+    counts = sets.select("hashes").mapInArrow(run, "shingle bigint, times bigint").groupBy("shingle").agg(F.sum("times").alias("times"))
+    found = counts.orderBy(F.desc("times"), "shingle").limit(COMMON).toArrow().sort_by("shingle")
+    return found["shingle"].to_numpy(), found["times"].to_numpy()
+
+
+def rarest(sets: DataFrame) -> DataFrame:
+    """(shingle, node, label, n, rest): the rarest shingles of each (node, label, hashes), with the set's size and how much of it comes from each on."""
+    shingles, times = common_shingles(sets)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                node, label, hashes = (c.slice(at, 512) for c in batch.columns)
+                kept, rest = [], []
+                for one in hashes:
+                    one = np.frombuffer(one.as_buffer(), "int64")
+                    often = np.zeros(len(one), "int64")
+                    if len(shingles):
+                        spot = np.minimum(np.searchsorted(shingles, one), len(shingles) - 1)
+                        often = np.where(shingles[spot] == one, times[spot], 0)
+                    kept.append(one[np.lexsort((one, often))][:(100 - PERCENT) * len(one) // 100 + 1])
+                    rest.append(len(one) - np.arange(len(kept[-1])))
+                many = [len(x) for x in kept]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept)), pa.array(np.repeat(node.to_numpy(zero_copy_only=False), many)),
+                                                  pa.array(np.repeat(label.to_numpy(zero_copy_only=False), many)),
+                                                  pa.array(np.repeat([x[0] for x in rest], many)), pa.array(np.concatenate(rest))],
+                                                 names=["shingle", "node", "label", "n", "rest"])
+
+    return sets.select("node", "label", "hashes").mapInArrow(run, "shingle bigint, node bigint, label bigint, n bigint, rest bigint")
+
+
+def sharing_rare(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): all pairs of the (node, label) in two components whose sets can be alike by the first of their rarest shingles that they share."""
+    listed = written(rarest(sets.join(apart, "node")), "rarest")
+    open_keys = listed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("crowd")).where("low <> high")
+    rows = written(listed.join(open_keys.select("shingle", F.ceil(F.col("crowd") / CROWD).alias("pieces")), "shingle"), "rarest-shared")
+    one = rows.withColumn("piece", F.pmod(F.xxhash64("node"), "pieces"))
+    other = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).select(
+        "shingle", "piece", *[F.col(c).alias(f"{c}_other") for c in ("node", "label", "n", "rest")])
+    fits = (100 + PERCENT) * F.least("rest", "rest_other") >= PERCENT * (F.col("n") + F.col("n_other"))
+    pairs = one.join(other, ["shingle", "piece"]).where((F.col("node") < F.col("node_other")) & (F.col("label") != F.col("label_other")) & fits)
+    return pairs.select(F.col("node").alias("a"), F.col("node_other").alias("b")).distinct()
+
+
 def sets_of(rows: DataFrame, chosen: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(node, hashes): the full sets of the chosen (node, k1, k2), from one row each."""
     few = chosen.count() <= FETCHED_AT_ONCE
@@ -199,8 +276,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def linked(nodes: DataFrame, rows: DataFrame, shingle: int = SHINGLE, first: DataFrame | None = None) -> DataFrame:
     """(node, label) of the nodes with a link; ``nodes``: (node, n, paths, k1, k2), one for each set; ``first``: candidates (a, b) confirmed before the others."""
-    members = regions(nodes)
-    asked = members.select("node")
+    whole = undivided(nodes)
+    members, crowded = regions(nodes, whole), whole.where(F.col("crowd") > CROWD).select("key", "node")
+    small = whole.where(F.col("crowd") <= CROWD).drop("crowd")
+    asked = members.select("node").unionByName(crowded.select("node"))
     if first is not None:
         asked = asked.unionByName(first.select(F.explode(F.array("a", "b")).alias("node")))
     suspects = nodes.join(asked.distinct(), "node").select("node", "k1", "k2")
@@ -210,12 +289,18 @@ def linked(nodes: DataFrame, rows: DataFrame, shingle: int = SHINGLE, first: Dat
         edges = written(confirmed(first, sets), "links")
         labels = components(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     for trees, all_pairs in ROUNDS:
-        part = _labelled(members if len(trees) == TREES else members.where(F.col("tree").between(trees[0], trees[-1])), labels)
+        part = _labelled(small if all_pairs else members.where(F.col("tree").between(trees[0], trees[-1])), labels)
         links = written(confirmed(crossings(part, nodes) if all_pairs else neighbours(part), sets), "links")
         if links.isEmpty() and labels is not None:
             continue
         edges = links if edges is None else edges.unionByName(links)
         labels = components(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    apart = written(parted(crowded, labels), "parted")
+    if not apart.isEmpty():
+        links = written(confirmed(written(sharing_rare(apart, sets), "rare-pairs"), sets), "links")
+        if not links.isEmpty():
+            edges = edges.unionByName(links)
+            labels = components(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     return labels
 
 

@@ -73,6 +73,18 @@ def test_regions_get_deeper_where_documents_crowd(spark, docs_of):
     assert first < nodes.count()
 
 
+def test_links_that_crowded_regions_part(docs_of):
+    """Texts alike in 0.78 of their shingles crowd every region at full depth; the pairs of them just above 0.8 are all found."""
+    frame = [f"w{k}" for k in range(176)]
+    texts = [frame + [f"own{k}x{x}" for x in range(24)] for k in range(1200)]
+    for k in range(0, 80, 2):
+        texts[k + 1][176:180] = texts[k][176:180]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    one, other, third = (plain_set(rows[k][1]) for k in (0, 1, 2))
+    assert 80 <= 100 * len(one & other) / len(one | other) < 82 and 77 < 100 * len(one & third) / len(one | third) < 79
+    assert [r[2] for r in got(docs_of(rows))] == [k - 1 if k < 80 and k % 2 else k for k in range(1200)]
+
+
 def test_awkward_rows(awkward, nothing):
     rows = sorted((tuple(r) for r in forest.digest(awkward).collect()), key=repr)
     by_id = [(r[0], r[2], r[3]) for r in rows if r[0] is not None]
