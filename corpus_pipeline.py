@@ -16,9 +16,17 @@ from obsgauge.sources.shared import written
 #: Learned weights, fuzzy hashes and merges have no SQL.
 ORACLE_SQL = None
 
+#: Texts that Spark and a Python task hand each other at once; both sides hold them all, and Spark's own number is 10,000.
+BATCH_ROWS = 1000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def safe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under the toxicity threshold; the model learns from the labelled ones."""
+    in_small_batches(spark)
     return toxicity.rejected(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
@@ -29,6 +37,7 @@ def passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard >= 0.8): the smallest id."""
+    in_small_batches(spark)
     return near_copies.one_of_each(docs)
 
 
@@ -39,6 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document of the mix."""
+    in_small_batches(spark)
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -33,7 +33,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ LEAST_RATIO = 20.0
 FUZZY_FROM = 5
 WINDOW = 40
 THRESHOLD = 0.5
-MEMORY = 400_000  # words whose outcome a task remembers
+MEMORY = 50_000  # words whose outcome a task remembers
 QUOTES = "\"'`«»‘’‚“”„‹›"
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -314,26 +316,16 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def rejected(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` under the threshold, with all their columns."""
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("double")
-    def toxicity(texts):
-        scorer = _scorer(model)
-        return texts.map(scorer.score, na_action=None)
+    @F.arrow_udf("double")
+    def toxicity(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(model)  # goes with the task: the worker runs other stages after it
+        for texts in batches:
+            yield pa.array((scorer.score(text.as_py()) for text in texts), pa.float64())
 
     return docs.where(toxicity(F.col(text_col)) < threshold)
 
 
-_MADE: list = []
-
-
-def _scorer(model: Model) -> Scorer:
-    """The worker's scorer, kept between batches of a task."""
-    if not _MADE or _MADE[0].model.entries != model.entries or _MADE[0].model.coefficients != model.coefficients:
-        _MADE[:] = [Scorer(model)]
-    return _MADE[0]
-
-
 def digest(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     out = scored(docs, fit(docs, labels, **how))

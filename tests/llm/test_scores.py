@@ -130,6 +130,29 @@ def test_scores_of_awkward_rows(spark, awkward, nothing):
     assert kept.columns == awkward.columns
 
 
+def test_a_worker_holds_no_scorer_and_few_texts_after_a_stage(spark, docs_of, tmp_path):
+    """Workers go on to other stages: what the toxicity stage remembers goes with its task, and later batches are short."""
+    import corpus_pipeline
+
+    docs_of([(k, "you are a nasty fool" if k % 2 else "a calm day") for k in range(400)], 8).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(400).selectExpr("id doc_id", "cast(id % 2 as int) toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.safe(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count() <= 400
+
+    def look(batches):
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        held = sum(isinstance(x, toxicity.Scorer) for x in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([held]), pa.array([batch.num_rows])], names=["held", "rows"])
+
+    seen = spark.range(0, 40_000, 1, 8).mapInArrow(look, "held bigint, rows bigint").collect()
+    assert max(r.held for r in seen) == 0 and max(r.rows for r in seen) <= 1000
+
+
+
 def test_base_statistics_by_definition():
     draw = random.Random(3)
     for _ in range(200):
