@@ -16,7 +16,11 @@ two sets of likeness J agree in the first d minima with probability J ** d.
   of n and m shingles that are alike share at least t = 4 / 9 * (n + m), so in one order of all shingles the first that
   they share has t or more of either set from it on.  A set is listed under its first fifth only, and pairs are
   compared unless they lie in one component or too little of a set is left; no pair at 0.8 is lost.  The order, commonest last,
-  is of consequence for the work only.  A shingle of many sets is joined in pieces.
+  is of consequence for the work only.  The smaller set of a pair has the shingle in its first ninth: a shingle that no set has there is left out,
+  such as that of a frame around more than a ninth of own shingles.  A shingle of many sets is joined in pieces.  Its largest component
+  is dealt out to them and the others are copied, so a group of near copies costs no copy, and a piece's copies are a few for each
+  ``PIECE`` pairs in two components.  A pair is a candidate unless sketches prove it unlike: bits that say whether an odd number
+  of a set's shingles fall on them, so two sets differ in as many shingles at least as their sketches do in bits.
 * Links are confirmed on the full sets (100 * intersection >= 80 * union).
 
 Documents with equal sets are one node from the start.  A group of near copies costs about a pair a node in the first
@@ -51,6 +55,10 @@ AGREEING = 111
 ROUNDS = ((range(0, 1), False), (range(1, 4), False), (range(4, TREES), False), (range(0, TREES), True))
 #: Shingles whose number of sets is known to the order of all shingles (4 MB); the rest counts as rarer than these.
 COMMON = 1 << 18
+#: Rows of a rare shingle that are joined at once; the rows of a larger one are dealt out to pieces.
+PIECE = 1024
+#: 64-bit words of a sketch.
+WORDS = 16
 #: Up to so many rows of three numbers each (16 MB) are broadcast to fetch their texts; beyond, both sides are shuffled.
 FETCHED_AT_ONCE = 200_000
 SEED = 12
@@ -189,8 +197,9 @@ def crossings(members: DataFrame, nodes: DataFrame) -> DataFrame:
 def parted(crowded: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label) of the (key, node) whose region holds two components or more."""
     members = _labelled(crowded, labels)
-    open_regions = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-    return members.join(open_regions, "key").select("node", "label").distinct()
+    open_regions = written(members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "open-regions")
+    few = open_regions.count() <= FETCHED_AT_ONCE  # a region of many nodes then stays where its rows are
+    return members.join(F.broadcast(open_regions) if few else open_regions, "key").select("node", "label").distinct()
 
 
 def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -233,17 +242,48 @@ def rarest(sets: DataFrame) -> DataFrame:
     return sets.select("node", "label", "hashes").mapInArrow(run, "shingle bigint, node bigint, label bigint, n bigint, rest bigint")
 
 
+def rare_regions(listed: DataFrame) -> DataFrame:
+    """(shingle, main, crowd) of the listed shingles that a pair can have as its first in common: the largest component's label and the number of rows."""
+    parts = listed.groupBy("shingle", "label").agg(F.count("*").alias("rows"), F.max(F.col("rest") * (100 + PERCENT) >= F.col("n") * 2 * PERCENT).alias("leads"))
+    largest = F.max(F.struct("rows", "label"))
+    return parts.groupBy("shingle").agg(largest.getField("label").alias("main"), F.sum("rows").alias("crowd"), F.count("*").alias("parts"), F.max("leads").alias("leads")).where(
+        "parts > 1 and leads").select("shingle", "main", "crowd")
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """(node, w0, w1, ...): for each of 64 * ``WORDS`` values of a hash's first bits, whether an odd number of the set's hashes have it."""
+    shift = np.uint64(64 - (64 * WORDS - 1).bit_length())
+
+    def start():
+        def sketch(node, hashes):
+            odd = np.bincount((np.frombuffer(hashes, "uint64") >> shift).astype("int64"), minlength=64 * WORDS) & 1
+            return node, *np.packbits(odd.astype(bool)).view("int64").tolist()
+
+        return sketch
+
+    return map_rows(sets.select("node", "hashes"), "node bigint, " + ", ".join(f"w{k} bigint" for k in range(WORDS)), start)
+
+
+def dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of rows with a shingle, its main and crowd: every row in a piece of its shingle, those outside of the largest component in all."""
+    pieces = F.ceil(F.col("crowd") / PIECE)
+    one = rows.withColumn("piece", F.pmod(F.xxhash64("node"), pieces))
+    other = rows.where("label <> main").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    return one, other.select("shingle", "piece", *[F.col(c).alias(f"{c}_other") for c in rows.columns if c not in ("shingle", "main", "crowd")])
+
+
 def sharing_rare(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): all pairs of the (node, label) in two components whose sets can be alike by the first of their rarest shingles that they share."""
-    listed = written(rarest(sets.join(apart, "node")), "rarest")
-    open_keys = listed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("crowd")).where("low <> high")
-    rows = written(listed.join(open_keys.select("shingle", F.ceil(F.col("crowd") / CROWD).alias("pieces")), "shingle"), "rarest-shared")
-    one = rows.withColumn("piece", F.pmod(F.xxhash64("node"), "pieces"))
-    other = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).select(
-        "shingle", "piece", *[F.col(c).alias(f"{c}_other") for c in ("node", "label", "n", "rest")])
-    fits = (100 + PERCENT) * F.least("rest", "rest_other") >= PERCENT * (F.col("n") + F.col("n_other"))
-    pairs = one.join(other, ["shingle", "piece"]).where((F.col("node") < F.col("node_other")) & (F.col("label") != F.col("label_other")) & fits)
-    return pairs.select(F.col("node").alias("a"), F.col("node_other").alias("b")).distinct()
+    """(a, b): all pairs of the (node, label) in two components whose sets can be alike by the first of their rarest shingles that they share and by their sketches."""
+    own = sets.join(apart, "node")
+    listed = written(rarest(own), "rarest")
+    shared = written(listed.join(rare_regions(listed), "shingle"), "rarest-shared")
+    one, other = dealt(shared.join(written(sketched(own), "sketches"), "node"))
+    once = (F.col("label") == F.col("main")) | (F.col("node") < F.col("node_other"))
+    both = F.col("n") + F.col("n_other")
+    fits = (100 + PERCENT) * F.least("rest", "rest_other") >= PERCENT * both
+    bits = sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(f"w{k}_other"))) for k in range(WORDS)), F.lit(0))
+    pairs = one.join(other, ["shingle", "piece"]).where((F.col("label") != F.col("label_other")) & once & fits & ((100 + PERCENT) * bits <= (100 - PERCENT) * both))
+    return pairs.select(F.least("node", "node_other").alias("a"), F.greatest("node", "node_other").alias("b")).distinct()
 
 
 def sets_of(rows: DataFrame, chosen: DataFrame, shingle: int = SHINGLE) -> DataFrame:

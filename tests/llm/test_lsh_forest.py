@@ -92,3 +92,46 @@ def test_awkward_rows(awkward, nothing):
     assert [r[2:] for r in rows if r[0] is None] == [(None, True)] * 2
     assert len(rows) == awkward.count()
     assert forest.digest(nothing).count() == 0
+
+
+def test_a_crowded_shingle_costs_copies_of_the_few_and_loses_no_pair(spark, monkeypatch):
+    """400 near copies in one component and 60 texts about 0.8 from them, all with the same rarest shingles."""
+    monkeypatch.setattr(forest, "PIECE", 16)
+    draw = random.Random(3)
+    base = [draw.getrandbits(64) for _ in range(150)]
+    own = lambda k: set(draw.sample(base, 150 - k)) | {draw.getrandbits(64) for _ in range(k)}
+    found = [(k, 0, own(2)) for k in range(400)] + [(k, k, own(10 + k % 20)) for k in range(400, 460)]
+    as_bytes = [(k, label, b"".join(x.to_bytes(8, "little") for x in sorted(s))) for k, label, s in found]
+    rows = spark.createDataFrame(as_bytes, "node bigint, label bigint, hashes binary").cache()
+    apart, sets = rows.select("node", "label"), rows.select("node", "hashes")
+    alike = {(a, b) for a, la, x in found for b, lb, y in found if a < b and la != lb and 100 * len(x & y) >= 80 * len(x | y)}
+    got = {tuple(r) for r in forest.sharing_rare(apart, sets).collect()}
+    assert alike <= got and len(got) <= 1.5 * len(alike) and len(alike) > 1000
+    listed = forest.rarest(rows)
+    shared = listed.join(forest.rare_regions(listed), "shingle").cache()
+    one, other = forest.dealt(shared)
+    crowd, copies = shared.agg(F.max("crowd")).first()[0], other.count()
+    assert crowd > 200 and one.count() == shared.count()
+    cross = sum(r.crowd * r.few for r in shared.groupBy("shingle").agg(F.max("crowd").alias("crowd"), F.count_if(F.col("label") != F.col("main")).alias("few")).collect())
+    assert copies <= cross / forest.PIECE + shared.count()
+
+
+def test_a_frame_that_leads_no_set_is_not_joined(spark):
+    """Sets of 24 own shingles and a frame of 175 list some of the frame, but none has it in its first ninth."""
+    draw = random.Random(4)
+    frame = [draw.getrandbits(63) for _ in range(175)]
+    rows = [(k, k, b"".join(x.to_bytes(8, "little") for x in sorted(frame + [draw.getrandbits(63) for _ in range(24)]))) for k in range(300)]
+    listed = forest.rarest(spark.createDataFrame(rows, "node bigint, label bigint, hashes binary")).cache()
+    assert listed.groupBy("shingle").count().agg(F.max("count")).first()[0] == 300
+    assert forest.rare_regions(listed).isEmpty()
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets(spark):
+    draw = random.Random(5)
+    pool = [draw.getrandbits(64) for _ in range(4000)]
+    sets = [set(draw.sample(pool, draw.choice((1, 5, 150, 3000)))) for _ in range(40)]
+    rows = [(k, b"".join(x.to_bytes(8, "little") for x in sorted(s))) for k, s in enumerate(sets)]
+    got = {r[0]: [x & (1 << 64) - 1 for x in r[1:]] for r in forest.sketched(spark.createDataFrame(rows, "node bigint, hashes binary")).collect()}
+    bits = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(got[a], got[b]))
+    assert all(bits(a, b) <= len(sets[a] ^ sets[b]) for a in got for b in got)
+    assert sum(x.bit_count() for x in got[next(k for k in got if len(sets[k]) == 1)]) == 1
