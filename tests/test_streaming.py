@@ -123,6 +123,56 @@ def test_traces_over_a_border_are_judged_once_in_the_window_of_their_first_span(
     assert want.agg(F.count_distinct("window_start")).first()[0] == 3
 
 
+def test_trace_state_is_called_for_groups_not_for_traces(spark, tmp_path, monkeypatch):
+    """Thousands of open traces are a few rows of state; closed, they equal the batch, with null ids and services, texts to escape and far times."""
+    from obsgauge.streaming import tracestate
+
+    monkeypatch.setattr(tracestate, "GROUPS", 16, raising=False)
+    n = F.col("id")
+    trace = F.when(n % 5000 > 0, (n % 5000).cast("string"))
+    start = F.when(n % 5000 == 7, "9999-12-01").when(n % 5000 == 8, "0001-03-01").otherwise("2024-01-01").cast("timestamp")
+    spans = spark.range(20000).select(
+        trace.alias("trace_id"), F.when(n % 13 > 0, n % 11).alias("span_id"), F.when(n % 3 > 0, n % 7).alias("parent_span_id"),
+        F.when(n % 4 > 0, F.concat(F.lit('a"\\[,\n\u00fc'), n % 4)).alias("service"), (start + F.make_dt_interval(secs=n % 5 * 7000.000001)).alias("ts"))
+    source, out, state = (str(tmp_path / k) for k in ("in", "out", "cp"))
+
+    def run(df):
+        df.write.mode("append").parquet(source)
+        q = start_trace_health(spark.readStream.schema(spans.schema).parquet(source), out, state, window="30 days", delay="1 day")
+        q.awaitTermination()
+        return q.lastProgress["stateOperators"][0]
+
+    open_ = spans.where(F.year("ts") < 9999)
+    assert run(open_)["numRowsTotal"] <= 16 * 8
+    run(open_.limit(1).withColumns({"trace_id": F.lit("z"), "ts": F.lit("2100-01-01").cast("timestamp")}))
+    cols = ["service", "window_start", "traces", "orphan_ratio", "missing_root_ratio"]
+    known = open_.fillna({"trace_id": "none"}).withColumn("span_id", F.col("span_id").cast("string")).withColumn("parent_span_id", F.col("parent_span_id").cast("string"))
+    assert rows(read_trace_health(spark, out), *cols) == rows(traces.trace_health(known, window="30 days"), *cols)
+    assert run(spans.where(F.year("ts") == 9999))["numRowsTotal"] <= 16 * 8  # held, for its window is open
+
+
+def test_spans_behind_the_watermark_do_not_begin_a_trace_again(spark, tmp_path):
+    ddl = "trace_id string, span_id string, parent_span_id string, service string, ts string"
+    source, out, state = (str(tmp_path / k) for k in ("in", "out", "cp"))
+    for row in (("a", "1", None, "web", "2024-01-01 00:10:00"), ("z", "1", None, "web", "2024-01-01 10:00:00"), ("a", "2", "1", "web", "2024-01-01 00:20:00"),
+                ("z", "2", "1", "web", "2024-01-01 20:00:00")):
+        df = spark.createDataFrame([row], ddl).withColumn("ts", F.col("ts").cast("timestamp"))
+        df.write.mode("append").parquet(source)
+        q = start_trace_health(spark.readStream.schema(df.schema).parquet(source), out, state)
+        q.awaitTermination()
+        if row[:2] == ("a", "2"):
+            assert late_rows(q) == 1
+    assert [tuple(r) for r in read_trace_health(spark, out).select("service", "traces").collect()] == [("web", 1)]
+
+
+def test_one_group_holds_traces_that_are_due_and_traces_that_are_not(spark, tmp_path, monkeypatch):
+    from obsgauge.streaming import tracestate
+
+    monkeypatch.setattr(tracestate, "GROUPS", 1, raising=False)
+    monkeypatch.setattr(tracestate, "PIECE", 2, raising=False)
+    test_traces_over_a_border_are_judged_once_in_the_window_of_their_first_span(spark, tmp_path)
+
+
 def test_alert_state(tables, tmp_path):
     spark = tables.spark
     grid = history.hourly(tables)
